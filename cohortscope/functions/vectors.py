@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +16,22 @@ SCAN_PLANES = [
 ]
 
 
+def evaluate_once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed a single time.
+
+    A column used in several branches is otherwise recomputed in each of them.
+    """
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def parse_vector(text: Column) -> Column:
     """``"[1, 0]"`` or ``"(1.0, 0.5)"`` to an array of doubles; anything else to NULL."""
-    return F.from_json(F.translate(text, "()", "[]"), "array<double>")
+    numbers = F.transform(
+        F.split(F.translate(text, "[]()", ""), ","), lambda part: F.trim(part).try_cast("double")
+    )
+    return evaluate_once(
+        numbers, lambda v: F.when(~F.exists(v, lambda x: x.isNull()), v)
+    )
 
 
 def ct_orientation(text: Column) -> Column:
@@ -26,14 +39,19 @@ def ct_orientation(text: Column) -> Column:
 
     Numbers are rounded half to even before the comparison. A missing vector stays ``missing``.
     """
-    rounded = F.transform(parse_vector(text), lambda x: F.bround(x, 0))
-    named = F.when(text.isNull() | (text == "missing"), F.lit("missing"))
-    for name, signature in SCAN_PLANES:
-        test = F.lit(True)
-        for position, expected in signature.items():
-            test = test & (F.get(rounded, position) == expected)
-        named = named.when(test, F.lit(name))
-    return named.otherwise(F.lit("unknown"))
+
+    def name_of(vector: Column) -> Column:
+        named = F.when(vector.isNull(), F.lit("unknown"))
+        for name, signature in SCAN_PLANES:
+            test = F.lit(True)
+            for position, expected in signature.items():
+                test = test & (F.bround(F.get(vector, F.lit(position)), 0) == expected)
+            named = named.when(test, F.lit(name))
+        return named.otherwise(F.lit("unknown"))
+
+    return F.when(text.isNull() | (text == "missing"), F.lit("missing")).otherwise(
+        evaluate_once(parse_vector(text), name_of)
+    )
 
 
 def columns_with_prefix(df: DataFrame, prefix: str) -> list[str]:

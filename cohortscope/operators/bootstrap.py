@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortscope.operators.evaluation import cumulative_cells, ranking_metrics, score_cells
-from cohortscope.operators.prefix import RANGE_COLUMN, with_row_index
+from cohortscope.operators.evaluation import cumulative_cells, score_cells, summarise_cells
+from cohortscope.operators.prefix import RANGE_COLUMN, default_ranges, with_row_index
 from cohortscope.operators.survival import (
     METRICS,
     concordance_index,
@@ -28,6 +28,8 @@ from cohortscope.operators.survival import (
 )
 
 CELLS_PER_BLOCK = 1000
+# Up to this many cases one replicate is small enough to be ordered by a single task.
+SMALL_COHORT = 1_000_000
 
 
 def draw_index(seed: int, replicate, position, n_rows):
@@ -37,25 +39,29 @@ def draw_index(seed: int, replicate, position, n_rows):
     return bits % n_rows
 
 
-def resample_rows(df: DataFrame, key: str, n_replicates: int, seed: int) -> DataFrame:
+def resample_rows(
+    df: DataFrame, key: str, n_replicates: int, seed: int, n_rows: int
+) -> DataFrame:
     """``n_replicates`` resamples of the table, n of n with replacement, tagged ``replicate``.
 
     Rows are numbered along the unique ``key``. Draws are generated by the rows themselves and find
     their row by an equi join on the index.
     """
-    indexed = with_row_index(df, key)
-    draws = indexed.select(
-        F.explode(F.sequence(F.lit(0), F.lit(n_replicates - 1))).alias("replicate"),
-        "row_index",
-        "n_rows",
-    ).select(
+    indexed = with_row_index(df, key, ranges=_ranges_for(n_rows))
+    replicates = F.explode(F.sequence(F.lit(0), F.lit(n_replicates - 1)))
+    draws = indexed.select("row_index", replicates.alias("replicate")).select(
         "replicate",
-        draw_index(seed, F.col("replicate"), F.col("row_index"), F.col("n_rows")).alias("drawn"),
+        draw_index(seed, F.col("replicate"), F.col("row_index"), F.lit(n_rows)).alias("drawn"),
     )
-    rows = indexed.select(F.col("row_index").alias("drawn"), *df.columns)
+    rows = indexed.withColumnRenamed("row_index", "drawn").drop("n_rows")
     return draws.join(rows, "drawn").drop("drawn")
 
 
+def _ranges_for(n_rows: int) -> int | None:
+    """One range per replicate once the table is known to be small, else the default number."""
+    return 1 if n_rows <= SMALL_COHORT else None
+
+
 def bootstrap_exact(
     df: DataFrame,
     key: str,
@@ -65,17 +71,22 @@ def bootstrap_exact(
     n_replicates: int,
     seed: int = 42,
     with_c_index: bool = False,
+    n_rows: int | None = None,
 ) -> DataFrame:
     """``replicate``, ``year``, ``metric``, ``value``; replicates lacking a class in a year are left out.
 
-    ``with_c_index`` adds the concordance of each replicate (``year`` NULL), weighted by the
-    censoring distribution of the whole cohort.
+    The rows are counted first unless ``n_rows`` gives their number. ``with_c_index`` adds the
+    concordance of each replicate (``year`` NULL), weighted by the censoring distribution of the
+    whole cohort.
     """
     needed = df.select(*dict.fromkeys([key, *scores, time, event]))
-    samples = resample_rows(needed, key, n_replicates, seed)
+    n_rows = df.count() if n_rows is None else n_rows
+    samples = resample_rows(needed, key, n_replicates, seed, n_rows)
+    ranges = _ranges_for(n_rows)
     keys = ["replicate", "year"]
     yearly = yearly_cases(samples, scores, time, event, keep=["replicate"])
-    values = tidy_metrics(ranking_metrics(yearly, "score", "label", keys), keys)
+    points = cumulative_cells(score_cells(yearly, "score", "label", keys), keys, ranges=ranges)
+    values = tidy_metrics(summarise_cells(points, keys), keys)
     if with_c_index:
         c = concordance_index(
             samples, scores, time, event, censoring_distribution(df, time, event), by=["replicate"]
@@ -157,7 +168,7 @@ def bootstrap_cells(
     )
     batches = (
         work.join(planned, [*by, RANGE_COLUMN, "threshold"], "left")
-        .repartition(*by, RANGE_COLUMN)
+        .repartition(default_ranges(df), *by, RANGE_COLUMN)
         .sortWithinPartitions(*by, F.col(RANGE_COLUMN).desc(), F.col("threshold").desc())
     )
     group_fields = [f for f in df.schema.fields if f.name in by]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -81,7 +81,24 @@ def resolve_by_accession(
     return cases.join(first, list(keys), "left")
 
 
-def _substrings(text: str, lengths: str):
+# A key with up to this many fragment pairs has them tested one by one against its folders.
+MAX_FRAGMENTS = 64
+
+
+def _tested(folders: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Matches of keys with few fragments: their list (bounded) travels with each folder."""
+    lists = wanted.groupBy("_key").agg(
+        F.collect_list(F.struct("_outer", "_inner")).alias("_fragments")
+    )
+    fits = F.filter(
+        "_fragments",
+        lambda f: F.contains(F.col("_inner_name"), f["_inner"])
+        & F.contains(F.col("_outer_name"), f["_outer"]),
+    )
+    return folders.join(lists, "_key").select("_key", "_path", F.inline(fits))
+
+
+def _substrings(text: str, lengths: str) -> Column:
     """All distinct substrings of ``text`` having one of ``lengths`` (an array column)."""
     return F.array_distinct(
         F.flatten(
@@ -96,6 +113,29 @@ def _substrings(text: str, lengths: str):
     )
 
 
+def _cut(folders: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Matches of keys with many fragments, by equi joins on substrings."""
+    lengths = wanted.groupBy("_key").agg(
+        F.collect_set(F.length("_outer")).alias("_outer_lengths"),
+        F.collect_set(F.length("_inner")).alias("_inner_lengths"),
+    )
+    by_inner = folders.join(lengths, "_key").select(
+        "_key",
+        "_outer_name",
+        "_outer_lengths",
+        "_path",
+        F.explode(_substrings("_inner_name", "_inner_lengths")).alias("_inner"),
+    )
+    kept = by_inner.join(wanted.select("_key", "_inner").distinct(), ["_key", "_inner"], "left_semi")
+    by_both = kept.select(
+        "_key",
+        "_inner",
+        "_path",
+        F.explode(_substrings("_outer_name", "_outer_lengths")).alias("_outer"),
+    )
+    return by_both.join(wanted, ["_key", "_outer", "_inner"], "left_semi")
+
+
 def resolve_by_suffix(
     cases: DataFrame,
     catalog: DataFrame,
@@ -111,9 +151,10 @@ def resolve_by_suffix(
     Adds ``resolved_path`` (first in path order or NULL), ``n_matches`` and ``match_status``
     (``none``, ``unique`` or ``multiple``).
 
-    Comparing every case with every folder of its key grows with the square of the group. Instead a
-    folder name is cut into its substrings of the lengths that occur among the wanted fragments, so
-    that containment is an equi join; a name has at most 255 characters, so the cut is bounded too.
+    A folder is tested against each fragment pair of its key where a key has few of them. Where it
+    has many, that would grow with the square of the group, so the folder name is cut into its
+    substrings of the wanted lengths and containment becomes an equi join; a name has at most 255
+    characters, which bounds the cut. Both ways are exact.
     """
     (outer_want, outer_name), (inner_want, inner_name) = outer, inner
     wanted = (
@@ -125,30 +166,17 @@ def resolve_by_suffix(
         .dropna()
         .distinct()
     )
-    lengths = wanted.groupBy("_key").agg(
-        F.collect_set(F.length("_outer")).alias("_outer_lengths"),
-        F.collect_set(F.length("_inner")).alias("_inner_lengths"),
-    )
     folders = catalog.select(
         F.col(key).alias("_key"),
         F.col(outer_name).alias("_outer_name"),
         F.col(inner_name).alias("_inner_name"),
         F.col(path).alias("_path"),
-    ).join(lengths, "_key")
-    by_inner = folders.select(
-        "_key",
-        "_outer_name",
-        "_outer_lengths",
-        "_path",
-        F.explode(_substrings("_inner_name", "_inner_lengths")).alias("_inner"),
-    ).join(wanted.select("_key", "_inner").distinct(), ["_key", "_inner"], "left_semi")
-    by_both = by_inner.select(
-        "_key",
-        "_inner",
-        "_path",
-        F.explode(_substrings("_outer_name", "_outer_lengths")).alias("_outer"),
-    ).join(wanted, ["_key", "_outer", "_inner"], "left_semi")
-    found = by_both.groupBy("_key", "_outer", "_inner").agg(
+    )
+    sizes = wanted.groupBy("_key").agg(F.count(F.lit(1)).alias("_wanted"))
+    few = wanted.join(sizes.filter(F.col("_wanted") <= MAX_FRAGMENTS), "_key", "left_semi")
+    many = wanted.join(sizes.filter(F.col("_wanted") > MAX_FRAGMENTS), "_key", "left_semi")
+    hits = _tested(folders, few).unionByName(_cut(folders, many))
+    found = hits.groupBy("_key", "_outer", "_inner").agg(
         F.min("_path").alias("resolved_path"), F.count(F.lit(1)).alias("_matches")
     )
     matched = cases.join(

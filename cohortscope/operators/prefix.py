@@ -59,13 +59,16 @@ def running_totals(
     ``cells`` holds one row per (``by``, ``order``), both non-null: aggregate first, so that a value
     shared by a third of all rows is one cell. No task sees more than one range of one group, and a
     range holds about ``1 / ranges`` of all cells whatever the groups' sizes are. The offsets table
-    has at most ``ranges`` rows per group.
+    has at most ``ranges`` rows per group. ``ranges=1`` is a plain window per group, for callers
+    that have checked how large a group can be.
     """
     by, values = list(by), list(values)
     ranges = ranges or default_ranges(cells)
     # Said before the plan branches, so that all branches keep the same scan and shuffle.
     for name in [*by, order]:
         cells = cells.filter(F.col(name).isNotNull())
+    if ranges == 1:
+        return _plain_totals(cells, order, values, by, descending, keep_range)
     placed = cells.withColumn("_splits", range_splits(cells, order, by, ranges))
     # explode() rather than a plain projection: the optimizer would otherwise copy the expression
     # that defines the range into filters on the other side of the join below.
@@ -92,6 +95,9 @@ def running_totals(
         .orderBy(within_order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    # Without groups the offsets are at most `ranges` rows and are broadcast. With groups their
+    # number is not bounded: hash both sides on the window's own keys, which the window then reuses.
+    offsets = offsets.hint("shuffle_hash") if by else F.broadcast(offsets)
     joined = placed.join(offsets, [*by, RANGE_COLUMN])
     kept = [*cells.columns, RANGE_COLUMN] if keep_range else cells.columns
     return joined.select(
@@ -101,6 +107,23 @@ def running_totals(
     )
 
 
+def _plain_totals(cells, order, values, by, descending, keep_range) -> DataFrame:
+    group = by or [F.lit(0)]
+    along = F.col(order).desc() if descending else F.col(order).asc()
+    running = (
+        Window.partitionBy(*group)
+        .orderBy(along)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    whole = Window.partitionBy(*group)
+    return cells.select(
+        *cells.columns,
+        *([F.lit(0).alias(RANGE_COLUMN)] if keep_range else []),
+        *[F.sum(v).over(running).alias(f"cum_{v}") for v in values],
+        *[F.sum(v).over(whole).alias(f"total_{v}") for v in values],
+    )
+
+
 def value_counts_ordered(
     df: DataFrame, value: str, by: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:

@@ -34,25 +34,34 @@ def acquisition_tiers(
     ]
 
 
-def priority_tiers(
-    df: DataFrame, key: str, tiers: Sequence[tuple[int, Column]], include: Column | None = None
+def with_tiers(
+    df: DataFrame, tiers: Sequence[tuple[int, Column]], include: Column | None = None
 ) -> DataFrame:
-    """Rows of the best batch each subject reaches, with their ``tier`` (1-based rule number).
+    """Rows some rule accepts, with ``tier`` (1-based rule number) and ``batch``.
 
-    ``include`` marks rows taken as a last resort for subjects no rule covers. One aggregate and one
-    join replace the chain of anti joins that a batch-by-batch selection needs.
+    ``include`` marks rows taken as a last resort for subjects no rule covers.
     """
     rules = list(tiers)
     if include is not None:
         rules.append((max(b for b, _ in rules) + 1, include))
-    tier, batch = F.lit(None).cast("int"), F.lit(None).cast("int")
+    tier = F.lit(None).cast("int")
     for number in range(len(rules), 0, -1):
-        at, rule = rules[number - 1]
-        tier = F.when(rule, F.lit(number)).otherwise(tier)
-        batch = F.when(rule, F.lit(at)).otherwise(batch)
-    ranked = df.withColumns({"tier": tier, "_batch": batch}).filter(F.col("tier").isNotNull())
-    best = with_group_values(ranked, [key], _best=F.min("_batch"))
-    return best.filter(F.col("_batch") == F.col("_best")).select(*df.columns, "tier")
+        tier = F.when(rules[number - 1][1], F.lit(number)).otherwise(tier)
+    batches = F.array(*[F.lit(b) for b, _ in rules])
+    ranked = df.withColumn("tier", tier).filter(F.col("tier").isNotNull())
+    return ranked.withColumn("batch", F.get(batches, F.col("tier") - 1))
+
+
+def priority_tiers(
+    df: DataFrame, key: str, tiers: Sequence[tuple[int, Column]], include: Column | None = None
+) -> DataFrame:
+    """All rows of the best batch each subject reaches, with their ``tier``.
+
+    One aggregate and one join replace the chain of anti joins that a batch-by-batch selection needs.
+    """
+    ranked = with_tiers(df, tiers, include)
+    best = with_group_values(ranked, [key], _best=F.min("batch"))
+    return best.filter(F.col("batch") == F.col("_best")).select(*df.columns, "tier")
 
 
 def stack_datasets(

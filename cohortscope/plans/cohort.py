@@ -18,10 +18,10 @@ from cohortscope.functions.survival import (
     years_to_event,
 )
 from cohortscope.functions.vectors import ct_orientation
-from cohortscope.operators.groups import add_timepoint, dedupe_keep_first, first_per_group, last_per_group
+from cohortscope.operators.groups import dedupe_keep_first, first_per_group
 from cohortscope.operators.joins import join_clinical
 from cohortscope.operators.projection import drop_sentinels, max_bound
-from cohortscope.operators.selection import acquisition_tiers, priority_tiers
+from cohortscope.operators.selection import acquisition_tiers, with_tiers
 from cohortscope.sources.tables import SENTINELS
 
 LABELLED_COLUMNS = [
@@ -38,8 +38,8 @@ LABELLED_COLUMNS = [
 
 
 def describe_scans(headers: DataFrame) -> DataFrame:
-    """Header rows with scan plane, year and timepoint (over all scans of the subject)."""
-    described = headers.withColumns(
+    """Header rows with scan plane and year, thickness as a number."""
+    return headers.withColumns(
         {
             "Orientation": ct_orientation(F.col("ImageOrientationPatient")),
             "Year": year_from_path(F.col("Directory")),
@@ -47,7 +47,6 @@ def describe_scans(headers: DataFrame) -> DataFrame:
             "ConvolutionKernel": F.col("ConvolutionKernel").cast("string"),
         }
     )
-    return add_timepoint(described, "Patient_ID", "Year")
 
 
 def select_scans(
@@ -56,14 +55,32 @@ def select_scans(
     tiers: Sequence[tuple[int, Column]] | None = None,
     include: Column | None = None,
 ) -> DataFrame:
-    """One scan per subject by acquisition rules: the first or last in (rule, path) order."""
-    chosen = priority_tiers(
-        describe_scans(headers), "Patient_ID", tiers or acquisition_tiers(), include
-    )
-    pick = {"baseline": first_per_group, "latest": last_per_group}[timepoint]
-    one = pick(chosen, ["Patient_ID"], ["tier", "Directory"])
-    return one.withColumn("Directory", parent_dir(F.col("Directory"))).withColumnRenamed(
-        "Patient_ID", "pid"
+    """One scan per subject by acquisition rules, with its ``timepoint``.
+
+    ``baseline`` takes the first and ``latest`` the last scan in (rule, path) order of the best batch
+    the subject reaches; the timepoint counts years from the first of *all* scans of the subject.
+
+    Both the choice and the first year are reduced to one row per subject before anything is
+    shuffled, so the full table never moves.
+    """
+    scans = describe_scans(headers)
+    ranked = with_tiers(scans, tiers or acquisition_tiers(), include)
+    within = {
+        "baseline": [F.col("tier").asc(), F.col("Directory").asc()],
+        "latest": [F.col("tier").desc(), F.col("Directory").desc()],
+    }[timepoint]
+    one = first_per_group(ranked, ["Patient_ID"], [F.col("batch"), *within]).drop("batch")
+    first_year = scans.groupBy("Patient_ID").agg(F.min("Year").alias("_first_year"))
+    return (
+        one.join(first_year, "Patient_ID")
+        .withColumns(
+            {
+                "timepoint": F.col("Year") - F.col("_first_year"),
+                "Directory": parent_dir(F.col("Directory")),
+            }
+        )
+        .drop("_first_year")
+        .withColumnRenamed("Patient_ID", "pid")
     )
 
 

@@ -30,14 +30,17 @@ def bootstrap_intervals(
     method: str = "auto",
 ) -> DataFrame:
     """``year``, ``metric``, mean and 95% interval. ``auto`` counts the cases to choose a method."""
+    n_rows = df.count()
     if method == "auto":
-        method = "exact" if df.count() * n_replicates <= MAX_EXACT_DRAWS else "cells"
+        method = "exact" if n_rows * n_replicates <= MAX_EXACT_DRAWS else "cells"
     if method == "exact":
-        values = bootstrap_exact(df, key, scores, time, event, n_replicates, seed)
+        values = bootstrap_exact(
+            df, key, scores, time, event, n_replicates, seed, n_rows=n_rows
+        )
     else:
         yearly = yearly_cases(df, scores, time, event)
-        sizes = df.agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.explode(F.sequence(F.lit(1), F.lit(len(scores)))).alias("year"), "n_rows"
+        sizes = df.sparkSession.range(1, len(scores) + 1).select(
+            F.col("id").cast("int").alias("year"), F.lit(n_rows).alias("n_rows")
         )
         values = bootstrap_cells(
             yearly, "score", "label", n_replicates, seed, by=["year"], n_rows=sizes
