@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortscope.operators.evaluation import cumulative_cells, score_cells, summarise_cells
-from cohortscope.operators.prefix import RANGE_COLUMN, default_ranges, with_row_index
+from cohortscope.operators.prefix import MAX_RANGES, RANGE_COLUMN, default_ranges, with_row_index
 from cohortscope.operators.survival import (
     METRICS,
     concordance_index,
@@ -27,7 +27,8 @@ from cohortscope.operators.survival import (
     yearly_cases,
 )
 
-CELLS_PER_BLOCK = 1000
+# Cells x replicates drawn at a time: bounds the memory of a task and keeps arrays in cache.
+DRAWS_PER_BLOCK = 200_000
 # Up to this many cases one replicate is small enough to be ordered by a single task.
 SMALL_COHORT = 1_000_000
 
@@ -128,11 +129,15 @@ def _draw_ranges(rng, plan: list, n_rows: int, n_replicates: int) -> tuple:
 
 def _split(rng, counts: np.ndarray, block: np.ndarray, rest: int) -> np.ndarray:
     """Of ``counts`` draws per replicate, how many fall on each cell of the block; rest stays."""
-    weights = np.append(block, rest).astype(float)
-    total = weights.sum()
-    if total == 0:
+    if block.sum() == 0:
         return np.zeros((len(counts), len(block)), dtype=np.int64)
-    return rng.multinomial(counts, weights / total)[:, : len(block)]
+    # The last weight takes what the others leave, so it is a real cell once nothing lies beyond.
+    filled = np.flatnonzero(block)
+    weights = block[filled] if rest == 0 else np.append(block[filled], rest)
+    drawn = rng.multinomial(counts, weights / weights.sum())
+    out = np.zeros((len(counts), len(block)), dtype=np.int64)
+    out[:, filled] = drawn[:, : len(filled)]
+    return out
 
 
 def bootstrap_cells(
@@ -155,6 +160,8 @@ def bootstrap_cells(
     labelled rows, as when cases censored early count in the draw but not in the metric.
     """
     by = list(by)
+    # Drawing is slow per cell, so ranges are finer than for plain sums and spread evenly.
+    ranges = ranges or min(MAX_RANGES, 4 * default_ranges(df))
     cells = score_cells(df, score, label, by)
     points = cumulative_cells(cells, by, ranges=ranges, keep_range=True)
     if n_rows is None:
@@ -168,7 +175,7 @@ def bootstrap_cells(
     )
     batches = (
         work.join(planned, [*by, RANGE_COLUMN, "threshold"], "left")
-        .repartition(default_ranges(df), *by, RANGE_COLUMN)
+        .repartition(ranges, *by, RANGE_COLUMN)
         .sortWithinPartitions(*by, F.col(RANGE_COLUMN).desc(), F.col("threshold").desc())
     )
     group_fields = [f for f in df.schema.fields if f.name in by]
@@ -178,6 +185,8 @@ def bootstrap_cells(
         + [T.StructField(n, T.DoubleType()) for n in ("won", "areas", "steps", "n_pos", "n_neg")]
     )
 
+    width = max(1, DRAWS_PER_BLOCK // n_replicates)
+
     def resample(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
 
@@ -206,9 +215,9 @@ def bootstrap_cells(
                         yield finish()
                     current = group
                     state = _open_range(part, group, seed, n_replicates)
-                for low in range(0, len(part), CELLS_PER_BLOCK):
-                    block = part.iloc[low : low + CELLS_PER_BLOCK]
-                    _add_block(state, block["pos"].to_numpy(), block["neg"].to_numpy())
+                pos, neg = part["pos"].to_numpy(), part["neg"].to_numpy()
+                for low in range(0, len(part), width):
+                    _add_block(state, pos[low : low + width], neg[low : low + width])
         if current is not None:
             yield finish()
 

@@ -20,7 +20,8 @@ def to_numeric(text: Column) -> Column:
 def drop_sentinels(df: DataFrame, columns: Sequence[str], sentinels: Sequence[str]) -> DataFrame:
     """Rows whose ``columns`` hold neither NULL nor a sentinel text."""
     for name in columns:
-        df = df.filter(F.col(name).isNotNull() & ~F.col(name).isin(*sentinels))
+        text = F.col(name).cast("string")
+        df = df.filter(text.isNotNull() & ~text.isin(*sentinels))
     return df
 
 

@@ -32,7 +32,7 @@ def build_session(app_name: str = "cohortscope", master: str | None = None, **co
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder every executor can reach.
+    """The path of a folder, not made yet, that every executor can reach.
 
     It lies under ``spark.checkpoint.dir`` when the cluster names one. Only a session without that
     setting (a local test) gets a temporary folder of this machine.
@@ -40,4 +40,4 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"{label}-")
+    return f"{tempfile.mkdtemp(prefix=f'{label}-')}/data"

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from fnmatch import fnmatch
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ def file_catalog(
     """Recursive listing with ``path`` and ``length``; file contents are never read.
 
     ``levels`` names the folders below ``root`` (patient, timepoint, scan ..), one column each.
+    Spark keeps the listing of a source in the driver: for more than some millions of files use
+    ``file_catalog_by_folder``.
     """
     listed = (
         spark.read.format("binaryFile")
@@ -27,6 +32,32 @@ def file_catalog(
     return with_levels(listed, root, levels) if levels else listed
 
 
+def file_catalog_by_folder(
+    folders: DataFrame, root: str, glob: str = "*", levels: Sequence[str] = ()
+) -> DataFrame:
+    """The same listing for trees of any size: tasks list the folders named in ``folders``.
+
+    ``folders`` has one column with folder names below ``root`` (the patients of a case table, say).
+    Neither the folder names nor the files pass through the driver. Missing folders give no rows.
+    """
+    name = folders.columns[0]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for folder in batch[name]:
+                chosen = fs.FileSelector(f"{base}/{folder}", allow_not_found=True, recursive=True)
+                files = [i for i in system.get_file_info(chosen) if i.is_file]
+                files = [i for i in files if fnmatch(i.base_name, glob)]
+                yield pd.DataFrame(
+                    {"path": [i.path for i in files], "length": [i.size for i in files]},
+                ).astype({"path": object, "length": "int64"})
+
+    spread = folders.select(F.col(name).cast("string").alias(name)).distinct()
+    listed = spread.mapInPandas(walk, "path string, length long")
+    return with_levels(listed, root, levels) if levels else listed
+
+
 def with_levels(catalog: DataFrame, root: str, levels: Sequence[str]) -> DataFrame:
     """Add the folder names below ``root`` as columns."""
     plain = F.regexp_replace("path", "^[a-z0-9]+:/*(?=/)", "")

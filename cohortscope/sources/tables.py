@@ -69,7 +69,7 @@ def read_json_map(
     Each line holds one object. With ``whole_document`` each file is one (possibly indented) object;
     such a file cannot be split over tasks, so prefer lines for anything large.
     """
-    document = spark.read.option("wholetext", whole_document).text(path)
+    document = spark.read.text(path, wholetext=whole_document)
     entries = F.from_json("value", T.MapType(T.StringType(), value_schema))
     return document.select(F.explode(entries).alias(key, "annotation"))
 

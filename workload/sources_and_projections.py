@@ -20,6 +20,7 @@ from cohortscope.sources.catalog import (
     by_extension,
     exclude_paths,
     file_catalog,
+    file_catalog_by_folder,
     files_per_folder,
     first_file_per_folder,
     folder_summary,
@@ -116,6 +117,23 @@ def file_catalog_query(spark, sf_dir):
     ).agg(F.count(F.lit(1)).cast("int").alias("n_files"))
 
 
+@query(
+    "file_catalog_by_folder",
+    "SELECT lang, count(DISTINCT source) AS n_files FROM documents GROUP BY lang",
+)
+def file_catalog_by_folder_query(spark, sf_dir):
+    """The same tree listed by tasks, one folder name at a time."""
+    path = scratch_dir(spark, "tree")
+    documents = table(spark, sf_dir, "documents")
+    rows = documents.select("lang", "source", F.lit("x").alias("value")).distinct()
+    rows.write.mode("overwrite").partitionBy("lang", "source").text(path)
+    folders = documents.select(F.concat(F.lit("lang="), "lang").alias("folder"))
+    listed = file_catalog_by_folder(folders, path, "*.txt", levels=["lang"])
+    return listed.groupBy(F.substring_index("lang", "=", -1).alias("lang")).agg(
+        F.count(F.lit(1)).alias("n_files")
+    )
+
+
 @query(
     "first_file_per_folder",
     f"""WITH {SCANS_SQL}
