@@ -10,15 +10,22 @@ distribution. It costs replicates x cells, never replicates x rows, and is the f
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortscope.operators.evaluation import cumulative_cells, score_cells, summarise_cells
-from cohortscope.operators.prefix import MAX_RANGES, RANGE_COLUMN, default_ranges, with_row_index
+from cohortscope.operators.prefix import (
+    MAX_RANGES,
+    RANGE_COLUMN,
+    default_ranges,
+    place_in_ranges,
+    with_row_index,
+)
 from cohortscope.operators.survival import (
     METRICS,
     concordance_index,
@@ -103,18 +110,6 @@ def bootstrap_exact(
     return values.filter(F.col("value").isNotNull())
 
 
-def _range_plan(cells: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
-    """Attach to each range of cells the counts of all ranges of its group (bounded lists)."""
-    per_range = cells.groupBy(*by, RANGE_COLUMN).agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
-    )
-    # At most one entry per range, whatever the number of cells or rows.
-    listed = per_range.groupBy(*by).agg(
-        F.sort_array(F.collect_list(F.struct(RANGE_COLUMN, "pos", "neg"))).alias("plan")
-    )
-    return listed.join(totals, by) if by else listed.withColumn("n_rows", totals.scalar())
-
-
 def _draw_ranges(rng, plan: list, n_rows: int, n_replicates: int) -> tuple:
     """Positives and negatives drawn from each range, highest scores first, per replicate."""
     ranges = [r[RANGE_COLUMN] for r in plan][::-1]
@@ -162,21 +157,28 @@ def bootstrap_cells(
     by = list(by)
     # Drawing is slow per cell, so ranges are finer than for plain sums and spread evenly.
     ranges = ranges or min(MAX_RANGES, 4 * default_ranges(df))
-    cells = score_cells(df, score, label, by)
-    points = cumulative_cells(cells, by, ranges=ranges, keep_range=True)
-    if n_rows is None:
-        n_rows = cells.groupBy(*by).agg(F.sum(F.col("pos") + F.col("neg")).alias("n_rows"))
-    plan = _range_plan(points, n_rows, by)
-    work = points.select(*by, RANGE_COLUMN, "threshold", "pos", "neg")
-    # The plan travels once per range, on the range's first row.
-    tasks = work.groupBy(*by, RANGE_COLUMN).agg(F.max("threshold").alias("threshold"))
-    planned = tasks.join(plan, by) if by else tasks.withColumns(
-        {"plan": plan.select("plan").scalar(), "n_rows": plan.select("n_rows").scalar()}
+    placed = place_in_ranges(score_cells(df, score, label, by), "threshold", by, ranges)
+    per_range = placed.groupBy(*by, RANGE_COLUMN).agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
     )
-    batches = (
-        work.join(planned, [*by, RANGE_COLUMN, "threshold"], "left")
-        .repartition(ranges, *by, RANGE_COLUMN)
-        .sortWithinPartitions(*by, F.col(RANGE_COLUMN).desc(), F.col("threshold").desc())
+    # At most one entry per range, whatever the number of cells or rows.
+    entry = F.struct(RANGE_COLUMN, "pos", "neg")
+    plan = per_range.groupBy(*by).agg(
+        F.sort_array(F.collect_list(entry)).alias("plan"),
+        F.sum(F.col("pos") + F.col("neg")).alias("n_rows"),
+    )
+    if n_rows is not None and by:
+        plan = plan.drop("n_rows").join(n_rows, by)
+    elif n_rows is not None:
+        plan = plan.withColumn("n_rows", n_rows.select("n_rows").scalar())
+    # Each range starts with a row of its own that carries the plan.
+    heads = plan.select(*by, "plan", "n_rows", F.explode(f"plan.{RANGE_COLUMN}").alias(RANGE_COLUMN))
+    rows = placed.unionByName(heads, allowMissingColumns=True)
+    # Named partitions give each task one range of every group; hashing a few hundred ranges would
+    # pile some of them up.
+    home = F.pmod(F.hash(*by, F.lit(0)) + F.col(RANGE_COLUMN), F.lit(ranges))
+    batches = rows.repartitionById(ranges, home).sortWithinPartitions(
+        *by, F.col(RANGE_COLUMN), F.col("plan").isNull(), F.col("threshold").desc()
     )
     group_fields = [f for f in df.schema.fields if f.name in by]
     group_fields.sort(key=lambda f: by.index(f.name))
@@ -187,41 +189,26 @@ def bootstrap_cells(
 
     width = max(1, DRAWS_PER_BLOCK // n_replicates)
 
-    def resample(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
-
-        def finish():
-            return pd.DataFrame(
-                {
-                    "replicate": np.arange(n_replicates, dtype=np.int32),
-                    **dict(zip(by, current[:-1], strict=True)),
-                    "won": state["won"],
-                    "areas": state["areas"],
-                    "steps": state["steps"],
-                    "n_pos": state["n_pos"],
-                    "n_neg": state["n_neg"],
-                }
-            )
-
-        for frame in frames:
-            edges = np.flatnonzero(
-                (frame[[*by, RANGE_COLUMN]].shift() != frame[[*by, RANGE_COLUMN]]).any(axis=1)
-            )
-            for start, stop in zip(edges, [*edges[1:], len(frame)], strict=True):
-                part = frame.iloc[start:stop]
-                group = tuple(part[c].iloc[0] for c in [*by, RANGE_COLUMN])
-                if group != current:
-                    if current is not None:
-                        yield finish()
-                    current = group
-                    state = _open_range(part, group, seed, n_replicates)
-                pos, neg = part["pos"].to_numpy(), part["neg"].to_numpy()
-                for low in range(0, len(part), width):
-                    _add_block(state, pos[low : low + width], neg[low : low + width])
-        if current is not None:
-            yield finish()
-
-    partial = batches.mapInPandas(resample, out)
+    def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for batch in batches:
+            pos, neg = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("pos", "neg"))
+            starts = np.flatnonzero(batch.column("plan").is_valid())
+            pieces = [0, *starts[starts > 0], batch.num_rows]
+            for start, stop in pairwise(pieces):
+                if start in starts:
+                    if state is not None:
+                        yield _close_range(state, by, n_replicates)
+                    head = batch.slice(start, 1).to_pylist()[0]
+                    state = _open_range(head, [head[c] for c in by], seed, n_replicates)
+                    start += 1
+                for low in range(start, stop, width):
+                    cut = slice(low, min(low + width, stop))
+                    _add_block(state, pos[cut].astype(np.int64), neg[cut].astype(np.int64))
+        if state is not None:
+            yield _close_range(state, by, n_replicates)
+
+    partial = batches.mapInArrow(resample, out)
     total = partial.groupBy("replicate", *by).agg(
         *[F.sum(c).alias(c) for c in ("won", "areas", "steps")],
         F.max("n_pos").alias("n_pos"),
@@ -237,16 +224,17 @@ def bootstrap_cells(
     return tidy_metrics(wide, ["replicate", *by])
 
 
-def _open_range(part: pd.DataFrame, group: tuple, seed: int, n_replicates: int) -> dict:
+def _open_range(head: dict, group: list, seed: int, n_replicates: int) -> dict:
     """Counts a range starts from, in every replicate."""
-    plan, n_rows = part["plan"].iloc[0], int(part["n_rows"].iloc[0])
-    shared = [seed, *[int.from_bytes(str(g).encode(), "little") for g in group[:-1]]]
+    plan, n_rows, range_id = head["plan"], head["n_rows"], head[RANGE_COLUMN]
+    shared = [seed, *[int.from_bytes(str(g).encode(), "little") for g in group]]
     ranges, pos, neg, drawn_pos, drawn_neg = _draw_ranges(
         np.random.default_rng(shared), plan, n_rows, n_replicates
     )
-    at = ranges.index(group[-1])
+    at = ranges.index(range_id)
     return {
-        "rng": np.random.default_rng([*shared, int(group[-1]) + 1]),
+        "group": group,
+        "rng": np.random.default_rng([*shared, range_id + 1]),
         "tp": drawn_pos[:, :at].sum(axis=1).astype(float),
         "fp": drawn_neg[:, :at].sum(axis=1).astype(float),
         "draws_pos": drawn_pos[:, at].copy(),
@@ -261,6 +249,14 @@ def _open_range(part: pd.DataFrame, group: tuple, seed: int, n_replicates: int)
     }
 
 
+def _close_range(state: dict, by: Sequence[str], n_replicates: int) -> pa.RecordBatch:
+    """The range's share of the metric sums, one row per replicate."""
+    columns = {"replicate": np.arange(n_replicates, dtype=np.int32)}
+    columns.update({c: [v] * n_replicates for c, v in zip(by, state["group"], strict=True)})
+    columns.update({c: state[c] for c in ("won", "areas", "steps", "n_pos", "n_neg")})
+    return pa.RecordBatch.from_pydict(columns)
+
+
 def _add_block(state: dict, pos: np.ndarray, neg: np.ndarray) -> None:
     """Draw the block's cells in all replicates and add their share of the metric sums."""
     state["left_pos"] -= int(pos.sum())

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortscope.functions.outcomes import classify_at, outcome_label
-from cohortscope.operators.prefix import RANGE_COLUMN, running_totals
+from cohortscope.operators.prefix import running_totals
 
 
 def score_cells(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -25,15 +25,14 @@ def score_cells(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -
 
 
 def cumulative_cells(
-    cells: DataFrame, by: Sequence[str] = (), ranges: int | None = None, keep_range: bool = False
+    cells: DataFrame, by: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:
     """Cells with counts at or above their threshold (``tp``, ``fp``) and class totals."""
     summed = running_totals(
-        cells, "threshold", ["pos", "neg"], by, descending=True, ranges=ranges, keep_range=keep_range
+        cells, "threshold", ["pos", "neg"], by, descending=True, ranges=ranges
     )
     return summed.select(
         *by,
-        *([RANGE_COLUMN] if keep_range else []),
         "threshold",
         "pos",
         "neg",

@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortscope.operators.prefix import running_totals
+from cohortscope.operators.skew import join_aggregated
 
 
 def with_group_values(df: DataFrame, keys: Sequence[str], **values: Column) -> DataFrame:
     """Add aggregates of each row's group as columns. Rows with a NULL key get NULLs."""
     per_group = df.groupBy(*keys).agg(*[v.alias(n) for n, v in values.items()])
-    return df.join(per_group, list(keys), "left")
+    return join_aggregated(df, per_group, keys, "left")
 
 
 def add_timepoint(df: DataFrame, key: str, year: str, name: str = "timepoint") -> DataFrame:
@@ -77,7 +78,7 @@ def flag_duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     ordered = [*order, *[c for c in rest if c not in order]]
     rank = F.struct(*ordered)
     lead = copies.groupBy(*keys).agg(F.min(rank).alias("_first"))
-    marked = copies.join(lead, list(keys), "left")
+    marked = join_aggregated(copies, lead, keys, "left")
     is_first = F.coalesce(rank == F.col("_first"), F.lit(False))
     return marked.select(
         *df.columns,

@@ -2,7 +2,7 @@
 
 No side carries a broadcast hint. Spark broadcasts a side by itself when its size, estimated or
 measured at run time, is below ``spark.sql.autoBroadcastJoinThreshold``; above it the join is a
-sort-merge join whose hot partitions adaptive execution splits.
+sort-merge join whose hot partitions adaptive execution splits (see ``skew``).
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortscope.operators.skew import join_aggregated
+
 
 def join_clinical(cases: DataFrame, clinical: DataFrame, on: str = "pid") -> DataFrame:
     """All cases with the clinical columns of their subject."""
@@ -46,12 +48,12 @@ def distinct_keys(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> D
 
 def semi_by_key(df: DataFrame, other: DataFrame, key: str, other_key: str | None = None) -> DataFrame:
     """Rows whose key occurs in ``other``. Its keys are made distinct before the shuffle."""
-    return df.join(distinct_keys(other, [other_key or key], [key]), key, "left_semi")
+    return join_aggregated(df, distinct_keys(other, [other_key or key], [key]), [key], "left_semi")
 
 
 def anti_by_key(df: DataFrame, other: DataFrame, key: str, other_key: str | None = None) -> DataFrame:
     """Rows whose key does not occur in ``other``; a NULL key in ``other`` removes nothing."""
-    return df.join(distinct_keys(other, [other_key or key], [key]), key, "left_anti")
+    return join_aggregated(df, distinct_keys(other, [other_key or key], [key]), [key], "left_anti")
 
 
 def missing_keys(wanted: DataFrame, df: DataFrame, key: str, df_key: str | None = None) -> DataFrame:
@@ -78,7 +80,7 @@ def resolve_by_accession(
     The catalogue is reduced to one path per key before the join, so no case meets more than one row.
     """
     first = catalog.groupBy(*keys).agg(F.min(path).alias("resolved_path"))
-    return cases.join(first, list(keys), "left")
+    return join_aggregated(cases, first, keys, "left")
 
 
 # A key with up to this many fragment pairs has them tested one by one against its folders.
@@ -95,7 +97,8 @@ def _tested(folders: DataFrame, wanted: DataFrame) -> DataFrame:
         lambda f: F.contains(F.col("_inner_name"), f["_inner"])
         & F.contains(F.col("_outer_name"), f["_outer"]),
     )
-    return folders.join(lists, "_key").select("_key", "_path", F.inline(fits))
+    listed = join_aggregated(folders, lists, ["_key"])
+    return listed.select("_key", "_path", F.inline(fits))
 
 
 def _substrings(text: str, lengths: str) -> Column:
@@ -119,21 +122,22 @@ def _cut(folders: DataFrame, wanted: DataFrame) -> DataFrame:
         F.collect_set(F.length("_outer")).alias("_outer_lengths"),
         F.collect_set(F.length("_inner")).alias("_inner_lengths"),
     )
-    by_inner = folders.join(lengths, "_key").select(
+    by_inner = join_aggregated(folders, lengths, ["_key"]).select(
         "_key",
         "_outer_name",
         "_outer_lengths",
         "_path",
         F.explode(_substrings("_inner_name", "_inner_lengths")).alias("_inner"),
     )
-    kept = by_inner.join(wanted.select("_key", "_inner").distinct(), ["_key", "_inner"], "left_semi")
+    inner_wanted = wanted.select("_key", "_inner").distinct()
+    kept = join_aggregated(by_inner, inner_wanted, ["_key", "_inner"], "left_semi")
     by_both = kept.select(
         "_key",
         "_inner",
         "_path",
         F.explode(_substrings("_outer_name", "_outer_lengths")).alias("_outer"),
     )
-    return by_both.join(wanted, ["_key", "_outer", "_inner"], "left_semi")
+    return join_aggregated(by_both, wanted, ["_key", "_outer", "_inner"], "left_semi")
 
 
 def resolve_by_suffix(
@@ -173,23 +177,19 @@ def resolve_by_suffix(
         F.col(path).alias("_path"),
     )
     sizes = wanted.groupBy("_key").agg(F.count(F.lit(1)).alias("_wanted"))
-    few = wanted.join(sizes.filter(F.col("_wanted") <= MAX_FRAGMENTS), "_key", "left_semi")
-    many = wanted.join(sizes.filter(F.col("_wanted") > MAX_FRAGMENTS), "_key", "left_semi")
+    sized = join_aggregated(wanted, sizes, ["_key"])
+    few = sized.filter(F.col("_wanted") <= MAX_FRAGMENTS).drop("_wanted")
+    many = sized.filter(F.col("_wanted") > MAX_FRAGMENTS).drop("_wanted")
     hits = _tested(folders, few).unionByName(_cut(folders, many))
     found = hits.groupBy("_key", "_outer", "_inner").agg(
         F.min("_path").alias("resolved_path"), F.count(F.lit(1)).alias("_matches")
     )
-    matched = cases.join(
-        found,
-        (F.col(key) == F.col("_key"))
-        & (F.col(outer_want) == F.col("_outer"))
-        & (F.col(inner_want) == F.col("_inner")),
-        "left",
-    )
+    found = found.withColumnsRenamed({"_key": key, "_outer": outer_want, "_inner": inner_want})
+    matched = join_aggregated(cases, found, [key, outer_want, inner_want], "left")
     n_matches = F.coalesce("_matches", F.lit(0))
     status = F.when(n_matches == 0, "none").when(n_matches == 1, "unique").otherwise("multiple")
     return matched.select(
-        *[cases[c] for c in cases.columns],
+        *cases.columns,
         "resolved_path",
         n_matches.alias("n_matches"),
         status.alias("match_status"),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_RANGES = 512
+SAMPLES_PER_RANGE = 8
 RANGE_COLUMN = "range_id"
 
 
@@ -23,16 +24,22 @@ def default_ranges(df: DataFrame) -> int:
 
 
 def range_splits(cells: DataFrame, order: str, by: Sequence[str], ranges: int) -> Column:
-    """Sorted split points as a scalar subquery of at most ``ranges - 1`` values.
+    """Sorted split points as a scalar subquery of ``ranges - 1`` values.
 
-    The sample is the cells with the smallest hashes: a uniform sample that depends on the data
-    alone, so every evaluation of the subquery, retries included, finds the same splits. All cell
-    columns take part in the sort, which keeps the plan below it equal to the main branch, so that
-    Spark reuses that shuffle instead of aggregating the input again.
+    They are quantiles of a sample of ``SAMPLES_PER_RANGE`` cells per range, the cells with the
+    smallest hashes: a uniform sample that depends on the data alone, so every evaluation of the
+    subquery, retries included, finds the same splits. All cell columns take part in the sort, which
+    keeps the plan below it equal to the main branch, so that Spark reuses that shuffle instead of
+    aggregating the input again.
     """
     rest = [c for c in cells.columns if c != order and c not in by]
-    sample = cells.orderBy(F.xxhash64(*by, order), *rest).limit(ranges - 1)
-    return sample.agg(F.array_sort(F.collect_list(order)).alias("splits")).scalar()
+    sample = cells.orderBy(F.xxhash64(*by, order), *rest).limit(SAMPLES_PER_RANGE * ranges)
+    ordered = sample.agg(F.array_sort(F.collect_list(order)).alias("o"))
+    quantiles = F.transform(
+        F.sequence(F.lit(1), F.lit(ranges - 1)),
+        lambda i: F.get("o", F.floor(i * F.size("o") / F.lit(ranges)).cast("int")),
+    )
+    return ordered.select(quantiles.alias("splits")).scalar()
 
 
 def range_of(value: Column, splits: Column, ranges: int) -> Column:
@@ -45,6 +52,29 @@ def range_of(value: Column, splits: Column, ranges: int) -> Column:
     )
 
 
+def _with_keys(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Cells with all keys present. Said before a plan branches, it keeps the branches' scans equal."""
+    for name in keys:
+        cells = cells.filter(F.col(name).isNotNull())
+    return cells
+
+
+def place_in_ranges(
+    cells: DataFrame, order: str, by: Sequence[str] = (), ranges: int | None = None
+) -> DataFrame:
+    """Add ``range_id``: about equally many cells per range, ranges ascending along ``order``."""
+    by = list(by)
+    ranges = ranges or default_ranges(cells)
+    cells = _with_keys(cells, [*by, order])
+    placed = cells.withColumn("_splits", range_splits(cells, order, by, ranges))
+    # explode() rather than a plain projection: the optimizer would otherwise copy the expression
+    # that defines the range into filters on the other side of a join on it.
+    return placed.select(
+        *cells.columns,
+        F.explode(F.array(range_of(F.col(order), F.col("_splits"), ranges))).alias(RANGE_COLUMN),
+    )
+
+
 def running_totals(
     cells: DataFrame,
     order: str,
@@ -52,7 +82,6 @@ def running_totals(
     by: Sequence[str] = (),
     descending: bool = False,
     ranges: int | None = None,
-    keep_range: bool = False,
 ) -> DataFrame:
     """Add ``cum_<v>`` (inclusive running sum) and ``total_<v>`` (group sum) for each of ``values``.
 
@@ -64,18 +93,10 @@ def running_totals(
     """
     by, values = list(by), list(values)
     ranges = ranges or default_ranges(cells)
-    # Said before the plan branches, so that all branches keep the same scan and shuffle.
-    for name in [*by, order]:
-        cells = cells.filter(F.col(name).isNotNull())
+    cells = _with_keys(cells, [*by, order])
     if ranges == 1:
-        return _plain_totals(cells, order, values, by, descending, keep_range)
-    placed = cells.withColumn("_splits", range_splits(cells, order, by, ranges))
-    # explode() rather than a plain projection: the optimizer would otherwise copy the expression
-    # that defines the range into filters on the other side of the join below.
-    placed = placed.select(
-        *cells.columns,
-        F.explode(F.array(range_of(F.col(order), F.col("_splits"), ranges))).alias(RANGE_COLUMN),
-    )
+        return _plain_totals(cells, order, values, by, descending)
+    placed = place_in_ranges(cells, order, by, ranges)
 
     along = F.col(RANGE_COLUMN).desc() if descending else F.col(RANGE_COLUMN).asc()
     group = by or [F.lit(0)]
@@ -99,15 +120,14 @@ def running_totals(
     # number is not bounded: hash both sides on the window's own keys, which the window then reuses.
     offsets = offsets.hint("shuffle_hash") if by else F.broadcast(offsets)
     joined = placed.join(offsets, [*by, RANGE_COLUMN])
-    kept = [*cells.columns, RANGE_COLUMN] if keep_range else cells.columns
     return joined.select(
-        *kept,
+        *cells.columns,
         *[(F.sum(v).over(within) + F.col(f"_before_{v}")).alias(f"cum_{v}") for v in values],
         *[f"total_{v}" for v in values],
     )
 
 
-def _plain_totals(cells, order, values, by, descending, keep_range) -> DataFrame:
+def _plain_totals(cells, order, values, by, descending) -> DataFrame:
     group = by or [F.lit(0)]
     along = F.col(order).desc() if descending else F.col(order).asc()
     running = (
@@ -118,7 +138,6 @@ def _plain_totals(cells, order, values, by, descending, keep_range) -> DataFrame
     whole = Window.partitionBy(*group)
     return cells.select(
         *cells.columns,
-        *([F.lit(0).alias(RANGE_COLUMN)] if keep_range else []),
         *[F.sum(v).over(running).alias(f"cum_{v}") for v in values],
         *[F.sum(v).over(whole).alias(f"total_{v}") for v in values],
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortscope.operators.prefix import exact_percentiles, running_totals
+from cohortscope.operators.skew import join_aggregated
 
 
 def feature_combinations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -74,7 +75,7 @@ def five_number_summary(df: DataFrame, value: str, by: Sequence[str]) -> DataFra
     cells = df.dropna(subset=[*by, value]).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_cell"))
     quartiles = exact_percentiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
-    joined = cells.join(quartiles, by)
+    joined = join_aggregated(cells, quartiles, by)
     inside = (F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach)
     return joined.groupBy(*by).agg(
         F.max("n").alias("n"),

@@ -24,21 +24,25 @@ def mann_whitney(df: DataFrame, value: str, dataset: str, baseline: str) -> Data
     )
     is_base = F.col("d") == baseline
     per_value = cells.groupBy("v").agg(F.sum(F.when(is_base, F.col("n")).otherwise(0)).alias("b"))
-    base = running_totals(per_value, "v", ["b"]).select(
-        "v", "b", (F.col("total_b") - F.col("cum_b")).alias("above"), F.col("total_b").alias("n_base")
+    per_value = per_value.withColumn("b_ties", _ties(F.col("b")))
+    base = running_totals(per_value, "v", ["b", "b_ties"]).select(
+        "v",
+        "b",
+        (F.col("total_b") - F.col("cum_b")).alias("above"),
+        F.col("total_b").alias("n_base"),
+        F.col("total_b_ties").alias("base_ties"),
     )
-    tie_terms = base.agg(F.sum(_ties(F.col("b"))).alias("base_ties"))
     others = cells.filter(~is_base).join(base, "v")
     n, b = F.col("n"), F.col("b")
     per_dataset = others.groupBy(F.col("d").alias(dataset)).agg(
         F.max("n_base").alias("n_baseline"),
         F.sum("n").alias("n_other"),
         F.sum(n * (F.col("above") + b / F.lit(2.0))).alias("u"),
-        F.sum(_ties(n + b) - _ties(b)).alias("_own_ties"),
+        (F.max("base_ties") + F.sum(_ties(n + b) - _ties(b))).alias("_ties"),
     )
     n1, n2 = F.col("n_baseline").cast("double"), F.col("n_other").cast("double")
     total = n1 + n2
-    spread = per_dataset.withColumn("_ties", F.col("_own_ties") + tie_terms.scalar()).withColumn(
+    spread = per_dataset.withColumn(
         "_sd",
         F.sqrt(n1 * n2 / 12.0 * (total + 1.0 - F.col("_ties") / (total * (total - 1.0)))),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -31,6 +33,20 @@ def build_session(app_name: str = "cohortscope", master: str | None = None, **co
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession, *folders: str) -> None:
+    """Make source folders importable in Python workers, once per session.
+
+    The programmatic form of ``spark-submit --py-files``, for sessions started without it.
+    """
+    context = spark.sparkContext
+    for folder in folders:
+        name = os.path.basename(folder)
+        if f"{name}.zip" not in {os.path.basename(f) for f in context.listFiles}:
+            base = os.path.join(tempfile.mkdtemp(prefix="package-"), name)
+            archive = shutil.make_archive(base, "zip", os.path.dirname(folder), name)
+            context.addPyFile(archive)
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """The path of a folder, not made yet, that every executor can reach.
 

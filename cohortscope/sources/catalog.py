@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortscope.functions.paths import parent_dir
+from cohortscope.operators.skew import join_aggregated
 
 
 def file_catalog(
@@ -107,4 +108,4 @@ def folder_summary(
 def check_paths_exist(cases: DataFrame, directory: str, catalog: DataFrame) -> DataFrame:
     """Cases whose directory holds no catalogued file: a report, not an error."""
     folders = catalog.select(parent_dir(F.col("path")).alias(directory)).distinct()
-    return cases.join(folders, directory, "left_anti")
+    return join_aggregated(cases, folders, [directory], "left_anti")

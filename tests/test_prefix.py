@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortscope.operators.prefix import (
     exact_percentiles,
+    place_in_ranges,
     running_totals,
     with_row_index,
 )
@@ -51,7 +52,7 @@ def test_running_totals_without_groups_and_with_one_hot_group(spark):
 
 def test_running_totals_spread_over_ranges(spark):
     df = spark.range(5000).select(F.col("id").alias("k"), F.lit(1).alias("v"))
-    placed = running_totals(df, "k", ["v"], ranges=8, keep_range=True)
+    placed = place_in_ranges(df, "k", ranges=8)
     sizes = [r["count"] for r in placed.groupBy("range_id").count().collect()]
     assert len(sizes) == 8
     assert max(sizes) < 5000 * 0.6
