@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortscope.operators.projection import drop_missing
+
 MAX_RANGES = 512
 SAMPLES_PER_RANGE = 8
 RANGE_COLUMN = "range_id"
@@ -52,20 +54,14 @@ def range_of(value: Column, splits: Column, ranges: int) -> Column:
     )
 
 
-def _with_keys(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Cells with all keys present. Said before a plan branches, it keeps the branches' scans equal."""
-    for name in keys:
-        cells = cells.filter(F.col(name).isNotNull())
-    return cells
-
-
 def place_in_ranges(
     cells: DataFrame, order: str, by: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:
     """Add ``range_id``: about equally many cells per range, ranges ascending along ``order``."""
     by = list(by)
     ranges = ranges or default_ranges(cells)
-    cells = _with_keys(cells, [*by, order])
+    # Said before the plan branches, it keeps the branches' scans equal.
+    cells = drop_missing(cells, [*by, order])
     placed = cells.withColumn("_splits", range_splits(cells, order, by, ranges))
     # explode() rather than a plain projection: the optimizer would otherwise copy the expression
     # that defines the range into filters on the other side of a join on it.
@@ -93,7 +89,7 @@ def running_totals(
     """
     by, values = list(by), list(values)
     ranges = ranges or default_ranges(cells)
-    cells = _with_keys(cells, [*by, order])
+    cells = drop_missing(cells, [*by, order])
     if ranges == 1:
         return _plain_totals(cells, order, values, by, descending)
     placed = place_in_ranges(cells, order, by, ranges)
@@ -148,7 +144,7 @@ def value_counts_ordered(
 ) -> DataFrame:
     """Distinct values per group with ``n``, ``cum_n`` and ``total_n`` in ascending order.
 
-    Null values and null group keys are left out, as in a pandas groupby.
+    Missing values and group keys are left out, as in a pandas groupby.
     """
     by = list(by)
     cells = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))

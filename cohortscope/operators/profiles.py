@@ -8,18 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortscope.operators.prefix import exact_percentiles, running_totals
+from cohortscope.operators.projection import drop_missing
 from cohortscope.operators.skew import join_aggregated
 
 
 def feature_combinations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """How often each combination of values occurs, most frequent first; NULL keys are left out."""
-    counts = df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    counts = drop_missing(df, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return counts.orderBy(F.desc("n"), *keys)
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Frequency of each value of one column."""
-    return df.dropna(subset=[column]).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    return drop_missing(df, [column]).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
 def count_or_zero(counts: DataFrame, column: str, values: Sequence) -> DataFrame:
@@ -61,7 +62,7 @@ def mean_ci(
 ) -> DataFrame:
     """Mean and linear-interpolated percentiles per group, for groups of any size."""
     bounds = exact_percentiles(df, value, {"lower_bound": lower, "upper_bound": upper}, by)
-    means = df.groupBy(*by).agg(F.avg(value).alias("mean"))
+    means = drop_missing(df, [*by, value]).groupBy(*by).agg(F.avg(value).alias("mean"))
     if not by:
         return bounds.withColumn("mean", means.scalar()).select(
             "mean", "lower_bound", "upper_bound"
@@ -72,8 +73,9 @@ def mean_ci(
 def five_number_summary(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Box-plot data per group: quartiles, whiskers inside 1.5 IQR and the number of outliers."""
     by = list(by)
-    cells = df.dropna(subset=[*by, value]).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_cell"))
-    quartiles = exact_percentiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
+    present = drop_missing(df, [*by, value])
+    cells = present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_cell"))
+    quartiles = exact_percentiles(present, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     joined = join_aggregated(cells, quartiles, by)
     inside = (F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach)

@@ -7,6 +7,7 @@ from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Lists longer than this are joined instead of being written into the plan.
 MAX_LITERALS = 1000
@@ -17,6 +18,18 @@ def to_numeric(text: Column) -> Column:
     return text.try_cast("double")
 
 
+def drop_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows in which all ``columns`` hold a value; NaN counts as missing.
+
+    Unlike ``dropna`` this is said in comparisons that a scan can use to skip data.
+    """
+    for name in columns:
+        df = df.filter(F.col(name).isNotNull())
+        if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+            df = df.filter(~F.isnan(name))
+    return df
+
+
 def drop_sentinels(df: DataFrame, columns: Sequence[str], sentinels: Sequence[str]) -> DataFrame:
     """Rows whose ``columns`` hold neither NULL nor a sentinel text."""
     for name in columns:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortscope.functions.normal import two_sided_p
 from cohortscope.operators.prefix import running_totals
+from cohortscope.operators.projection import drop_missing
 
 
 def mann_whitney(df: DataFrame, value: str, dataset: str, baseline: str) -> DataFrame:
@@ -18,7 +19,7 @@ def mann_whitney(df: DataFrame, value: str, dataset: str, baseline: str) -> Data
     baseline values below each is known, so no dataset is ever paired with another row by row.
     """
     cells = (
-        df.dropna(subset=[value, dataset])
+        drop_missing(df, [value, dataset])
         .groupBy(F.col(value).alias("v"), F.col(dataset).alias("d"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortscope.operators.evaluation import cumulative_cells, ranking_metrics, score_cells
 from cohortscope.operators.prefix import running_totals
+from cohortscope.operators.projection import drop_missing
 
 METRICS = ("auroc", "auprc", "average_precision")
 
@@ -53,7 +54,7 @@ def censoring_distribution(
 ) -> DataFrame:
     """Kaplan-Meier survival of the censoring times: ``time``, ``n_at_risk``, ``n_censored``, ``g``."""
     by = list(by)
-    cells = df.dropna(subset=[time, event]).groupBy(*by, F.col(time).alias("time")).agg(
+    cells = drop_missing(df, [time, event]).groupBy(*by, F.col(time).alias("time")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(event) == 0).alias("n_censored")
     )
     at_risk = running_totals(cells, "time", ["n"], by, descending=True)

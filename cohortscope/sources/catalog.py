@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from fnmatch import fnmatch
 
@@ -14,6 +15,10 @@ from cohortscope.functions.paths import parent_dir
 from cohortscope.operators.skew import join_aggregated
 
 
+# No file system allows longer paths.
+MAX_PATH = 65536
+
+
 def file_catalog(
     spark: SparkSession, root: str, glob: str = "*", levels: Sequence[str] = ()
 ) -> DataFrame:
@@ -45,31 +50,32 @@ def file_catalog_by_folder(
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = fs.FileSystem.from_uri(root)
+        base = base.rstrip("/")
         for batch in batches:
             for folder in batch[name]:
                 chosen = fs.FileSelector(f"{base}/{folder}", allow_not_found=True, recursive=True)
                 files = [i for i in system.get_file_info(chosen) if i.is_file]
                 files = [i for i in files if fnmatch(i.base_name, glob)]
-                yield pd.DataFrame(
-                    {"path": [i.path for i in files], "length": [i.size for i in files]},
-                ).astype({"path": object, "length": "int64"})
+                paths = [f"{root.rstrip('/')}{i.path[len(base):]}" for i in files]
+                sizes = [i.size for i in files]
+                yield pd.DataFrame({"path": paths, "length": sizes}).astype(
+                    {"path": object, "length": "int64"}
+                )
 
     spread = folders.select(F.col(name).cast("string").alias(name)).distinct()
     listed = spread.mapInPandas(walk, "path string, length long")
     return with_levels(listed, root, levels) if levels else listed
 
 
+# Fixed value: scheme and host in front of a path.
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
 def with_levels(catalog: DataFrame, root: str, levels: Sequence[str]) -> DataFrame:
     """Add the folder names below ``root`` as columns."""
-    plain = F.regexp_replace("path", "^[a-z0-9]+:/*(?=/)", "")
-    below = F.split(F.expr("substring(_plain, length(_root) + 2)"), "/")
-    named = catalog.withColumn("_plain", plain).withColumn(
-        "_root", F.lit(root.rstrip("/").removeprefix("file://").removeprefix("file:"))
-    )
-    named = named.withColumn("_parts", below)
-    for position, name in enumerate(levels):
-        named = named.withColumn(name, F.get("_parts", F.lit(position)))
-    return named.drop("_plain", "_root", "_parts")
+    start = len(re.sub(SCHEME, "", root).rstrip("/")) + 2
+    below = F.split(F.substring(F.regexp_replace("path", SCHEME, ""), start, MAX_PATH), "/")
+    return catalog.withColumns({name: F.get(below, F.lit(i)) for i, name in enumerate(levels)})
 
 
 def first_file_per_folder(catalog: DataFrame, path: str = "path") -> DataFrame:

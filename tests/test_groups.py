@@ -134,3 +134,11 @@ def test_summaries(spark):
 def test_conditional_median(spark):
     df = spark.createDataFrame([(1, 2.0), (1, 3.0), (0, 5.0), (0, None)], "event int, t double")
     assert rows(conditional_median(df, "t"), "event", "median") == [(0, 5.0), (1, 2.5)]
+
+
+def test_nan_counts_as_missing(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("a", 1.0), ("a", nan), ("a", None), ("a", 3.0)], "g string, v double")
+    assert conditional_median(df, "v", "g").first()["median"] == 2.0
+    assert rows(average_ranks(df, "v"), "v", "avg_rank") == [(1.0, 1.0), (3.0, 2.0)]
+    assert five_number_summary(df, "v", ["g"]).first()["n"] == 2

@@ -15,6 +15,7 @@ from cohortscope.sources.catalog import (
     file_catalog_by_folder,
     files_per_folder,
     first_file_per_folder,
+    with_levels,
 )
 from cohortscope.sources.sinks import memoize, write_by_label, write_cases
 from cohortscope.sources.tables import normalize_headers, read_cases, read_indexed_csv, read_json_map
@@ -72,6 +73,17 @@ def test_catalog(spark, tmp_path):
     assert rows(check_paths_exist(cases, "Directory", catalog), "id") == [(2,)]
 
 
+def test_levels_below_any_kind_of_root(spark):
+    for root, path in (
+        ("hdfs://node:8020/data/ct", "hdfs://node:8020/data/ct/p1/t1/x.dcm"),
+        ("s3a://bucket", "s3a://bucket/p1/t1/x.dcm"),
+        ("file:///data", "file:/data/p1/t1/x.dcm"),
+        ("/data/", "file:/data/p1/t1/x.dcm"),
+    ):
+        catalog = spark.createDataFrame([(path,)], "path string")
+        assert rows(with_levels(catalog, root, ["p", "t"]), "p", "t") == [("p1", "t1")]
+
+
 def test_listing_does_not_read_contents(spark, tmp_path):
     (tmp_path / "a.dcm").write_bytes(b"x")
     plan = file_catalog(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
