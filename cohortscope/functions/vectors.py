@@ -26,9 +26,7 @@ def evaluate_once(value: Column, then: Callable[[Column], Column]) -> Column:
 
 def parse_vector(text: Column) -> Column:
     """``"[1, 0]"`` or ``"(1.0, 0.5)"`` to an array of doubles; anything else to NULL."""
-    numbers = F.transform(
-        F.split(F.translate(text, "[]()", ""), ","), lambda part: F.trim(part).try_cast("double")
-    )
+    numbers = F.split(F.translate(text, "[]()", ""), ",").try_cast("array<double>")
     return evaluate_once(
         numbers, lambda v: F.when(~F.exists(v, lambda x: x.isNull()), v)
     )

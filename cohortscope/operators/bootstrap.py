@@ -27,7 +27,6 @@ from cohortscope.operators.prefix import (
     with_row_index,
 )
 from cohortscope.operators.survival import (
-    METRICS,
     concordance_index,
     censoring_distribution,
     tidy_metrics,

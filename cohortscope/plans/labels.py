@@ -22,7 +22,7 @@ def annotation_labels(
     root: str,
     prefix: str,
     tie_order: Sequence[str],
-    key: str = "LNDbID",
+    key: str = "pid",
     kind: str = "NodType",
     grade: str = "Malignancy",
     nodule: str = "nod",
