@@ -392,6 +392,28 @@ def bootstrap_survival_query(spark, sf_dir):
     )
 
 
+@query(
+    "bootstrap_c_index",
+    f"""WITH {CENSORING_SQL}, {resampled_sql('cohort', 'pid', 5)},
+        s AS (SELECT replicate, event, years_to_event AS time, [{', '.join(SCORES)}] AS p
+              FROM drawn JOIN numbered ON pick = idx),
+        pairs AS (
+          SELECT a.replicate, CASE WHEN g > 0 THEN 1.0 / (g * g) ELSE 0.0 END AS w,
+                 CASE WHEN a.p[a.time + 1] > b.p[a.time + 1] THEN 1.0
+                      WHEN a.p[a.time + 1] = b.p[a.time + 1] THEN 0.5 ELSE 0.0 END AS won
+          FROM s a JOIN s b ON a.replicate = b.replicate AND a.event = 1 AND a.time < b.time
+          JOIN km ON km.time = a.time)
+        SELECT replicate, round(sum(w * won) / sum(w), 9) AS c_index FROM pairs GROUP BY 1""",
+)
+def bootstrap_c_index_query(spark, sf_dir):
+    """The concordance of each replicate, compared with a statement that forms all pairs."""
+    values = bootstrap_exact(
+        cohort(spark, sf_dir), "pid", SCORES, "years_to_event", "event", 5, with_c_index=True
+    )
+    c = values.filter("metric = 'c_index'")
+    return c.select("replicate", rounded("value", 9, "c_index"))
+
+
 @query("bootstrap_cells")
 def bootstrap_cells_query(spark, sf_dir):
     """The form for large tables: draws counts of cells, so only its distribution is fixed."""

@@ -354,6 +354,25 @@ def in_list_query(spark, sf_dir):
     return in_list(events, "event_type", ["click", "view", "other"])
 
 
+@query(
+    "null_predicates",
+    """SELECT d.doc_id, lang, 'ungraded' AS state FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+       WHERE quality IS NULL AND lang <> 'en'
+       UNION ALL SELECT d.doc_id, lang, 'graded' FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+       WHERE lang <> 'en'""",
+)
+def null_predicates_query(spark, sf_dir):
+    """Rows with and rows without a value."""
+    joined = (
+        table(spark, sf_dir, "documents")
+        .filter(F.col("lang") != "en")
+        .join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    )
+    absent = joined.filter(F.col("quality").isNull()).withColumn("state", F.lit("ungraded"))
+    present = joined.filter(F.col("quality").isNotNull()).withColumn("state", F.lit("graded"))
+    return absent.unionByName(present).select("doc_id", "lang", "state")
+
+
 @query(
     "pack_array",
     "SELECT vec_id, list_transform([embedding[1], embedding[2], embedding[3]], lambda x: round(CAST(x AS DOUBLE), 6))[2] "
