@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 
 from cohortscope.operators.evaluation import cumulative_cells, score_cells, summarise_cells
 from cohortscope.operators.prefix import (
-    MAX_RANGES,
     RANGE_COLUMN,
     default_ranges,
     place_in_ranges,
@@ -35,6 +34,8 @@ from cohortscope.operators.survival import (
 
 # Cells x replicates drawn at a time: bounds the memory of a task and keeps arrays in cache.
 DRAWS_PER_BLOCK = 200_000
+# The fewest ranges, and so tasks, a cell bootstrap is spread over.
+MIN_RANGES = 32
 # Up to this many cases one replicate is small enough to be ordered by a single task.
 SMALL_COHORT = 1_000_000
 
@@ -154,8 +155,8 @@ def bootstrap_cells(
     labelled rows, as when cases censored early count in the draw but not in the metric.
     """
     by = list(by)
-    # Drawing is slow per cell, so ranges are finer than for plain sums and spread evenly.
-    ranges = ranges or min(MAX_RANGES, 4 * default_ranges(df))
+    # One task per range, and drawing is slow per cell: at least a few ranges per core.
+    ranges = ranges or max(default_ranges(df), MIN_RANGES)
     placed = place_in_ranges(score_cells(df, score, label, by), "threshold", by, ranges)
     per_range = placed.groupBy(*by, RANGE_COLUMN).agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
