@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -50,10 +51,13 @@ def ship_package(spark: SparkSession, *folders: str) -> None:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """The path of a folder, not made yet, that every executor can reach.
 
-    It lies under ``spark.checkpoint.dir`` when the cluster names one. Only a session without that
-    setting (a local test) gets a temporary folder of this machine.
+    It lies under ``spark.checkpoint.dir``. A session on one machine may leave that unset (tests) and
+    gets a temporary folder; on several machines each would write to a disk of its own, so that is an
+    error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{tempfile.mkdtemp(prefix=f'{label}-')}/data"
