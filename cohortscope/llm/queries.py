@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
+    "simhash",
     "token_files",
     "token_counts",
 )
