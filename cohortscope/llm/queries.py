@@ -6,6 +6,8 @@ import importlib
 
 MODULES = (
     "simhash",
+    "toxicity",
+    "quality",
     "token_files",
     "token_counts",
 )
