@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortscope.llm.base import query, rebatched, table
-from cohortscope.llm.tokens import encoder, vocabulary
+from cohortscope.llm.tokens import SLICE, encoder, vocabulary
 from cohortscope.session import scratch_dir
 
 END_ID = 2
@@ -49,7 +49,7 @@ def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndar
 def _encode_parts(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, done = encoder(path).encode, TaskContext.get().partitionId(), 0
-        for batch in rebatched(batches, "text"):
+        for batch in rebatched(batches, "text", SLICE):
             ids, offsets = with_end(*encode(batch.column("text")), end_id)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(

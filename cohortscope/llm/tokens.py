@@ -1,7 +1,8 @@
 """Token ids of whole texts with a vocabulary file of the tokenizers library.
 
 A text is cut at white space, which this kind of vocabulary drops, and the library encodes each
-distinct piece once. Pieces recur, so that most are found among those already encoded.
+distinct piece of a batch once. Words and the marks behind them are encoded apart in any case, and small
+letters are all the vocabulary sees, so plain words are told apart without either.
 """
 
 from __future__ import annotations
@@ -12,13 +13,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces kept in each of the two generations of a worker's memory; older ones are encoded again.
-REMEMBERED = 400_000
+#: Characters given to ``encode`` at a time: the more, the fewer distinct pieces are encoded again.
+SLICE = 12_000_000
+#: Pieces whose ids are put together at a time.
+GATHERED = 1 << 18
 #: A fixed value of the vocabulary: a special token, put between pieces that are encoded together.
 SEPARATOR = "<|startoftext|>"
 #: Control characters that Arrow splits at although they aren't white space to the library.
 NOT_SPACE = r"[\x1c-\x1f]"
-LAST_MARKS = ".,"
+#: Words of Latin letters, which never combine with what follows, and the marks behind them.
+PLAIN = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
 _encoders: dict[str, "PieceEncoder"] = {}
 
@@ -32,63 +36,68 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = self.tokenizer.token_to_id(SEPARATOR)
-        wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
-        self.dtype = np.dtype("<u4" if wide else "<u2")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype=self.dtype).tobytes()
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece; pieces that may hold a special token are encoded on their own."""
-        plain = [p for p in pieces if "<|" not in p and "|>" not in p]
-        found = {}
-        if plain and self.separator is not None:
-            joined = self.tokenizer.encode_batch_fast([SEPARATOR.join(plain)], add_special_tokens=False)
-            ids = np.array(joined[0].ids, dtype=self.dtype)
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.dtype = np.dtype("<u4" if max(names.values()) >= 1 << 16 else "<u2")
+        self.ends_word = np.zeros(max(names.values()) + 1, bool)
+        self.ends_word[[i for name, i in names.items() if name.endswith("</w>")]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        encoded = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(encoded[0].ids, dtype=self.dtype)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters on end, and each one's number of ids."""
+        ids = self._ids(" ".join(words))
+        last = np.flatnonzero(self.ends_word[ids])
+        if len(last) != len(words):
+            return self._pieces(words)
+        return ids, np.diff(last, prepend=-1)
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any pieces; those that may hold a special token are encoded on their own."""
+        if self.separator is not None and not any("<|" in p or "|>" in p for p in pieces):
+            ids = self._ids(SEPARATOR.join(pieces))
             cuts = np.flatnonzero(ids == self.separator)
-            if len(cuts) == len(plain) - 1:
-                raw, size = ids.tobytes(), self.dtype.itemsize
-                starts = [0, *((cuts + 1) * size).tolist()]
-                ends = [*(cuts * size).tolist(), len(raw)]
-                found = {p: raw[a:z] for p, a, z in zip(plain, starts, ends, strict=True)}
-        return [found[p] if p in found else self._whole(p) for p in pieces]
-
-    def _remembered(self, piece: str) -> bytes | None:
-        ids = self.young.get(piece)
-        if ids is None:
-            ids = self.old.get(piece)
-            if ids is not None:
-                self.young[piece] = ids
-        return ids
-
-    def _lookup(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces."""
-        young, old = self.young, self.old
-        known = list(map(young.get, pieces))
-        missing = []
-        for i in [i for i, ids in enumerate(known) if ids is None]:
-            ids = known[i] = old.get(pieces[i])
-            if ids is None:
-                missing.append(i)
-            else:
-                young[pieces[i]] = ids
-        if missing:
-            parts = [split_marks(pieces[i]) for i in missing]
-            words = {p for pair in parts for p in pair if p}
-            held = {p: self._remembered(p) for p in words}
-            new = [p for p, ids in held.items() if ids is None]
-            encoded = dict(zip(new, self._encode(new), strict=True))
-            held |= encoded
-            young |= encoded
-            for i, (word, marks) in zip(missing, parts, strict=True):
-                ids = held[word] if word else b""
-                known[i] = young[pieces[i]] = ids + held[marks] if marks else ids
-        if len(young) > REMEMBERED:
-            self.old, self.young = young, {}
-        return known
+            if len(cuts) == len(pieces) - 1:
+                return np.delete(ids, cuts), np.diff(cuts, prepend=-1, append=len(ids)) - 1
+        each = [self._ids(p) for p in pieces]
+        return np.concatenate([np.zeros(0, self.dtype), *each]), np.array([len(i) for i in each], np.int64)
+
+    def _lookup(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces on end, and each one's number of ids."""
+        if not len(pieces):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        parts = pc.extract_regex(pieces, PLAIN)
+        plain = parts.is_valid()
+        words = pc.utf8_lower(pc.struct_field(parts.filter(plain), "word")).dictionary_encode()
+        marks = pc.struct_field(parts.filter(plain), "marks").dictionary_encode()
+        others = pieces.filter(pc.invert(plain)).to_pylist()
+        odd = [p for p in others if "<|" in p or "|>" in p]
+        usual = [p for p in others if not ("<|" in p or "|>" in p)]
+        stores, sizes, begin = [], [], [0]
+        for store, size in (
+            self._words(words.dictionary.to_pylist()),
+            self._pieces(marks.dictionary.to_pylist()),
+            self._pieces(usual),
+            self._pieces(odd),
+        ):
+            stores.append(store)
+            sizes.append(size)
+            begin.append(begin[-1] + len(size))
+        # Each piece is a word and its marks; for other pieces the marks are entry ``begin[4]``, empty.
+        first = np.empty(len(pieces), np.int64)
+        second = np.full(len(pieces), begin[4], np.int64)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        first[is_plain] = words.indices.to_numpy(zero_copy_only=False)
+        second[is_plain] = marks.indices.to_numpy(zero_copy_only=False) + begin[1]
+        is_odd = np.array(["<|" in p or "|>" in p for p in others], bool)
+        rest = np.empty(len(others), np.int64)
+        rest[~is_odd] = np.arange(len(usual)) + begin[2]
+        rest[is_odd] = np.arange(len(odd)) + begin[3]
+        first[~is_plain] = rest
+        sizes = np.concatenate([*sizes, [0]])
+        ids, _ = gather(np.concatenate(stores), sizes, np.stack([first, second], axis=1).ravel())
+        return ids, sizes[first] + sizes[second]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and where each text's ids begin (and the last ones end).
@@ -97,36 +106,31 @@ class PieceEncoder:
         """
         texts = texts.cast(pa.large_string())
         odd = pc.match_substring_regex(texts, NOT_SPACE).fill_null(False)
-        split = pc.utf8_split_whitespace(pc.if_else(odd, "", texts).fill_null(""))
+        any_odd = pc.any(odd).as_py()
+        split = pc.utf8_split_whitespace((pc.if_else(odd, "", texts) if any_odd else texts).fill_null(""))
         pieces = split.flatten().dictionary_encode()
-        known = self._lookup(pieces.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
-        held = np.frombuffer(b"".join(known), dtype=self.dtype)
-        begins = np.concatenate([[0], np.cumsum(sizes)])
-        which = pieces.indices.to_numpy(zero_copy_only=False)
-        counts = sizes[which]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        ids = held[np.repeat(begins[which] - ends[:-1], counts) + np.arange(ends[-1])]
+        ids, ends = gather(*self._lookup(pieces.dictionary), pieces.indices.to_numpy(zero_copy_only=False))
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
         offsets = ends[bounds]
-        if pc.any(odd).as_py():
+        if any_odd:
             parts = [ids[a:z] for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
             for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
-                parts[i] = np.frombuffer(self._whole(texts[i].as_py()), dtype=self.dtype)
+                parts[i] = self._ids(texts[i].as_py())
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
             ids = np.concatenate(parts)
         return ids, offsets
 
 
-def split_marks(piece: str) -> tuple[str, str]:
-    """A piece as word and final marks, which are encoded apart in any case; plain words in small letters.
-
-    Only after Latin letters, which never combine with what follows.
-    """
-    word = piece.rstrip(LAST_MARKS)
-    if not word or word[-1] > "ÿ" or not word[-1].isalpha():
-        return piece, ""
-    return (word.lower() if word.isascii() and word.isalpha() else word), piece[len(word) :]
+def gather(store: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``which`` of a store of runs with these sizes, on end, and where each begins and ends."""
+    begins, counts = np.cumsum(sizes) - sizes, sizes[which]
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    out = np.empty(ends[-1], store.dtype)
+    for a in range(0, len(which), GATHERED):
+        z = min(a + GATHERED, len(which))
+        shift = np.repeat(begins[which[a:z]] - ends[a:z], counts[a:z])
+        out[ends[a] : ends[z]] = store[shift + np.arange(ends[a], ends[z])]
+    return out, ends
 
 
 def encoder(path: str) -> PieceEncoder:
