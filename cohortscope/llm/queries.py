@@ -8,6 +8,8 @@ MODULES = (
     "simhash",
     "toxicity",
     "quality",
+    "sentence_spans",
+    "packing",
     "token_files",
     "token_counts",
 )
