@@ -6,6 +6,7 @@ import importlib
 
 MODULES = (
     "simhash",
+    "decontamination",
     "toxicity",
     "quality",
     "sentence_spans",
