@@ -17,9 +17,14 @@ MODULES = (
 
 
 def all_llm_queries() -> tuple[dict, dict]:
-    """Every corpus query and every SQL statement, by name."""
+    """Every corpus query, the pipeline included, and every SQL statement, by name."""
     from cohortscope.llm.base import ORACLES, QUERIES
 
     for module in MODULES:
         importlib.import_module(f"cohortscope.llm.{module}")
-    return dict(QUERIES), dict(ORACLES)
+    import corpus_pipeline
+
+    queries, oracles = {**QUERIES, "pipeline": corpus_pipeline.run}, dict(ORACLES)
+    if corpus_pipeline.ORACLE_SQL is not None:
+        oracles["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return queries, oracles
