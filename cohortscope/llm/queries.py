@@ -6,6 +6,7 @@ import importlib
 
 MODULES = (
     "simhash",
+    "pivot_topk",
     "decontamination",
     "toxicity",
     "quality",
