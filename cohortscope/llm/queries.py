@@ -8,6 +8,7 @@ MODULES = (
     "simhash",
     "pivot_topk",
     "decontamination",
+    "licenses",
     "toxicity",
     "quality",
     "sentence_spans",
