@@ -79,7 +79,10 @@ def slices(batch: pa.RecordBatch, column: str, max_chars: int = 4_000_000) -> It
 
 
 def rebatched(batches: Iterator[pa.RecordBatch], column: str, max_chars: int = 4_000_000):
+    """All batches in slices; what Arrow holds in reserve goes back to the system after each."""
     import pyarrow.compute  # noqa: F401  # loads pa.compute
 
     for batch in batches:
         yield from slices(batch, column, max_chars)
+        del batch
+        pa.default_memory_pool().release_unused()

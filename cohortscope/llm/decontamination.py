@@ -53,7 +53,7 @@ SHORT = 8
 BLOCK = 8
 #: Longest passage served, blocks in a window, blocks from one window to the next.
 SCALES = ((16, 3, 1), (32, 6, 2), (64, 12, 4))
-SLICE = 4_000_000
+SLICE = 2_000_000
 LEAKS = "array<struct<item_id:bigint,passage:int,lcs:double,cosine:double>>"
 PASSAGES_SCHEMA = "item_id long, passage int, words array<string>, answer array<string>, spread long"
 

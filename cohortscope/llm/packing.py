@@ -150,7 +150,7 @@ def _tokenise(path: str, end_id: int):
 
 def _pack(schedule: Schedule, queues: dict, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rebatched(batches, "ids", 8_000_000):
+        for batch in rebatched(batches, "ids", 4_000_000):
             sources = batch.column("source").to_pylist()
             queue = np.array([queues[s] for s in sources], np.int64)
             begins = batch.column("begin").to_numpy(zero_copy_only=False)

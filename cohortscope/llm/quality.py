@@ -36,7 +36,7 @@ from cohortscope.llm.features import (
 )
 
 BITS = 20
-MAX_ROWS = 16_000
+MAX_ROWS = 8_000
 THRESHOLD = 0.7
 SCALE = 5.0
 

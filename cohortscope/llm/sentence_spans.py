@@ -3,21 +3,20 @@
 A text is cut into sentences. Every run of ``SPAN`` consecutive sentences with at least ``MIN_WORDS`` words
 is hashed to 128 bits over small letters and single spaces. Equal hashes meet across all documents; of each
 repeated span the first occurrence, by ``doc_id`` and then place in the text, stays, and every sentence
-that lies in a later occurrence is removed.
+that lies in a later occurrence is removed. Repetitions within a text are found where it is hashed.
 
 A sentence ends at full stops, exclamation or question marks before white space, and at line ends. Where
 fewer than ``MIN_SENTENCE`` words stand before an end, it is passed over; a sentence of more than
 ``MAX_SENTENCE`` words is cut after every so many. All of it depends on the words around alone, so that the
 same passage is cut alike in any document.
 
-Only hashes and places are shuffled to find repetitions, and the first place of a hash is kept by an
+Only hashes and places are shuffled to find repetitions, and the first document of a hash is kept by an
 aggregation that starts before the shuffle, so a span that a third of all documents share is a row per task.
 The second pass hashes again instead of storing the spans, and joins them to the repeated hashes, where a
 hot hash can be split over tasks. Texts move once, to meet the places to remove.
 
 Defined results: null and empty texts stay as they are; a null ``doc_id`` comes after all others; rows of
-equal ``doc_id`` count as one document, so a span in the same place of two of them is no repetition; ties
-can't be otherwise; texts without a removed sentence come back unchanged, byte for byte; a text whose
+equal ``doc_id`` count as one document and don't repeat each other; texts without a removed sentence come back unchanged, byte for byte; a text whose
 sentences all go becomes empty; an empty table gives no rows; other columns pass unchanged whatever their
 names.
 """
@@ -41,7 +40,7 @@ MIN_SENTENCE = 3
 MAX_SENTENCE = 16
 END = re.compile(r"[.!?]+\s+|\n\s*")
 WORD = re.compile(r"\S+\s*")
-SPANS_SCHEMA = "h1 long, h2 long, id long, place int"
+SPANS_SCHEMA = "h1 long, h2 long, id long, place int, again boolean"
 #: Odd multipliers that put the hashes of a span's sentences in order.
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 LAST = (1 << 63) - 1
@@ -97,22 +96,31 @@ def _hash_spans(span: int, min_words: int):
             for i in range(1, span):
                 one = one * MIX[0] + hashes[i : n + i, 0]
                 two = (two ^ (two >> np.uint64(31))) * MIX[1] + hashes[i : n + i, 1]
+            one, two, row, place = one[kept], two[kept], row[:n][kept], place[:n][kept]
+            order = np.lexsort((place, two, one, row))
+            one, two, row, place = one[order], two[order], row[order], place[order]
+            again = np.zeros(len(one), bool)
+            again[1:] = (row[1:] == row[:-1]) & (one[1:] == one[:-1]) & (two[1:] == two[:-1])
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(one[kept].view(np.int64)),
-                    pa.array(two[kept].view(np.int64)),
-                    pa.array(ids[row[:n][kept]]),
-                    pa.array(place[:n][kept].astype(np.int32)),
+                    pa.array(one.view(np.int64)),
+                    pa.array(two.view(np.int64)),
+                    pa.array(ids[row]),
+                    pa.array(place.astype(np.int32)),
+                    pa.array(again),
                 ],
-                names=["h1", "h2", "id", "place"],
+                names=["h1", "h2", "id", "place", "again"],
             )
 
     return run
 
 
 def spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
-    """h1, h2 (the hash), id (doc_id, null as the last one) and place of every span."""
+    """h1, h2 (the hash), id (doc_id, null as the last one) and place of every span.
+
+    ``again`` marks spans that the same text has before.
+    """
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.col("text").cast("string").alias("text")
     )
@@ -123,16 +131,15 @@ def repeated_places(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORD
     """id and place of every occurrence of a span but its first."""
     first = (
         spans(docs, span, min_words)
+        .filter("NOT again")
         .groupBy("h1", "h2")
-        .agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n"))
+        .agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
         .filter("n > 1")
-        .select("h1", "h2", F.col("first.id").alias("first_id"), F.col("first.place").alias("first_place"))
+        .drop("n")
     )
     first = written(first, "repeated-spans")
-    later = (F.col("id") > F.col("first_id")) | (
-        (F.col("id") == F.col("first_id")) & (F.col("place") > F.col("first_place"))
-    )
-    return spans(docs, span, min_words).join(first, ["h1", "h2"]).filter(later).select("id", "place")
+    later = F.col("again") | F.coalesce(F.col("id") > F.col("first_id"), F.lit(False))
+    return spans(docs, span, min_words).join(first, ["h1", "h2"], "left").filter(later).select("id", "place")
 
 
 def _remove(span: int, text_at: int, cut_at: int, names: list[str]):

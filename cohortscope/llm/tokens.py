@@ -14,7 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Characters given to ``encode`` at a time: the more, the fewer distinct pieces are encoded again.
-SLICE = 12_000_000
+SLICE = 8_000_000
+#: Distinct pieces given to the library at a time.
+ENCODED = 10_000
 #: Pieces whose ids are put together at a time.
 GATHERED = 1 << 18
 #: A fixed value of the vocabulary: a special token, put between pieces that are encoded together.
@@ -45,6 +47,12 @@ class PieceEncoder:
         encoded = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return np.array(encoded[0].ids, dtype=self.dtype)
 
+    def _in_groups(self, encode, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` over groups of pieces; the library needs far more memory than its text has."""
+        parts = [encode(pieces[a : a + ENCODED]) for a in range(0, len(pieces), ENCODED)]
+        ids = np.concatenate([np.zeros(0, self.dtype), *(p[0] for p in parts)])
+        return ids, np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)])
+
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of letters on end, and each one's number of ids."""
         ids = self._ids(" ".join(words))
@@ -76,10 +84,10 @@ class PieceEncoder:
         usual = [p for p in others if not ("<|" in p or "|>" in p)]
         stores, sizes, begin = [], [], [0]
         for store, size in (
-            self._words(words.dictionary.to_pylist()),
-            self._pieces(marks.dictionary.to_pylist()),
-            self._pieces(usual),
-            self._pieces(odd),
+            self._in_groups(self._words, words.dictionary.to_pylist()),
+            self._in_groups(self._pieces, marks.dictionary.to_pylist()),
+            self._in_groups(self._pieces, usual),
+            self._in_groups(self._pieces, odd),
         ):
             stores.append(store)
             sizes.append(size)

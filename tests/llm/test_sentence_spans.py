@@ -16,12 +16,14 @@ def brute(rows):
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
     first, gone = {}, [set() for _ in rows]
     for i in order:
+        own = set()
         for p in range(len(plain[i]) - SPAN + 1):
             text = tuple(plain[i][p : p + SPAN])
             if sum(len(s.split()) for s in text) < MIN_WORDS:
                 continue
-            if first.setdefault(text, (rows[i][0], p)) != (rows[i][0], p):
+            if first.setdefault(text, rows[i][0]) != rows[i][0] or text in own:
                 gone[i] |= set(range(p, p + SPAN))
+            own.add(text)
     return [
         (d, "".join(s for j, s in enumerate(c) if j not in g).rstrip() if g else t, len(g))
         for (d, t), c, g in zip(rows, cut, gone, strict=True)
