@@ -21,7 +21,6 @@ from pyspark.sql import types as T
 from cohortscope.operators.evaluation import cumulative_cells, score_cells, summarise_cells
 from cohortscope.operators.prefix import (
     RANGE_COLUMN,
-    default_ranges,
     place_in_ranges,
     with_row_index,
 )
@@ -34,10 +33,9 @@ from cohortscope.operators.survival import (
 
 # Cells x replicates drawn at a time: bounds the memory of a task and keeps arrays in cache.
 DRAWS_PER_BLOCK = 200_000
-# The fewest ranges, and so tasks, a cell bootstrap is spread over.
-MIN_RANGES = 32
-# Up to this many cases one replicate is small enough to be ordered by a single task.
-SMALL_COHORT = 1_000_000
+# Ranges, and so tasks, a cell bootstrap is spread over. Part of what fixes its draws, so it doesn't
+# follow the cluster; a caller with very many distinct scores gives more.
+CELL_RANGES = 64
 
 
 def draw_index(seed: int, replicate, position, n_rows):
@@ -47,29 +45,23 @@ def draw_index(seed: int, replicate, position, n_rows):
     return bits % n_rows
 
 
-def resample_rows(
-    df: DataFrame, key: str, n_replicates: int, seed: int, n_rows: int
-) -> DataFrame:
+def resample_rows(df: DataFrame, key: str, n_replicates: int, seed: int) -> DataFrame:
     """``n_replicates`` resamples of the table, n of n with replacement, tagged ``replicate``.
 
-    Rows are numbered along the unique ``key``. Draws are generated by the rows themselves and find
+    Rows are numbered along the unique ``key``, and n is the number of rows so numbered: rows without
+    a key are neither drawn nor counted. Draws are generated by the rows themselves and find
     their row by an equi join on the index.
     """
-    indexed = with_row_index(df, key, ranges=_ranges_for(n_rows))
+    indexed = with_row_index(df, key)
     replicates = F.explode(F.sequence(F.lit(0), F.lit(n_replicates - 1)))
-    draws = indexed.select("row_index", replicates.alias("replicate")).select(
+    draws = indexed.select("row_index", "n_rows", replicates.alias("replicate")).select(
         "replicate",
-        draw_index(seed, F.col("replicate"), F.col("row_index"), F.lit(n_rows)).alias("drawn"),
+        draw_index(seed, F.col("replicate"), F.col("row_index"), F.col("n_rows")).alias("drawn"),
     )
     rows = indexed.withColumnRenamed("row_index", "drawn").drop("n_rows")
     return draws.join(rows, "drawn").drop("drawn")
 
 
-def _ranges_for(n_rows: int) -> int | None:
-    """One range per replicate once the table is known to be small, else the default number."""
-    return 1 if n_rows <= SMALL_COHORT else None
-
-
 def bootstrap_exact(
     df: DataFrame,
     key: str,
@@ -79,21 +71,18 @@ def bootstrap_exact(
     n_replicates: int,
     seed: int = 42,
     with_c_index: bool = False,
-    n_rows: int | None = None,
 ) -> DataFrame:
     """``replicate``, ``year``, ``metric``, ``value``; replicates lacking a class in a year are left out.
 
-    The rows are counted first unless ``n_rows`` gives their number. ``with_c_index`` adds the
+    ``with_c_index`` adds the
     concordance of each replicate (``year`` NULL), weighted by the censoring distribution of the
     whole cohort.
     """
     needed = df.select(*dict.fromkeys([key, *scores, time, event]))
-    n_rows = df.count() if n_rows is None else n_rows
-    samples = resample_rows(needed, key, n_replicates, seed, n_rows)
-    ranges = _ranges_for(n_rows)
+    samples = resample_rows(needed, key, n_replicates, seed)
     keys = ["replicate", "year"]
     yearly = yearly_cases(samples, scores, time, event, keep=["replicate"])
-    points = cumulative_cells(score_cells(yearly, "score", "label", keys), keys, ranges=ranges)
+    points = cumulative_cells(score_cells(yearly, "score", "label", keys), keys)
     values = tidy_metrics(summarise_cells(points, keys), keys)
     if with_c_index:
         c = concordance_index(
@@ -150,13 +139,13 @@ def bootstrap_cells(
     Drawing n of n rows is a multinomial draw over cells, and a multinomial splits exactly: first
     over ranges of scores, then over the cells inside a range. Every task repeats the small first
     draw from the same seed and then walks through its own range only, a block of cells at a time.
+    The draws depend on the data, ``seed`` and ``ranges`` alone.
 
     ``n_rows`` (columns ``by``, ``n_rows``) gives the size of the resample where it exceeds the
     labelled rows, as when cases censored early count in the draw but not in the metric.
     """
     by = list(by)
-    # One task per range, and drawing is slow per cell: at least a few ranges per core.
-    ranges = ranges or max(default_ranges(df), MIN_RANGES)
+    ranges = ranges or CELL_RANGES
     placed = place_in_ranges(score_cells(df, score, label, by), "threshold", by, ranges)
     per_range = placed.groupBy(*by, RANGE_COLUMN).agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg")

@@ -66,6 +66,19 @@ def argmax_row_per_group(
     return first_per_group(df, [key], [F.col(value).desc_nulls_last(), *tie_order])
 
 
+def mark_duplicates(df: DataFrame, keys: Sequence[str], name: str = "is_duplicate") -> DataFrame:
+    """Every row, marked if its key occurs more than once. A NULL key counts as a key.
+
+    The counts are aggregated before the shuffle and joined back, so a hot key is split.
+    """
+    counts = df.groupBy(*keys).agg((F.count(F.lit(1)) > 1).alias(name))
+    own = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_k{i}") for i, k in enumerate(keys)]
+    own += [F.col(k).isNull().alias(f"_n{i}") for i, k in enumerate(keys)]
+    matched = [f"_k{i}" for i in range(len(keys))] + [f"_n{i}" for i in range(len(keys))]
+    marked = join_aggregated(df.select("*", *own), counts.select(*own, name), matched)
+    return marked.select(*df.columns, name)
+
+
 def flag_duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Which rows repeat a key, and how often.
 
@@ -98,18 +111,26 @@ def minmax_scale_255(df: DataFrame, keys: Sequence[str], value: str, name: str =
 def slice_numbers(df: DataFrame, key: str, order: str, extension: str = ".png") -> DataFrame:
     """Number the slices of a scan from 1 and name their files ``001.png`` ..
 
-    ``order`` is unique within a scan. Adds ``slice_number`` and ``file_name``.
+    ``order`` is unique within a scan. Adds ``slice_number`` and ``file_name``, NULL for slices
+    without a scan or a place in it.
     """
     numbered = running_totals(df.withColumn("_one", F.lit(1)), order, ["_one"], by=[key])
-    return numbered.select(
+    named = numbered.select(
         *df.columns,
         F.col("cum__one").alias("slice_number"),
         F.format_string(f"%03d{extension}", "cum__one").alias("file_name"),
     )
+    without = F.col(key).isNull() | F.col(order).isNull()
+    if isinstance(df.schema[order].dataType, (T.DoubleType, T.FloatType)):
+        without = without | F.isnan(order)
+    return named.unionByName(df.filter(without), allowMissingColumns=True)
 
 
 def middle_element(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Element ``n // 2`` (counted from 0) of each sequence; ``order`` is unique within one."""
+    """Element ``n // 2`` (counted from 0) of each sequence; ``order`` is unique within one.
+
+    Elements without a sequence or a place in it are none to choose from and don't count.
+    """
     numbered = running_totals(df.withColumn("_one", F.lit(1)), order, ["_one"], by=[key])
     middle = F.col("cum__one") - 1 == F.expr("total__one div 2")
     return numbered.filter(middle).select(*df.columns)

@@ -16,8 +16,11 @@ from cohortscope.operators.skew import join_aggregated
 
 
 def join_clinical(cases: DataFrame, clinical: DataFrame, on: str = "pid") -> DataFrame:
-    """All cases with the clinical columns of their subject."""
-    return cases.join(clinical, on, "left")
+    """All cases with the clinical columns of their subject.
+
+    The clinical table may be derived, and so already lie by subject; hot subjects are still split.
+    """
+    return join_aggregated(cases, clinical, [on], "left")
 
 
 def join_outcome(
@@ -39,7 +42,7 @@ def join_suffixed(
     shared = (set(left.columns) & set(right.columns)) - {on}
     left = left.withColumnsRenamed({c: f"{c}{suffixes[0]}" for c in shared})
     right = right.withColumnsRenamed({c: f"{c}{suffixes[1]}" for c in shared})
-    return left.join(right, on, how)
+    return join_aggregated(left, right, [on], how)
 
 
 def distinct_keys(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:

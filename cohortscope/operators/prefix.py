@@ -14,15 +14,15 @@ from pyspark.sql import functions as F
 
 from cohortscope.operators.projection import drop_missing
 
-MAX_RANGES = 512
+# Offsets of an ungrouped order are broadcast up to this many rows; each is a few numbers.
+MAX_BROADCAST_RANGES = 100_000
 SAMPLES_PER_RANGE = 8
 RANGE_COLUMN = "range_id"
 
 
 def default_ranges(df: DataFrame) -> int:
-    """As many ranges as the session shuffles into, at most ``MAX_RANGES``."""
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(2, min(configured, MAX_RANGES))
+    """As many ranges as the session shuffles into: results don't depend on it, only the tasks do."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def range_splits(cells: DataFrame, order: str, by: Sequence[str], ranges: int) -> Column:
@@ -113,8 +113,10 @@ def running_totals(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     # Without groups the offsets are at most `ranges` rows and are broadcast. With groups their
-    # number is not bounded: hash both sides on the window's own keys, which the window then reuses.
-    offsets = offsets.hint("shuffle_hash") if by else F.broadcast(offsets)
+    # number is not bounded: Spark sorts and merges both sides on the window's own keys, can spill,
+    # and the window reuses the order of the keys.
+    if not by and ranges <= MAX_BROADCAST_RANGES:
+        offsets = F.broadcast(offsets)
     joined = placed.join(offsets, [*by, RANGE_COLUMN])
     return joined.select(
         *cells.columns,

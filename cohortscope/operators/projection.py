@@ -9,9 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Lists longer than this are joined instead of being written into the plan.
-MAX_LITERALS = 1000
-
 
 def to_numeric(text: Column) -> Column:
     """A number, or NULL where the text is none."""
@@ -39,18 +36,20 @@ def drop_sentinels(df: DataFrame, columns: Sequence[str], sentinels: Sequence[st
 
 
 def max_bound(df: DataFrame, column: str, bound: float) -> DataFrame:
-    """Rows with a number up to ``bound``; text that is no number counts as missing."""
+    """Rows with a number up to ``bound``; text that is no number counts as missing.
+
+    A column of numbers is compared as it is, which a scan can use to skip data.
+    """
+    if isinstance(df.schema[column].dataType, T.NumericType):
+        return df.filter((F.col(column) <= bound) & ~F.isnan(F.col(column).cast("double")))
     return df.filter(to_numeric(F.col(column).cast("string")) <= bound)
 
 
-def in_list(df: DataFrame, column: str, values: Sequence) -> DataFrame:
-    """Rows whose value is listed; a long list becomes a semi join."""
-    if len(values) <= MAX_LITERALS:
-        return df.filter(F.col(column).isin(*values))
-    wanted = df.sparkSession.createDataFrame(
-        [(v,) for v in set(values)], f"{column} {df.schema[column].dataType.simpleString()}"
-    )
-    return df.join(wanted, column, "left_semi")
+def in_list(df: DataFrame, column: str, values: Sequence | DataFrame) -> DataFrame:
+    """Rows whose value is listed: in a sequence that becomes part of the plan, or in a one-column table."""
+    if isinstance(values, DataFrame):
+        return df.join(values.toDF(column), column, "left_semi")
+    return df.filter(F.col(column).isin(*values))
 
 
 def map_values(column: Column, mapping: Mapping) -> Column:

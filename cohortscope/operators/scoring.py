@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortscope.operators.joins import anti_by_key
+from cohortscope.operators.joins import anti_by_key, semi_by_key
 from cohortscope.schemas import N_YEARS, score_columns
+from cohortscope.session import scratch_dir
 
 # A loader runs once per worker and returns predict(batch) -> scores, an (n, years) array.
 Loader = Callable[[], Callable[[pd.DataFrame], np.ndarray]]
@@ -70,22 +71,33 @@ def score_resume(
     todo: DataFrame,
     done_path: str,
     key: str,
-    load_model: Loader,
+    load_model: Loader | FeatureLoader,
     years: int = N_YEARS,
     n_chunks: int = 1,
+    features: bool = False,
 ) -> DataFrame:
-    """Score the cases that ``done_path`` does not hold yet and return all of them.
+    """Score the cases that ``done_path`` does not hold yet and return all of ``todo``.
+
+    With ``features`` the model is one that returns (scores, features), and both are stored.
 
     The remaining cases are taken in ``n_chunks`` hash chunks of their unique key and appended chunk
     by chunk, so an interrupted run loses one chunk at most and the next run, with any number of
     chunks, carries on from the rows it finds.
     """
     spark = todo.sparkSession
-    schema = T.StructType(
-        todo.schema.fields + [T.StructField(n, T.DoubleType()) for n in score_columns(years)]
-    )
-    remaining = anti_by_key(todo, scored_so_far(spark, done_path, schema), key)
+    added = [T.StructField(n, T.DoubleType()) for n in score_columns(years)]
+    if features:
+        added.append(T.StructField("features", T.ArrayType(T.DoubleType())))
+    schema = T.StructType(todo.schema.fields + added)
+    score = score_with_features if features else score_cases
+    # The keys left are found once and stored in chunks, so each chunk reads its own part of them.
+    left = scratch_dir(spark, "remaining")
+    keys = todo.select(key).withColumn("_chunk", F.pmod(F.xxhash64(key), F.lit(n_chunks)).cast("int"))
+    done = scored_so_far(spark, done_path, schema)
+    anti_by_key(keys, done, key).write.partitionBy("_chunk").parquet(left)
+    stored = spark.read.schema(keys.schema).parquet(left)
     for chunk in range(n_chunks):
-        part = remaining.filter(F.pmod(F.xxhash64(key), F.lit(n_chunks)) == chunk)
-        score_cases(part, load_model, years).write.mode("append").parquet(done_path)
-    return scored_so_far(spark, done_path, schema)
+        part = todo.filter(F.pmod(F.xxhash64(key), F.lit(n_chunks)) == chunk)
+        part = semi_by_key(part, stored.filter(F.col("_chunk") == chunk), key)
+        score(part, load_model, years).write.mode("append").parquet(done_path)
+    return semi_by_key(scored_so_far(spark, done_path, schema), todo, key)

@@ -48,9 +48,10 @@ def with_tiers(
     for number in range(len(rules), 0, -1):
         tier = F.when(rules[number - 1][1], F.lit(number)).otherwise(tier)
     batches = F.array(*[F.lit(b) for b, _ in rules])
-    # explode() keeps the optimizer from copying the rules, and whatever expressions define their
-    # columns, into a filter that evaluates all of it a second time.
-    ranked = df.select(*df.columns, F.explode(F.array(tier)).alias("tier"))
+    # Said as one condition on the columns, the rules can reach the scan. explode() keeps the optimizer
+    # from copying the tier itself, and whatever defines its columns, into a second filter.
+    some_rule = reduce(lambda a, b: a | b, [rule for _, rule in rules])
+    ranked = df.filter(some_rule).select(*df.columns, F.explode(F.array(tier)).alias("tier"))
     ranked = ranked.filter(F.col("tier").isNotNull())
     return ranked.withColumn("batch", F.get(batches, F.col("tier") - 1))
 

@@ -100,7 +100,8 @@ def concordance_index(
     """Censoring-weighted concordance (Uno et al. 2011) as ``n_pairs`` and ``c_index``.
 
     Times are whole years. ``censoring`` is a table (``time``, ``g``), by default the one estimated
-    from the data itself; pairs at a time with g = 0 count nothing. Because the weight depends on
+    from the data itself; pairs at a time with g = 0 count nothing, and an event year that a given table
+    lacks is an error. Because the weight depends on
     the event year only, the index is a weighted mean of one AUROC-like sum per year: no pairs are
     formed. NULL if no pair is comparable.
     """
@@ -116,7 +117,8 @@ def concordance_index(
     )
     weights = censoring.select(F.col("time").cast("int").alias("t"), "g")
     weighted = per_year.join(weights, "t", "left")
-    w = F.when(F.col("g") > 0, F.lit(1.0) / (F.col("g") * F.col("g"))).otherwise(0.0)
+    known = F.coalesce("g", F.when(F.col("pairs") > 0, F.raise_error(F.lit("an event year has no censoring weight"))))
+    w = F.when(known > 0, F.lit(1.0) / (known * known)).otherwise(0.0)
     compared = F.sum(w * F.col("pairs"))
     return weighted.groupBy(*by).agg(
         F.sum("pairs").cast("long").alias("n_pairs"),

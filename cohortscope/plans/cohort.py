@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortscope.functions.paths import parent_dir, year_from_path
 from cohortscope.functions.survival import (
@@ -20,7 +21,7 @@ from cohortscope.functions.survival import (
 from cohortscope.functions.vectors import ct_orientation
 from cohortscope.operators.groups import dedupe_keep_first, first_per_group
 from cohortscope.operators.joins import join_clinical
-from cohortscope.operators.projection import drop_sentinels, max_bound
+from cohortscope.operators.projection import drop_sentinels, max_bound, to_numeric
 from cohortscope.operators.selection import acquisition_tiers, with_tiers
 from cohortscope.sources.tables import SENTINELS
 
@@ -39,11 +40,14 @@ LABELLED_COLUMNS = [
 
 def describe_scans(headers: DataFrame) -> DataFrame:
     """Header rows with scan plane and year, thickness as a number."""
+    thickness = F.col("SliceThickness")
+    if not isinstance(headers.schema["SliceThickness"].dataType, T.NumericType):
+        thickness = to_numeric(thickness.cast("string"))
     return headers.withColumns(
         {
             "Orientation": ct_orientation(F.col("ImageOrientationPatient")),
             "Year": year_from_path(F.col("Directory")),
-            "SliceThickness": F.col("SliceThickness").cast("string").try_cast("double"),
+            "SliceThickness": thickness.cast("double"),
             "ConvolutionKernel": F.col("ConvolutionKernel").cast("string"),
         }
     )
@@ -134,11 +138,15 @@ def labelled_cohort(
     timepoint: str = "baseline",
     max_followup: int = 1,
     include: Column | None = None,
+    tiers: Sequence[tuple[int, Column]] | None = None,
+    days_per_year: int = DAYS_PER_YEAR,
+    n_timepoints: int = 3,
 ) -> DataFrame:
     """Selection and labelling in one lazy plan, with the columns later stages use."""
-    scans = select_scans(headers, timepoint, include=include)
+    scans = select_scans(headers, timepoint, tiers, include)
     scans = scans.withColumn("pid", F.col("pid").cast("long"))
-    return label_survival(scans, clinical, max_followup).select(*LABELLED_COLUMNS)
+    labelled = label_survival(scans, clinical, max_followup, days_per_year, n_timepoints)
+    return labelled.select(*LABELLED_COLUMNS)
 
 
 def thin_axial_cases(cases: DataFrame, max_thickness: float = 3.0) -> DataFrame:

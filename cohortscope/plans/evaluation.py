@@ -15,9 +15,6 @@ from cohortscope.operators.survival import (
     yearly_cases,
 )
 
-# Above this many replicate x case records the bootstrap draws cells instead of rows.
-MAX_EXACT_DRAWS = 2_000_000_000
-
 
 def bootstrap_intervals(
     df: DataFrame,
@@ -27,21 +24,22 @@ def bootstrap_intervals(
     event: str,
     n_replicates: int = 5000,
     seed: int = 42,
-    method: str = "auto",
+    method: str = "cells",
+    with_c_index: bool = False,
 ) -> DataFrame:
-    """``year``, ``metric``, mean and 95% interval. ``auto`` counts the cases to choose a method."""
-    n_rows = df.count()
-    if method == "auto":
-        method = "exact" if n_rows * n_replicates <= MAX_EXACT_DRAWS else "cells"
+    """``year``, ``metric``, mean and 95% interval.
+
+    ``cells`` draws counts of distinct scores and works at any size; ``exact`` draws rows, costs
+    replicates x rows, and alone can give the interval of the C-index (``year`` NULL).
+    """
+    if method not in ("cells", "exact") or (with_c_index and method == "cells"):
+        raise ValueError("method is 'cells' or 'exact', and the C-index needs 'exact'")
     if method == "exact":
-        values = bootstrap_exact(
-            df, key, scores, time, event, n_replicates, seed, n_rows=n_rows
-        )
+        values = bootstrap_exact(df, key, scores, time, event, n_replicates, seed, with_c_index)
     else:
         yearly = yearly_cases(df, scores, time, event)
-        sizes = df.sparkSession.range(1, len(scores) + 1).select(
-            F.col("id").cast("int").alias("year"), F.lit(n_rows).alias("n_rows")
-        )
+        years = F.explode(F.sequence(F.lit(1), F.lit(len(scores)))).alias("year")
+        sizes = df.agg(F.count(F.lit(1)).alias("n_rows")).select(years, "n_rows")
         values = bootstrap_cells(
             yearly, "score", "label", n_replicates, seed, by=["year"], n_rows=sizes
         )
@@ -57,6 +55,8 @@ def evaluate_cohort(
     n_replicates: int = 5000,
     seed: int = 42,
     censoring: DataFrame | None = None,
+    method: str = "cells",
+    with_c_index: bool = False,
 ) -> dict[str, DataFrame]:
     """All evaluation tables of a scored cohort, each a lazy DataFrame.
 
@@ -65,7 +65,9 @@ def evaluate_cohort(
     """
     yearly = yearly_cases(df, scores, time, event)
     metrics = survival_metrics(df, scores, time, event)
-    intervals = bootstrap_intervals(df, key, scores, time, event, n_replicates, seed)
+    intervals = bootstrap_intervals(
+        df, key, scores, time, event, n_replicates, seed, method, with_c_index
+    )
     return {
         "metrics": metrics,
         "roc": roc_curve(yearly, "score", "label", ["year"]),

@@ -35,5 +35,6 @@ def memoize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> D
 
 
 def write_by_label(df: DataFrame, path: str, label: str = "outcome", fmt: str = "parquet") -> None:
-    """One folder per label value; nothing is rewritten if the output exists."""
-    df.write.mode("ignore").partitionBy(label).format(fmt).save(path)
+    """One folder per label value; a finished output is kept, an interrupted one is written again."""
+    if not is_complete(df.sparkSession, path):
+        df.write.mode("overwrite").partitionBy(label).format(fmt).save(path)

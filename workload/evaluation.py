@@ -30,6 +30,7 @@ from cohortscope.operators.survival import (
     survival_metrics,
     yearly_cases,
 )
+from cohortscope.plans.evaluation import evaluate_cohort
 from cohortscope.session import scratch_dir
 from workload.base import (
     COHORT_SQL,
@@ -303,6 +304,11 @@ def concordance_index_query(spark, sf_dir):
 # --- bootstrap --------------------------------------------------------------------------------
 
 
+# Replicates of the registered bootstraps: enough for 2.5 % percentiles; the last one's statement forms
+# all pairs of every replicate.
+REPLICATES, SURVIVAL_REPLICATES, PAIR_REPLICATES = 1000, 200, 40
+
+
 def resampled_sql(source: str, key: str, replicates: int) -> str:
     """CTEs ``numbered`` and ``drawn``: row indexes from the same hash as the Spark side."""
     return f"""
@@ -319,7 +325,7 @@ INTERVAL_SQL = """count(value) AS n_replicates, round(avg(value), 9) AS mean,
                round(quantile_cont(value, 0.975), 9) AS upper_bound"""
 
 GRADED_BOOT_SQL = f"""
-WITH {GRADED_SQL}, {resampled_sql('graded', 'doc_id', 200)},
+WITH {GRADED_SQL}, {resampled_sql('graded', 'doc_id', REPLICATES)},
 resampled AS (SELECT replicate, score, label FROM drawn JOIN numbered ON pick = idx),
 {points_sql('resampled', 'replicate')}, {areas_sql('replicate')},
 tidy AS (
@@ -332,7 +338,7 @@ tidy AS (
 def graded_bootstrap(spark, sf_dir):
     """Everyone observed at time 0: the plain AUROC of a label."""
     cases = graded(spark, sf_dir).withColumn("time", F.lit(0))
-    return bootstrap_exact(cases, "doc_id", ["score"], "time", "label", 200)
+    return bootstrap_exact(cases, "doc_id", ["score"], "time", "label", REPLICATES)
 
 
 @query(
@@ -374,7 +380,7 @@ def ci_error_bars_query(spark, sf_dir):
 
 @query(
     "bootstrap_survival",
-    f"""WITH {YEARLY_SQL}, {resampled_sql('cohort', 'pid', 20)},
+    f"""WITH {YEARLY_SQL}, {resampled_sql('cohort', 'pid', SURVIVAL_REPLICATES)},
         resampled AS (
           SELECT replicate, year, score, label FROM drawn
           JOIN numbered ON pick = idx JOIN yearly ON numbered.pid = yearly.pid),
@@ -386,7 +392,9 @@ def ci_error_bars_query(spark, sf_dir):
 )
 def bootstrap_survival_query(spark, sf_dir):
     """Intervals of all yearly metrics; a resampled case brings all its years."""
-    values = bootstrap_exact(cohort(spark, sf_dir), "pid", SCORES, "years_to_event", "event", 20)
+    values = bootstrap_exact(
+        cohort(spark, sf_dir), "pid", SCORES, "years_to_event", "event", SURVIVAL_REPLICATES
+    )
     return metric_ci(values).withColumns(
         {c: F.round(c, 9) for c in ("mean", "lower_bound", "upper_bound")}
     )
@@ -394,7 +402,7 @@ def bootstrap_survival_query(spark, sf_dir):
 
 @query(
     "bootstrap_c_index",
-    f"""WITH {CENSORING_SQL}, {resampled_sql('cohort', 'pid', 5)},
+    f"""WITH {CENSORING_SQL}, {resampled_sql('cohort', 'pid', PAIR_REPLICATES)},
         s AS (SELECT replicate, event, years_to_event AS time, [{', '.join(SCORES)}] AS p
               FROM drawn JOIN numbered ON pick = idx),
         pairs AS (
@@ -408,7 +416,7 @@ def bootstrap_survival_query(spark, sf_dir):
 def bootstrap_c_index_query(spark, sf_dir):
     """The concordance of each replicate, compared with a statement that forms all pairs."""
     values = bootstrap_exact(
-        cohort(spark, sf_dir), "pid", SCORES, "years_to_event", "event", 5, with_c_index=True
+        cohort(spark, sf_dir), "pid", SCORES, "years_to_event", "event", PAIR_REPLICATES, with_c_index=True
     )
     c = values.filter("metric = 'c_index'")
     return c.select("replicate", rounded("value", 9, "c_index"))
@@ -417,10 +425,36 @@ def bootstrap_c_index_query(spark, sf_dir):
 @query("bootstrap_cells")
 def bootstrap_cells_query(spark, sf_dir):
     """The form for large tables: draws counts of cells, so only its distribution is fixed."""
-    values = bootstrap_cells(flagged(spark, sf_dir), "fine_score", "label", 100, by=["arm"])
+    values = bootstrap_cells(flagged(spark, sf_dir), "fine_score", "label", REPLICATES, by=["arm"])
     return metric_ci(values, ["arm", "metric"])
 
 
+@query(
+    "evaluate_cohort",
+    f"""WITH {YEARLY_SQL}, {points_sql('yearly', 'year')}, {areas_sql('year')},
+        {resampled_sql('cohort', 'pid', SURVIVAL_REPLICATES)},
+        once AS (SELECT * FROM {TIDY_SQL}),
+        resampled AS (
+          SELECT replicate, year, score, label FROM drawn
+          JOIN numbered ON pick = idx JOIN yearly ON numbered.pid = yearly.pid),
+        {points_sql('resampled', 'replicate, year').replace('cells', 'cells2').replace('pts', 'pts2')},
+        {areas_sql('replicate, year').replace('areas', 'areas2').replace('pts', 'pts2').replace('lagged', 'lagged2')},
+        tidy AS {TIDY_SQL.replace('areas', 'areas2')},
+        ci AS (SELECT year, metric, {INTERVAL_SQL} FROM tidy GROUP BY 1, 2)
+        SELECT year, metric, round(value, 6) AS value, round(mean, 6) AS mean,
+               round(lower_bound, 6) AS lower_bound, round(upper_bound, 6) AS upper_bound
+        FROM once JOIN ci USING (year, metric)""",
+)
+def evaluate_cohort_query(spark, sf_dir):
+    """The whole evaluation's metrics beside their intervals."""
+    tables = evaluate_cohort(
+        cohort(spark, sf_dir), "pid", SCORES, n_replicates=SURVIVAL_REPLICATES, method="exact"
+    )
+    both = tables["metrics"].join(tables["intervals"], ["year", "metric"])
+    numbers = ("value", "mean", "lower_bound", "upper_bound")
+    return both.select("year", "metric", *[rounded(c, 6) for c in numbers])
+
+
 # --- rank tests -------------------------------------------------------------------------------
 
 MANN_WHITNEY_SQL = """
@@ -487,7 +521,7 @@ def linear_model_with_features():
 
     def both(batch):
         vectors = np.stack(batch["embedding"].to_numpy()).astype(float)
-        return predict(batch), vectors[:, :8] * 2.0
+        return predict(batch), vectors * 2.0
 
     return both
 
@@ -512,8 +546,8 @@ def score_cases_query(spark, sf_dir):
 @query(
     "score_with_features",
     SCORED_SQL
-    + """, round(2 * CAST(embedding[1] AS DOUBLE), 6) AS feature_0,
-         round(2 * CAST(embedding[8] AS DOUBLE), 6) AS feature_7, 8 AS width FROM embeddings""",
+    + "".join(f", round(2 * CAST(embedding[{i + 1}] AS DOUBLE), 6) AS feature_{i}" for i in range(64))
+    + ", 64 AS width FROM embeddings",
 )
 def score_with_features_query(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -521,20 +555,24 @@ def score_with_features_query(spark, sf_dir):
     return scored.select(
         "vec_id",
         *rounded_scores(),
-        rounded(F.get("features", F.lit(0)), 6, "feature_0"),
-        rounded(F.get("features", F.lit(7)), 6, "feature_7"),
+        *[rounded(F.get("features", F.lit(i)), 6, f"feature_{i}") for i in range(64)],
         F.size("features").alias("width"),
     )
 
 
-@query("score_resume", SCORED_SQL + " FROM embeddings")
+@query("score_resume", SCORED_SQL + """
+    , round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS feature_sum FROM embeddings""")
 def score_resume_query(spark, sf_dir):
-    """An interrupted run left some labels scored; the second run does the rest, each case once."""
-    done = scratch_dir(spark, "scored")
+    """An interrupted run left some labels scored; the second run does the rest, each case once.
+
+    Scores and features are stored together.
+    """
+    done, model = scratch_dir(spark, "scored"), linear_model_with_features
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
-    score_resume(vectors.filter("label < 4"), done, "vec_id", linear_model)
-    finished = score_resume(vectors, done, "vec_id", linear_model, n_chunks=2)
-    return finished.select("vec_id", *rounded_scores())
+    score_resume(vectors.filter("label < 4"), done, "vec_id", model, features=True)
+    finished = score_resume(vectors, done, "vec_id", model, n_chunks=2, features=True)
+    total = F.aggregate("features", F.lit(0.0), lambda a, f: a + f)
+    return finished.select("vec_id", *rounded_scores(), F.round(total / 2, 6).alias("feature_sum"))
 
 
 @query(

@@ -11,6 +11,7 @@ from cohortscope.operators.groups import (
     first_per_group,
     flag_duplicates,
     last_per_group,
+    mark_duplicates,
     middle_element,
     minmax_scale_255,
     slice_numbers,
@@ -290,6 +291,17 @@ def flag_duplicates_query(spark, sf_dir):
     return flag_duplicates(lines, ["l_orderkey", "l_linenumber"], ["l_returnflag"])
 
 
+@query(
+    "mark_duplicates",
+    """SELECT l_orderkey, l_linenumber, l_suppkey,
+              count(*) OVER (PARTITION BY l_orderkey, l_suppkey) > 1 AS is_duplicate FROM lineitem""",
+)
+def mark_duplicates_query(spark, sf_dir):
+    """Every row stays; rows of the same key are marked."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    return mark_duplicates(lines, ["l_orderkey", "l_suppkey"])
+
+
 @query("drop_duplicate_rows", "SELECT DISTINCT l_returnflag, l_quantity, l_discount FROM lineitem")
 def drop_duplicate_rows_query(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_discount")

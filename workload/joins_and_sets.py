@@ -198,7 +198,7 @@ def resolve_by_suffix_query(spark, sf_dir):
 def lookup_by_timepoint_query(spark, sf_dir):
     """Timepoints before the first or after the last column give NULL."""
     orders = table(spark, sf_dir, "orders")
-    joined = orders.join(clinical(spark, sf_dir), F.col("o_custkey") == F.col("pid"), "left")
+    joined = join_clinical(orders.withColumn("pid", F.col("o_custkey")), clinical(spark, sf_dir))
     timepoint = F.year("o_orderdate") - 1996
     days = lookup_by_timepoint([F.col(f"scr_days{i}") for i in range(3)], timepoint)
     return joined.select("o_orderkey", timepoint.alias("timepoint"), days.alias("days"))

@@ -29,6 +29,8 @@ from cohortscope.functions.survival import (
     years_to_event,
 )
 from cohortscope.functions.vectors import ct_orientation, parse_vector
+from cohortscope.operators.joins import join_clinical
+from cohortscope.operators.skew import join_aggregated
 from cohortscope.plans.cohort import baseline_cases, labelled_cohort, thin_axial_cases
 from workload.base import (
     CLINICAL_SQL,
@@ -210,7 +212,7 @@ def flip_index_query(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     sizes = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_files"))
     flipped = flip_index(F.col("n_files"), F.col("l_linenumber"))
-    return lines.join(sizes, "l_orderkey").select(
+    return join_aggregated(lines, sizes, ["l_orderkey"]).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", flipped.alias("flipped")
     )
 
@@ -246,7 +248,7 @@ e AS (SELECT *, CASE WHEN years_dx < 6 THEN 1 ELSE 0 END AS event FROM y)"""
 
 def timed(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    joined = orders.join(clinical(spark, sf_dir), F.col("o_custkey") == F.col("pid"), "left")
+    joined = join_clinical(orders.withColumn("pid", F.col("o_custkey")), clinical(spark, sf_dir))
     timepoint = F.year("o_orderdate") - 1996
     recorded = lookup_by_timepoint([F.col(f"scr_days{i}") for i in range(3)], timepoint)
     return joined.select(

@@ -357,17 +357,14 @@ def in_list_query(spark, sf_dir):
 @query(
     "null_predicates",
     """SELECT d.doc_id, lang, 'ungraded' AS state FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
-       WHERE quality IS NULL AND lang <> 'en'
+       WHERE quality IS NULL
        UNION ALL SELECT d.doc_id, lang, 'graded' FROM documents d JOIN labels l ON d.doc_id = l.doc_id
-       WHERE lang <> 'en'""",
+       WHERE quality IS NOT NULL""",
 )
 def null_predicates_query(spark, sf_dir):
     """Rows with and rows without a value."""
-    joined = (
-        table(spark, sf_dir, "documents")
-        .filter(F.col("lang") != "en")
-        .join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    )
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    joined = documents.join(table(spark, sf_dir, "labels"), "doc_id", "left")
     absent = joined.filter(F.col("quality").isNull()).withColumn("state", F.lit("ungraded"))
     present = joined.filter(F.col("quality").isNotNull()).withColumn("state", F.lit("graded"))
     return absent.unionByName(present).select("doc_id", "lang", "state")
@@ -375,19 +372,18 @@ def null_predicates_query(spark, sf_dir):
 
 @query(
     "pack_array",
-    "SELECT vec_id, list_transform([embedding[1], embedding[2], embedding[3]], lambda x: round(CAST(x AS DOUBLE), 6))[2] "
-    "AS second, 3 AS width FROM embeddings",
+    """SELECT vec_id, p - 1 AS place, round(CAST(embedding[p] AS DOUBLE), 6) AS value, 64 AS width
+       FROM embeddings, range(1, 65) t(p)""",
 )
 def pack_array_query(spark, sf_dir):
     """Unpack an array to wide columns, pick them by prefix, pack them again."""
     vectors = table(spark, sf_dir, "embeddings")
-    wide = vectors.select("vec_id", *unpack_array(F.col("embedding"), "feature_", 3))
-    packed = pack_array(columns_with_prefix(wide, "feature_"))
-    return wide.select(
-        "vec_id",
-        rounded(F.get(packed, F.lit(1)).cast("double"), 6, "second"),
-        F.size(packed).alias("width"),
+    wide = vectors.select("vec_id", *unpack_array(F.col("embedding"), "feature_", 64))
+    packed = wide.select("vec_id", pack_array(columns_with_prefix(wide, "feature_")).alias("packed"))
+    placed = packed.select(
+        "vec_id", F.posexplode("packed").alias("place", "value"), F.size("packed").alias("width")
     )
+    return placed.withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
 @query(

@@ -13,6 +13,7 @@ from cohortscope.plans.labels import (
     nodule_slices,
 )
 from workload.base import SCANS_SQL, query, scans, table
+from workload.evaluation import MANN_WHITNEY_SQL
 
 
 @query(
@@ -155,20 +156,26 @@ def corrected_paths_query(spark, sf_dir):
 
 @query(
     "distribution_comparison",
-    """WITH q AS (
-         SELECT event_type, median(value) AS med FROM events GROUP BY 1),
-       b AS (SELECT value AS v FROM events WHERE event_type = 'view'),
-       u AS (
-         SELECT event_type, sum((SELECT count(*) FROM b WHERE v > value)
-                + (SELECT count(*) FROM b WHERE v = value) / 2) AS u
-         FROM events WHERE event_type <> 'view' GROUP BY 1)
-       SELECT q.event_type, round(med, 9) AS median, u FROM q LEFT JOIN u ON q.event_type = u.event_type""",
+    MANN_WHITNEY_SQL.replace("'click'", "'view'")
+    + """, q AS (
+         SELECT event_type, quantile_cont(value, 0.25) AS q1, median(value) AS med,
+                quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1),
+       w AS (
+         SELECT e.event_type, min(value) AS whisker_low, max(value) AS whisker_high FROM events e JOIN q
+         ON e.event_type = q.event_type AND value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)
+         GROUP BY 1)
+       SELECT q.event_type, round(q1, 9) AS q1, round(med, 9) AS median, round(q3, 9) AS q3,
+              whisker_low, whisker_high, u, round(z, 9) AS z, round(p, 9) AS p_value,
+              round(CASE WHEN p IS NOT NULL THEN least(p * (SELECT count(*) FROM p), 1.0) END, 9) AS adjusted_p_value
+       FROM q JOIN w ON q.event_type = w.event_type LEFT JOIN p ON q.event_type = dataset""",
 )
 def distribution_comparison_query(spark, sf_dir):
-    """Box-plot medians beside the rank test of every dataset against one baseline."""
+    """Box plots beside the rank test of every dataset against one baseline."""
     events = table(spark, sf_dir, "events")
     boxes = five_number_summary(events, "value", ["event_type"])
     tests = bonferroni(mann_whitney(events, "value", "event_type", "view"))
+    exact = ("whisker_low", "whisker_high", "u")
+    inexact = ("q1", "median", "q3", "z", "p_value", "adjusted_p_value")
     return boxes.join(tests, "event_type", "left").select(
-        "event_type", F.round("median", 9).alias("median"), "u"
+        "event_type", *exact, *[F.round(c, 9).alias(c) for c in inexact]
     )
