@@ -8,12 +8,13 @@ shingles with it, so it misses all bands with a probability of at most ``0.75 **
 and several overlapping windows would have to miss it. Windows and templates that share a band are compared
 exactly: a license is reported where a window holds at least ``MIN_CONTAINMENT`` of a template's shingles.
 
-A window without a shingle of any template can't share a band. Every template shingle is known by its
-longest word, so only windows with one of these words are looked at, and texts without them are left after
-a single pass. This loses nothing.
+A window that holds ``MIN_CONTAINMENT`` of a template's shingles holds one of its key words: long words that
+so many of the shingles contain that the rest are too few. Only windows with a key word are looked at, and
+texts without one are left after a single pass. This loses nothing.
 
-Nothing but matches is shuffled. The templates' bands are joined by whatever join Spark finds fitting after
-measuring them; their key words, at most ``MAX_KEY_WORDS``, are part of the plan.
+Nothing but matches is shuffled. One scan takes up to ``MAX_TEMPLATES`` templates of ``MAX_BROADCAST`` bytes of
+shingles together, and an error says so beyond: their bands, as numbers, and their shingles are broadcast,
+and their key words are part of the plan.
 
 Defined results: null and empty texts, and templates of fewer than ``SHINGLE`` words, match nothing;
 templates that share an id are alternatives, of which the best counts; repeated documents are one row for an
@@ -22,6 +23,8 @@ id, and a null ``doc_id`` is an id like any; empty tables give no rows; other co
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +33,8 @@ from cohortscope.llm.base import query, table
 SHINGLE = 5
 BANDS = 32
 MIN_CONTAINMENT = 0.8
-MAX_KEY_WORDS = 100_000
+MAX_TEMPLATES = 10_000
+MAX_BROADCAST = 32 << 20
 #: Notices as their licenses word them.
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -64,13 +68,32 @@ def shingles(words: Column) -> Column:
     return F.when(F.size(words) >= SHINGLE, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
-def bands(found: Column) -> Column:
-    """The minimum of each of ``BANDS`` hash functions over a set of shingles, with its number."""
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is worked out once per row.
+
+    The optimizer would copy a plain expression into every later use, lambdas included, where it runs
+    for each element again; it doesn't look behind an explode.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def bands(hashes: Column, width: Column) -> Column:
+    """The minimum of each of ``BANDS`` hash functions over hashed shingles, as one number with the band's."""
     numbers = F.sequence(F.lit(0), F.lit(BANDS - 1))
-    return F.transform(
-        numbers,
-        lambda j: F.struct(j.alias("band"), F.array_min(F.transform(found, lambda s: F.xxhash64(j, s))).alias("least")),
-    )
+    return F.transform(numbers, lambda j: F.xxhash64(width, j, F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, j)))))
+
+
+def key_words(parts: list[str]) -> list[str]:
+    """Long words one of which is in any choice of ``MIN_CONTAINMENT`` of a template's shingles."""
+    cut = [set(p.split(" ")) for p in parts]
+    needed = math.ceil(MIN_CONTAINMENT * len(parts) - 1e-9)
+    keys, without = [], cut
+    for word in sorted(set().union(*cut), key=lambda w: (-len(w), w)):
+        if len(without) < needed:
+            break
+        keys.append(word)
+        without = [c for c in without if word not in c]
+    return keys
 
 
 def window_width(n: Column, widths: list[int]) -> Column:
@@ -102,49 +125,46 @@ def scan_licenses(docs: DataFrame, templates: DataFrame) -> DataFrame:
     listed = templates.select(
         F.col("license_id").cast("string").alias("license_id"), split_words(F.col("text").cast("string")).alias("words")
     ).filter(F.size("words") >= SHINGLE)
-    known = listed.select("license_id", F.size("words").alias("n"), shingles(F.col("words")).alias("parts"))
-    longest = known.agg(F.max("n")).first()[0]
+    known = listed.select(
+        F.xxhash64("license_id", "words").alias("number"),
+        "license_id",
+        F.size("words").alias("n"),
+        shingles(F.col("words")).alias("parts"),
+    ).distinct()
+    n_templates, longest, volume = known.agg(
+        F.count("*"), F.max("n"), F.sum(F.octet_length(F.concat_ws(" ", "parts")))
+    ).first()
+    if n_templates > MAX_TEMPLATES or (volume or 0) > MAX_BROADCAST:
+        raise ValueError("too many templates for one scan")
     widths = [8]
     while longest is not None and widths[-1] * 3 // 4 + 1 < longest:
         widths.append(widths[-1] * 2)
-    by_length = F.transform(F.split("part", " "), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))
-    key_rows = (
-        known.select(F.explode("parts").alias("part"))
-        .select(F.array_min(by_length)["w"].alias("word"))
-        .distinct()
-        .limit(MAX_KEY_WORDS + 1)
-        .collect()
-    )
-    if len(key_rows) > MAX_KEY_WORDS:
-        raise ValueError("too many templates for one scan")
-    keys = F.lit(sorted(r.word for r in key_rows)).cast("array<string>")
+    keys = F.lit(sorted({w for r in known.select("parts").collect() for w in key_words(r.parts)})).cast("array<string>")
 
-    texts = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), split_words(F.col("text").cast("string")).alias("words")
-    ).filter(F.arrays_overlap("words", keys))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = computed(texts, "words", split_words(F.col("text"))).filter(F.arrays_overlap("words", keys))
     at = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(keys, w), i)), lambda i: i.isNotNull())
     # Windows start at multiples of a quarter of their width; these are the ones that a key word lies in.
     starts = F.concat(*[_window_starts(F.col("at"), w) for w in widths])
-    windows = (
-        texts.withColumn("at", at)
-        .select("doc_id", "words", F.explode(starts).alias("window"))
-        .select(
-            "doc_id",
-            F.col("window.width").alias("width"),
-            F.col("window.start").alias("start"),
-            shingles(F.slice("words", F.col("window.start") + 1, F.col("window.width"))).alias("held"),
-        )
-        .filter(F.size("held") > 0)
+    windows = computed(texts.select("doc_id", "words"), "at", at).select(
+        "doc_id", "words", F.explode(starts).alias("window")
+    )
+    windows = computed(windows, "seen", F.slice("words", F.col("window.start") + 1, F.col("window.width"))).select(
+        "doc_id", F.col("window.width").alias("width"), F.col("window.start").alias("start"), "seen"
     )
-    asked = windows.select("*", F.explode(bands(F.col("held"))).alias("b")).select(
-        "doc_id", "width", "start", "held", F.col("b.band").alias("band"), F.col("b.least").alias("least")
+    hashed = F.transform("held", lambda s: F.xxhash64(s))
+    windows = computed(windows, "held", shingles(F.col("seen"))).filter(F.size("held") > 0).drop("seen")
+    asked = computed(windows, "hashes", hashed)
+    width = window_width(F.col("n"), widths)
+    offered = computed(known.withColumnRenamed("parts", "held"), "hashes", hashed).select(
+        "number", F.explode(bands(F.col("hashes"), width)).alias("band")
     )
-    offered = known.select(
-        "license_id", "parts", window_width(F.col("n"), widths).alias("width"), F.explode(bands(F.col("parts"))).alias("b")
-    ).select("license_id", "parts", "width", F.col("b.band").alias("band"), F.col("b.least").alias("least"))
+    parts = F.broadcast(known.select("number", "license_id", "parts"))
     share = F.size(F.array_intersect("held", "parts")) / F.size("parts")
     return (
-        asked.join(offered, ["width", "band", "least"])
+        asked.select("doc_id", "width", "start", "held", F.explode(bands(F.col("hashes"), F.col("width"))).alias("band"))
+        .join(F.broadcast(offered), "band")
+        .join(parts, "number")
         .select("doc_id", "license_id", "width", "start", share.alias("containment"))
         .filter(F.col("containment") >= MIN_CONTAINMENT)
         .groupBy("doc_id", "license_id", "width", "start")
