@@ -86,24 +86,6 @@ def resolve_by_accession(
     return join_aggregated(cases, first, keys, "left")
 
 
-# A key with up to this many fragment pairs has them tested one by one against its folders.
-MAX_FRAGMENTS = 64
-
-
-def _tested(folders: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Matches of keys with few fragments: their list (bounded) travels with each folder."""
-    lists = wanted.groupBy("_key").agg(
-        F.collect_list(F.struct("_outer", "_inner")).alias("_fragments")
-    )
-    fits = F.filter(
-        "_fragments",
-        lambda f: F.contains(F.col("_inner_name"), f["_inner"])
-        & F.contains(F.col("_outer_name"), f["_outer"]),
-    )
-    listed = join_aggregated(folders, lists, ["_key"])
-    return listed.select("_key", "_path", F.inline(fits))
-
-
 def _substrings(text: str, lengths: str) -> Column:
     """All distinct substrings of ``text`` having one of ``lengths`` (an array column)."""
     return F.array_distinct(
@@ -120,7 +102,7 @@ def _substrings(text: str, lengths: str) -> Column:
 
 
 def _cut(folders: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Matches of keys with many fragments, by equi joins on substrings."""
+    """Folders that contain a key's fragments, by equi joins on substrings."""
     lengths = wanted.groupBy("_key").agg(
         F.collect_set(F.length("_outer")).alias("_outer_lengths"),
         F.collect_set(F.length("_inner")).alias("_inner_lengths"),
@@ -158,10 +140,9 @@ def resolve_by_suffix(
     Adds ``resolved_path`` (first in path order or NULL), ``n_matches`` and ``match_status``
     (``none``, ``unique`` or ``multiple``).
 
-    A folder is tested against each fragment pair of its key where a key has few of them. Where it
-    has many, that would grow with the square of the group, so the folder name is cut into its
-    substrings of the wanted lengths and containment becomes an equi join; a name has at most 255
-    characters, which bounds the cut. Both ways are exact.
+    Testing each folder against each fragment of its key would grow with the square of the group, so
+    the folder name is cut into its substrings of the wanted lengths and containment becomes an equi
+    join; a name has at most 255 characters, which bounds the cut.
     """
     (outer_want, outer_name), (inner_want, inner_name) = outer, inner
     wanted = (
@@ -179,11 +160,7 @@ def resolve_by_suffix(
         F.col(inner_name).alias("_inner_name"),
         F.col(path).alias("_path"),
     )
-    sizes = wanted.groupBy("_key").agg(F.count(F.lit(1)).alias("_wanted"))
-    sized = join_aggregated(wanted, sizes, ["_key"])
-    few = sized.filter(F.col("_wanted") <= MAX_FRAGMENTS).drop("_wanted")
-    many = sized.filter(F.col("_wanted") > MAX_FRAGMENTS).drop("_wanted")
-    hits = _tested(folders, few).unionByName(_cut(folders, many))
+    hits = _cut(folders, wanted)
     found = hits.groupBy("_key", "_outer", "_inner").agg(
         F.min("_path").alias("resolved_path"), F.count(F.lit(1)).alias("_matches")
     )

@@ -52,10 +52,13 @@ def file_catalog_by_folder(
         system, base = fs.FileSystem.from_uri(root)
         base = base.rstrip("/")
         for batch in batches:
-            for folder in batch[name]:
-                chosen = fs.FileSelector(f"{base}/{folder}", allow_not_found=True, recursive=True)
-                files = [i for i in system.get_file_info(chosen) if i.is_file]
-                files = [i for i in files if fnmatch(i.base_name, glob)]
+            # One directory at a time, so that a tree of any depth needs the memory of its widest one.
+            below = [f"{base}/{folder}" for folder in batch[name]]
+            while below:
+                chosen = fs.FileSelector(below.pop(), allow_not_found=True)
+                found = system.get_file_info(chosen)
+                below += [i.path for i in found if i.type == fs.FileType.Directory]
+                files = [i for i in found if i.is_file and fnmatch(i.base_name, glob)]
                 paths = [f"{root.rstrip('/')}{i.path[len(base):]}" for i in files]
                 sizes = [i.size for i in files]
                 yield pd.DataFrame({"path": paths, "length": sizes}).astype(

@@ -120,10 +120,7 @@ def test_thin_axial(spark):
     assert rows(thin_axial_cases(df), "pid", "SliceThickness") == [("a", "2.0"), ("b", "3.0")]
 
 
-@pytest.mark.parametrize("limit", [0, 3, 64])
-def test_resolve_by_suffix_equals_testing_every_pair(spark, monkeypatch, limit):
-    """Both ways of matching, and a mix of them, agree with brute force."""
-    monkeypatch.setattr(joins, "MAX_FRAGMENTS", limit)
+def test_resolve_by_suffix_equals_testing_every_pair(spark):
     rng = random.Random(11)
 
     def word(n):

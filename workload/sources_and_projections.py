@@ -100,16 +100,22 @@ def read_json_map_query(spark, sf_dir):
     return read_json_map(spark, path, schema).select("series", F.col("annotation.k").alias("k"))
 
 
+def text_tree(spark, sf_dir):
+    """Texts as up to nine files per language and source, under a new folder."""
+    path = scratch_dir(spark, "tree")
+    texts = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    dealt = texts.repartitionById(9, (F.col("doc_id") % 9).cast("int"))
+    dealt.select("lang", "source", "text").write.partitionBy("lang", "source").text(path)
+    return path
+
+
 @query(
     "file_catalog",
-    "SELECT DISTINCT lang, source, 1 AS n_files FROM documents",
+    "SELECT lang, source, CAST(count(DISTINCT doc_id % 9) AS INTEGER) AS n_files FROM documents GROUP BY 1, 2",
 )
 def file_catalog_query(spark, sf_dir):
-    """Write one small file per language and source, then list the tree."""
-    path = scratch_dir(spark, "tree")
-    folders = table(spark, sf_dir, "documents").select("lang", "source").distinct()
-    rows = folders.select("lang", "source", F.lit("x").alias("value"))
-    rows.write.mode("overwrite").partitionBy("lang", "source").text(path)
+    """Write the texts into several files per language and source, then list the tree."""
+    path = text_tree(spark, sf_dir)
     listed = file_catalog(spark, path, "*.txt", levels=["lang", "source"])
     return listed.groupBy(
         F.substring_index("lang", "=", -1).alias("lang"),
@@ -119,15 +125,12 @@ def file_catalog_query(spark, sf_dir):
 
 @query(
     "file_catalog_by_folder",
-    "SELECT lang, count(DISTINCT source) AS n_files FROM documents GROUP BY lang",
+    "SELECT lang, count(DISTINCT (source, doc_id % 9)) AS n_files FROM documents GROUP BY lang",
 )
 def file_catalog_by_folder_query(spark, sf_dir):
     """The same tree listed by tasks, one folder name at a time."""
-    path = scratch_dir(spark, "tree")
-    documents = table(spark, sf_dir, "documents")
-    rows = documents.select("lang", "source", F.lit("x").alias("value")).distinct()
-    rows.write.mode("overwrite").partitionBy("lang", "source").text(path)
-    folders = documents.select(F.concat(F.lit("lang="), "lang").alias("folder"))
+    path = text_tree(spark, sf_dir)
+    folders = table(spark, sf_dir, "documents").select(F.concat(F.lit("lang="), "lang").alias("folder"))
     listed = file_catalog_by_folder(folders, path, "*.txt", levels=["lang"])
     return listed.groupBy(F.substring_index("lang", "=", -1).alias("lang")).agg(
         F.count(F.lit(1)).alias("n_files")
