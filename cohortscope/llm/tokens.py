@@ -14,9 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Characters given to ``encode`` at a time: the more, the fewer distinct pieces are encoded again.
-SLICE = 8_000_000
+SLICE = 12_000_000
 #: Distinct pieces given to the library at a time.
-ENCODED = 10_000
+ENCODED = 20_000
 #: Pieces whose ids are put together at a time.
 GATHERED = 1 << 18
 #: A fixed value of the vocabulary: a special token, put between pieces that are encoded together.
