@@ -114,10 +114,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> D
     return texts.join(known, "doc_id")
 
 
-def packed(df: DataFrame, featurise: Callable[[pa.Array], Sparse], *kept: str) -> list[tuple]:
+def packed(df: DataFrame, featurise: Callable[[pa.Array], Sparse], *kept: str, counted: bool = True) -> list[tuple]:
     """Features of a bounded sample, for a model fitted on the driver: one tuple of arrays per slice.
 
-    Only indices and counts travel, not texts.
+    Only indices and, if ``counted``, counts travel, not texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +125,8 @@ def packed(df: DataFrame, featurise: Callable[[pa.Array], Sparse], *kept: str) -
             x = featurise(batch.column("text"))
             sizes = np.bincount(x.rows, minlength=x.n).astype("<i4")
             own = [batch.column(k).to_numpy(zero_copy_only=False).astype("<i8").tobytes() for k in kept]
-            parts = [sizes.tobytes(), x.index.astype("<i4").tobytes(), x.counts.astype("<i4").tobytes(), *own]
+            counts = x.counts.astype("<i4").tobytes() if counted else b""
+            parts = [sizes.tobytes(), x.index.astype("<i4").tobytes(), counts, *own]
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in parts], names=names)
 
     names = ["sizes", "features", "counts", *(f"k{i}" for i in range(len(kept)))]

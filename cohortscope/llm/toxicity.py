@@ -9,7 +9,8 @@ learning folds.
 
 Features say which words, and which first five letters of words, a text has, hashed into ``2**BITS``
 buckets. Only buckets that confirmed toxic texts have clearly more often than unlabelled ones
-(``MIN_LIFT`` times as often, by ``MIN_Z`` standard deviations) get a weight. Copies of a text count once. Training is a numpy job on the driver over feature indices
+(by ``MIN_Z`` standard deviations), and whose texts are toxic in a share of at least ``MIN_SHARE`` by the prior,
+get a weight. Copies of a text count once. Training is a numpy job on the driver over feature indices
 of at most ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` texts, those whose ids have the smallest hashes;
 scoring is a sparse dot product in each task.
 
@@ -41,10 +42,10 @@ from cohortscope.llm.features import (
 )
 
 BITS = 20
-MAX_POSITIVE = 4_000
-MAX_UNLABELLED = 16_000
+MAX_POSITIVE = 3_000
+MAX_UNLABELLED = 10_000
 MIN_Z = 4.0
-MIN_LIFT = 5.0
+MIN_SHARE = 0.6
 MIN_TEXTS = 4
 THRESHOLD = 0.3
 
@@ -77,7 +78,7 @@ class Rows:
 
 def non_negative_pu(
     positive: Rows, unlabelled: Rows, n_weights: int, prior: float, epochs: int = 80, batch: int = 2048,
-    rate: float = 0.1, decay: float = 1e-3, seed: int = 0,
+    rate: float = 0.1, decay: float = 1e-4, seed: int = 0,
 ) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk with logistic loss, by Adam steps."""
     w = np.zeros(n_weights + 1)
@@ -123,7 +124,7 @@ def train(positive: list[tuple], unlabelled: list[tuple], prior: float) -> tuple
     in_positive, in_unlabelled = _texts_in(positive), _texts_in(unlabelled)
     expected = (in_unlabelled + 1) * (n_positive / max(1, n_unlabelled))
     clear = (in_positive - expected) / np.sqrt(expected) >= MIN_Z
-    kept = clear & (in_positive >= MIN_LIFT * expected) & (in_positive >= MIN_TEXTS)
+    kept = clear & (prior * in_positive >= MIN_SHARE * expected) & (in_positive >= MIN_TEXTS)
     column = np.where(kept, np.cumsum(kept) - 1, -1)
     found, bias = non_negative_pu(Rows(positive, column), Rows(unlabelled, column), int(kept.sum()), prior)
     weights = np.zeros(1 << BITS)
@@ -149,7 +150,7 @@ def fit(
     def sample(ids: DataFrame, rows: int) -> list[tuple]:
         chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         hashed = texts.join(chosen, "doc_id").withColumn("h", F.xxhash64("text"))
-        return packed(hashed.dropDuplicates(["h"]), featurise, "h")
+        return packed(hashed.dropDuplicates(["h"]), featurise, "h", counted=False)
 
     positive = sample(known.filter("toxic = 1").select("doc_id"), max_positive)
     ids = texts.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
