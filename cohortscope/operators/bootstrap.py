@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cohortscope.operators.evaluation import cumulative_cells, score_cells, summarise_cells
 from cohortscope.operators.prefix import (
@@ -177,6 +178,7 @@ def bootstrap_cells(
     )
 
     width = max(1, DRAWS_PER_BLOCK // n_replicates)
+    kinds = to_arrow_schema(out)
 
     def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None
@@ -187,7 +189,7 @@ def bootstrap_cells(
             for start, stop in pairwise(pieces):
                 if start in starts:
                     if state is not None:
-                        yield _close_range(state, by, n_replicates)
+                        yield _close_range(state, by, n_replicates, kinds)
                     head = batch.slice(start, 1).to_pylist()[0]
                     state = _open_range(head, [head[c] for c in by], seed, n_replicates)
                     start += 1
@@ -195,7 +197,7 @@ def bootstrap_cells(
                     cut = slice(low, min(low + width, stop))
                     _add_block(state, pos[cut].astype(np.int64), neg[cut].astype(np.int64))
         if state is not None:
-            yield _close_range(state, by, n_replicates)
+            yield _close_range(state, by, n_replicates, kinds)
 
     partial = batches.mapInArrow(resample, out)
     total = partial.groupBy("replicate", *by).agg(
@@ -238,12 +240,12 @@ def _open_range(head: dict, group: list, seed: int, n_replicates: int) -> dict:
     }
 
 
-def _close_range(state: dict, by: Sequence[str], n_replicates: int) -> pa.RecordBatch:
+def _close_range(state: dict, by: Sequence[str], n_replicates: int, kinds: pa.Schema) -> pa.RecordBatch:
     """The range's share of the metric sums, one row per replicate."""
     columns = {"replicate": np.arange(n_replicates, dtype=np.int32)}
     columns.update({c: [v] * n_replicates for c, v in zip(by, state["group"], strict=True)})
     columns.update({c: state[c] for c in ("won", "areas", "steps", "n_pos", "n_neg")})
-    return pa.RecordBatch.from_pydict(columns)
+    return pa.RecordBatch.from_pydict(columns, schema=kinds)
 
 
 def _add_block(state: dict, pos: np.ndarray, neg: np.ndarray) -> None:

@@ -178,10 +178,10 @@ def test_baseline_rate(spark):
 
 def test_resample_draws_n_of_n_and_repeats(spark):
     df = spark.createDataFrame([(i,) for i in range(50)], "id int")
-    one = resample_rows(df, "id", 20, 42, 50)
+    one = resample_rows(df, "id", 20, 42)
     assert {r["count"] for r in one.groupBy("replicate").count().collect()} == {50}
-    assert rows(one) == rows(resample_rows(df.repartition(5), "id", 20, 42, 50))
-    assert rows(one) != rows(resample_rows(df, "id", 20, 43, 50))
+    assert rows(one) == rows(resample_rows(df.repartition(5), "id", 20, 42))
+    assert rows(one) != rows(resample_rows(df, "id", 20, 43))
 
 
 def test_bootstrap_skips_single_class_replicates(spark):
