@@ -306,7 +306,7 @@ def concordance_index_query(spark, sf_dir):
 
 # Replicates of the registered bootstraps: enough for 2.5 % percentiles; the last one's statement forms
 # all pairs of every replicate.
-REPLICATES, SURVIVAL_REPLICATES, PAIR_REPLICATES = 1000, 200, 40
+REPLICATES, SURVIVAL_REPLICATES, CELL_REPLICATES, PAIR_REPLICATES = 1000, 200, 200, 40
 
 
 def resampled_sql(source: str, key: str, replicates: int) -> str:
@@ -425,7 +425,7 @@ def bootstrap_c_index_query(spark, sf_dir):
 @query("bootstrap_cells")
 def bootstrap_cells_query(spark, sf_dir):
     """The form for large tables: draws counts of cells, so only its distribution is fixed."""
-    values = bootstrap_cells(flagged(spark, sf_dir), "fine_score", "label", REPLICATES, by=["arm"])
+    values = bootstrap_cells(flagged(spark, sf_dir), "fine_score", "label", CELL_REPLICATES, by=["arm"])
     return metric_ci(values, ["arm", "metric"])
 
 
