@@ -9,6 +9,12 @@ cosine to each passage names the candidates, if the window also has ``MIN_WEIGHT
 weight along its direction. Windows come in three widths, half as long again as the
 longest passages they serve and a third of their width apart, so every copy of a passage lies whole in one.
 
+The directions can't describe every one of many passages, and words of the surroundings count in the cosine.
+So windows are also looked up by words: whoever has ``MIN_LCS`` of a passage has ``needed`` of its rarest
+words, however these are chosen, and every such window is a candidate if the words it shares with the passage
+have ``MIN_WEIGHT`` of the passage's squared weight, by all frequencies and without directions. An exact copy
+is therefore found whatever the number of passages, its surroundings and its share of the corpus.
+
 A candidate is a leak if the longest common subsequence of words covers ``MIN_LCS`` of the passage (which
 lets words be changed, added or left out) and the answer is there too: the item's answer, if the benchmark
 has a column of that name, or else half of the words in the last ``1 / LAST`` of the passage. Passages of fewer than
@@ -54,6 +60,8 @@ BLOCK = 8
 #: Longest passage served, blocks in a window, blocks from one window to the next.
 SCALES = ((16, 3, 1), (32, 6, 2), (64, 12, 4))
 SLICE = 2_000_000
+#: Occurrences of passages' rare words that are counted at a time.
+LOOKED_UP = 4_000_000
 LEAKS = "array<struct<item_id:bigint,passage:int,lcs:double,cosine:double>>"
 PASSAGES_SCHEMA = "item_id long, passage int, words array<string>, answer array<string>, spread long"
 
@@ -188,6 +196,9 @@ class Block:
     latent: np.ndarray
     weight: np.ndarray
     scale: np.ndarray
+    shares: list[np.ndarray]
+    needed: np.ndarray
+    listed: list[tuple[np.ndarray, np.ndarray]]
     masks: list[dict] = field(default_factory=list)
 
     def prepare(self) -> None:
@@ -234,6 +245,44 @@ def _verified(block: Block, p: int, window: np.ndarray, min_lcs: float) -> float
     return share if 2 * np.isin(ending, window).sum() >= len(ending) else 0.0
 
 
+def _looked_up(block: Block, s: int, term: np.ndarray, place: np.ndarray, owner: np.ndarray, begins: np.ndarray):
+    """First blocks of windows of one scale, with passages of whose rare words they have ``needed``."""
+    _, wide, stride = SCALES[s]
+    heads, listed = block.listed[s]
+    sizes = np.diff(heads)
+    held = np.flatnonzero((term >= 0) & (sizes[term] > 0))
+    held = held[np.unique(place[held] * len(sizes) + term[held], return_index=True)[1]]
+    found = []
+    # Passages are taken a few at a time where the texts have too many of their words.
+    n = len(block.words)
+    parts = max(1, -(-int(sizes[term[held]].sum()) // LOOKED_UP))
+    for part in range(parts):
+        if parts > 1:
+            chosen = listed % parts == part
+            sizes = np.diff(np.concatenate([[0], np.cumsum(chosen)])[heads])
+            own, first = listed[chosen], np.cumsum(sizes) - sizes
+        else:
+            own, first = listed, heads[:-1]
+        times = sizes[term[held]]
+        ends = np.cumsum(times)
+        passage = own[np.repeat(first[term[held]] - (ends - times), times) + np.arange(times.sum())]
+        pair, count = np.unique(np.repeat(place[held], times) * n + passage, return_counts=True)
+        at, passage = pair // n, pair % n
+        inside = at - begins[owner[at]]
+        starts = []
+        for back in range(wide // stride):
+            start = (inside // stride - back) * stride
+            starts.append(np.where(start >= 0, at - inside + start, -1))
+        starts = np.concatenate(starts)
+        lies = starts >= 0
+        pair = (starts * n + np.tile(passage, wide // stride))[lies]
+        pair, which = np.unique(pair, return_inverse=True)
+        total = np.bincount(which, np.tile(count, wide // stride)[lies], len(pair))
+        found.append(pair[total >= block.needed[pair % n]])
+    pair = np.concatenate(found)
+    return pair // n, pair % n
+
+
 def _search(block: Block, text_at: int, names: list[str], min_cosine: float, min_lcs: float):
     def found_in(texts: pa.Array) -> list[list[dict]]:
         distinct, which, bounds = words(texts)
@@ -252,6 +301,7 @@ def _search(block: Block, text_at: int, names: list[str], min_cosine: float, min
         np.cumsum(sums, axis=0, out=sums)
         best: list[dict] = [{} for _ in range(len(texts))]
         owner = np.repeat(np.arange(len(texts)), blocks)
+        seen = np.zeros(len(block.terms) + 1, bool)
         for s, (_, wide, stride) in enumerate(SCALES):
             served = np.flatnonzero(block.scale == s)
             if not len(served):
@@ -263,13 +313,27 @@ def _search(block: Block, text_at: int, names: list[str], min_cosine: float, min
             along = latent @ block.latent[served].T
             near = along >= (min_cosine * np.maximum(norm, 1e-6))[:, None]
             near &= along >= MIN_WEIGHT * np.maximum(block.weight[served], 1e-6)
-            for w, p in zip(*np.nonzero(near), strict=True):
-                doc, p = int(owner[begin[w]]), int(served[p])
+            w, p = np.nonzero(near)
+            start, passage = _looked_up(block, s, term, place, owner, block_begins)
+            by_cosine = w * len(block.words) + served[p]
+            by_words = np.searchsorted(begin, start) * len(block.words) + passage
+            pairs = np.union1d(by_cosine, by_words)
+            near = np.isin(pairs, by_cosine)
+            for w, p, by in zip(*(x.tolist() for x in (*divmod(pairs, len(block.words)), near)), strict=True):
+                doc = int(owner[begin[w]])
                 first = bounds[doc] + (begin[w] - block_begins[doc]) * BLOCK
                 last = min(bounds[doc + 1], bounds[doc] + (end[w] - block_begins[doc]) * BLOCK)
-                share = _verified(block, p, term[first:last], min_lcs)
+                window = term[first:last]
+                if not by:
+                    seen[window] = True
+                    seen[-1] = False
+                    held = seen[block.words[p]]
+                    seen[window] = False
+                    if held.sum() < min_lcs * len(held) - 1e-9 or block.shares[p][held].sum() < MIN_WEIGHT:
+                        continue
+                share = _verified(block, p, window, min_lcs)
                 if share > 0:
-                    cosine = float(latent[w] @ block.latent[p] / norm[w])
+                    cosine = float(latent[w] @ block.latent[p] / max(norm[w], 1e-6))
                     best[doc][p] = max(best[doc].get(p, (0.0, 0.0)), (share, cosine))
         return [
             [
@@ -293,7 +357,27 @@ def _search(block: Block, text_at: int, names: list[str], min_cosine: float, min
     return run
 
 
-def _block(docs: DataFrame, chosen: DataFrame, max_share: float, rank: int) -> Block | None:
+def _rare_words(ids: list[np.ndarray], counts: np.ndarray, min_lcs: float) -> tuple[list[np.ndarray], np.ndarray]:
+    """Rare words of each passage, by place, and how many places any window with ``min_lcs`` of it has of them."""
+    rare, needed = [], []
+    for run in ids:
+        least = len(run) if len(run) < SHORT else max(1, int(np.ceil(min_lcs * len(run) - 1e-9)))
+        needed.append(max(1, least // 3))
+        rare.append(run[np.lexsort((run, counts[run]))][: len(run) - least + needed[-1]])
+    return rare, np.array(needed)
+
+
+def _listed(rare: list[np.ndarray], scale: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each scale where each word's passages begin, and the passages; as often as a word is in them."""
+    out = []
+    for s in range(len(SCALES)):
+        passage = np.concatenate([np.full(len(r), p) for p, r in enumerate(rare) if scale[p] == s] or [np.zeros(0, int)])
+        word = np.concatenate([r for p, r in enumerate(rare) if scale[p] == s] or [np.zeros(0, int)])
+        out.append((np.searchsorted(np.sort(word), np.arange(size + 1)), passage[np.argsort(word, kind="stable")]))
+    return out
+
+
+def _block(docs: DataFrame, chosen: DataFrame, max_share: float, rank: int, min_lcs: float) -> Block | None:
     rows = chosen.orderBy("item_id", "passage", "spread").collect()
     if not rows:
         return None
@@ -307,8 +391,11 @@ def _block(docs: DataFrame, chosen: DataFrame, max_share: float, rank: int) -> B
         own = np.unique(run)
         rarest = own[np.lexsort((own, counts[own]))][: -(-len(own) // LAST)]
         used[rarest] = idf[rarest]
-    vectors, norms = [], []
+    vectors, norms, shares = [], [], []
     for run in ids:
+        # Words that a passage has n times have a share n * n of its squared weight, n for each place.
+        squared = idf[run] ** 2 * (run[:, None] == run).sum(axis=1)
+        shares.append(squared / squared.sum())
         index, n = np.unique(run, return_counts=True)
         value = used[index] * n
         norm = np.sqrt((value**2).sum())
@@ -318,6 +405,8 @@ def _block(docs: DataFrame, chosen: DataFrame, max_share: float, rank: int) -> B
     directions = right_singular_vectors(matrix, len(terms), rank)
     latent = np.stack([np.asarray(v) @ directions[i] for i, v in vectors])
     length = np.sqrt((latent**2).sum(axis=1, keepdims=True))
+    scale = np.searchsorted([s[0] for s in SCALES], [len(r) for r in ids])
+    rare, needed = _rare_words(ids, counts, min_lcs)
     return Block(
         terms,
         (directions * used[:, None]).astype(np.float32),
@@ -328,7 +417,10 @@ def _block(docs: DataFrame, chosen: DataFrame, max_share: float, rank: int) -> B
         [r[-max(1, len(r) // LAST) :] for r in ids],
         (latent / np.maximum(length, 1e-12)).astype(np.float32),
         (length[:, 0] * norms).astype(np.float32),
-        np.searchsorted([s[0] for s in SCALES], [len(r) for r in ids]),
+        scale,
+        shares,
+        needed,
+        _listed(rare, scale, len(terms)),
     )
 
 
@@ -351,7 +443,7 @@ def find_leaks(
     cut = passages(benchmark)
     n_blocks = max(1, -(-cut.count() // max_passages))
     for b in range(n_blocks):
-        block = _block(docs, cut.filter(F.pmod("spread", F.lit(n_blocks)) == b), max_share, rank)
+        block = _block(docs, cut.filter(F.pmod("spread", F.lit(n_blocks)) == b), max_share, rank, min_lcs)
         if block is not None:
             inner = inner.mapInArrow(_search(block, at, schema.names, min_cosine, min_lcs), schema)
     return inner.toDF(*base.columns, into)

@@ -108,3 +108,20 @@ def test_whole_table_finds_every_exact_passage(spark):
     got = {(r.doc_id, r.item_id) for r in op3_decontamination(spark, SF_DIR).collect()}
     assert exact and exact <= got
     assert {d for d, _ in got} == {d for d, _ in exact}
+
+
+def zipf(rng, n):
+    return [f"z{int(w)}" for w in 30_000 ** rng.random(n)]
+
+
+def test_exact_copies_among_many_passages_and_in_many_documents(spark):
+    """Every copy is found with a full block of passages, and of a passage that a third of the texts hold."""
+    rng = np.random.default_rng(5)
+    items = [zipf(rng, rng.integers(15, 60)) for _ in range(4096)]
+    common = len(items) - 1
+    planted = {d: common if d % 3 == 0 else d for d in range(300)}
+    texts = [(d, " ".join(zipf(rng, 100) + items[p] + zipf(rng, 100))) for d, p in planted.items()]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: {leak.item_id for leak in r.leaks} for r in find_leaks(docs, benchmark).collect()}
+    assert [d for d, p in planted.items() if p not in got[d]] == []
