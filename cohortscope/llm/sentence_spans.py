@@ -5,10 +5,11 @@ is hashed to 128 bits over small letters and single spaces. Equal hashes meet ac
 repeated span the first occurrence, by ``doc_id`` and then place in the text, stays, and every sentence
 that lies in a later occurrence is removed. Repetitions within a text are found where it is hashed.
 
-A sentence ends at full stops, exclamation or question marks before white space, and at line ends. Where
-fewer than ``MIN_SENTENCE`` words stand before an end, it is passed over; a sentence of more than
-``MAX_SENTENCE`` words is cut after every so many. All of it depends on the words around alone, so that the
-same passage is cut alike in any document.
+A sentence ends at full stops, exclamation or question marks before white space, and at line ends. A row
+of sentences of fewer than ``MIN_SENTENCE`` words is taken together, and one or two words alone go with the
+next sentence if that has at most ``2 * MIN_SENTENCE``, so that a span can't fall short. What has more than ``MAX_SENTENCE`` words, and every such row, is cut where its words say so: after each word whose hash
+is below those of ``MIN_SENTENCE`` words on either side, and in what is still too long after the lowest hash in
+reach. So a passage that begins anywhere in a sentence is soon cut alike in any document.
 
 Only hashes and places are shuffled to find repetitions, and the first document of a hash is kept by an
 aggregation that starts before the shuffle, so a span that a third of all documents share is a row per task.
@@ -24,6 +25,7 @@ names.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,29 +48,71 @@ MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 LAST = (1 << 63) - 1
 
 
+class _Keys(dict):
+    """Hashes of words, kept for a bounded number of them."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 17:
+            self.clear()
+        self[word] = key = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        return key
+
+
+KEYS = _Keys()
+
+
+def _cuts(words: list[str]) -> list[int]:
+    """Where a long sentence or a row of short ones is cut, as numbers of words, with its end."""
+    least, n = MIN_SENTENCE + 1, len(words)
+    k = [KEYS[w] for w in words]
+    cuts, low = [], 0
+    lowest = [
+        i + 1
+        for i in range(least - 1, n - least)
+        if k[i] < k[i - 1] and k[i] < k[i + 1] and k[i] < min(k[i - MIN_SENTENCE : i]) and k[i] < min(k[i + 1 : i + least])
+    ]
+    for high in [*lowest, n]:
+        while high - low > MAX_SENTENCE:
+            reach = k[low + least - 1 : min(low + MAX_SENTENCE, high - least)]
+            low += least + reach.index(min(reach))
+            cuts.append(low)
+        cuts.append(high)
+        low = high
+    return cuts
+
+
 def sentences(text: str) -> tuple[list[str], list[int]]:
     """The raw sentences of a text, which joined give it back, and their numbers of words."""
     found, sizes = [], []
-    begin = words = last = 0
+
+    def add(begin: int, end: int, cut: bool) -> None:
+        words = text[begin:end].lower().split()
+        if not cut and len(words) <= MAX_SENTENCE:
+            found.append(text[begin:end])
+            sizes.append(len(words))
+            return
+        ends, last = [m.end() for m in WORD.finditer(text, begin, end)], 0
+        for at in _cuts(words):
+            stop = ends[at - 1] if at < len(words) else end
+            found.append(text[begin:stop])
+            sizes.append(at - last)
+            begin, last = stop, at
+
+    begin = last = 0
     for end in [m.end() for m in END.finditer(text)] + [len(text)]:
         if end == last:
             continue
         own = len(text[last:end].split())
-        words += own
+        if own >= MIN_SENTENCE:
+            before = len(text[begin:last].split())
+            if before >= MIN_SENTENCE or before and own > 2 * MIN_SENTENCE:
+                add(begin, last, True)
+                begin = last
+            add(begin, end, False)
+            begin = end
         last = end
-        if own < MIN_SENTENCE and end < len(text):
-            continue
-        if words > MAX_SENTENCE:
-            cuts = [m.end() for m in WORD.finditer(text, begin, end)][MAX_SENTENCE - 1 :: MAX_SENTENCE]
-            for cut in [c for c in cuts if c < end] + [end]:
-                found.append(text[begin:cut])
-                begin = cut
-            full, rest = divmod(words, MAX_SENTENCE)
-            sizes += [MAX_SENTENCE] * full + ([rest] if rest else [])
-        else:
-            found.append(text[begin:end])
-            sizes.append(words)
-        begin, words = end, 0
+    if last > begin:
+        add(begin, last, True)
     return found, sizes
 
 

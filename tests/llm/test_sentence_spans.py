@@ -78,3 +78,18 @@ def test_whole_table_against_brute_force(spark, sf):
     got = sorted((r.doc_id, r.text, r.n_removed) for r in remove_repeated(docs).collect())
     assert got == sorted(brute(rows))
     assert any(n for _, _, n in got)
+
+
+@pytest.mark.parametrize("lengths", [(60,), (28, 28), (5, 5, 5, 5)])
+def test_a_passage_is_cut_alike_behind_any_words(lengths):
+    r = random.Random(3)
+    shared = " ".join(" ".join(f"w{r.randrange(10**6)}" for _ in range(n)) + "." for n in lengths)
+
+    def runs(text):
+        plain = [" ".join(s.split()) for s in sentences(text)[0]]
+        return {tuple(plain[i : i + SPAN]) for i in range(len(plain) - SPAN + 1)}
+
+    alone = runs(shared)
+    for before in range(1, 40):
+        assert alone & runs(" ".join(f"x{before}y{i}" for i in range(before)) + " " + shared), before
+    assert alone & runs("No. " + shared)
