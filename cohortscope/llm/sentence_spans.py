@@ -37,8 +37,8 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from cohortscope.llm.base import query, rebatched, table, written
 
 SPAN = 3
-MIN_WORDS = 10
 MIN_SENTENCE = 3
+MIN_WORDS = SPAN * MIN_SENTENCE
 MAX_SENTENCE = 16
 END = re.compile(r"[.!?]+\s+|\n\s*")
 WORD = re.compile(r"\S+\s*")

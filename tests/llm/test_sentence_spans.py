@@ -93,3 +93,11 @@ def test_a_passage_is_cut_alike_behind_any_words(lengths):
     for before in range(1, 40):
         assert alone & runs(" ".join(f"x{before}y{i}" for i in range(before)) + " " + shared), before
     assert alone & runs("No. " + shared)
+
+
+@pytest.mark.parametrize("words", [1, 2, 3])
+def test_lists_of_short_lines(spark, words):
+    lines = "\n".join(" ".join(f"w{i}x{j}" for j in range(words)) for i in range(200))
+    docs = spark.createDataFrame([(1, lines), (2, "Here is another beginning.\n" + lines)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in remove_repeated(docs).collect()}
+    assert got == {1: lines, 2: "Here is another beginning."}
