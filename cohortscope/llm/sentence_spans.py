@@ -2,7 +2,7 @@
 
 A text is cut into sentences. Every run of ``SPAN`` consecutive sentences with at least ``MIN_WORDS`` words
 is hashed to 128 bits over small letters and single spaces. Equal hashes meet across all documents; of each
-repeated span the first occurrence, by ``doc_id`` and then place in the text, stays, and every sentence
+repeated span the first occurrence, by ``doc_id``, then the text's hash and place, stays, and every sentence
 that lies in a later occurrence is removed. Repetitions within a text are found where it is hashed.
 
 A sentence ends at full stops, exclamation or question marks before white space, and at line ends. A row
@@ -17,7 +17,8 @@ The second pass hashes again instead of storing the spans, and joins them to the
 hot hash can be split over tasks. Texts move once, to meet the places to remove.
 
 Defined results: null and empty texts stay as they are; a null ``doc_id`` comes after all others; rows of
-equal ``doc_id`` count as one document and don't repeat each other; texts without a removed sentence come back unchanged, byte for byte; a text whose
+equal ``doc_id`` and text count as one document and don't repeat each other, those of equal ``doc_id`` (or
+none) and other text do; texts without a removed sentence come back unchanged, byte for byte; a text whose
 sentences all go becomes empty; an empty table gives no rows; other columns pass unchanged whatever their
 names.
 """
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -42,7 +43,7 @@ MIN_WORDS = SPAN * MIN_SENTENCE
 MAX_SENTENCE = 16
 END = re.compile(r"[.!?]+\s+|\n\s*")
 WORD = re.compile(r"\S+\s*")
-SPANS_SCHEMA = "h1 long, h2 long, id long, place int, again boolean"
+SPANS_SCHEMA = "h1 long, h2 long, id long, t1 long, t2 long, place int, again boolean"
 #: Odd multipliers that put the hashes of a span's sentences in order.
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 LAST = (1 << 63) - 1
@@ -145,45 +146,57 @@ def _hash_spans(span: int, min_words: int):
             one, two, row, place = one[order], two[order], row[order], place[order]
             again = np.zeros(len(one), bool)
             again[1:] = (row[1:] == row[:-1]) & (one[1:] == one[:-1]) & (two[1:] == two[:-1])
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            ids, t1, t2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "t1", "t2"))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(one.view(np.int64)),
                     pa.array(two.view(np.int64)),
                     pa.array(ids[row]),
+                    pa.array(t1[row]),
+                    pa.array(t2[row]),
                     pa.array(place.astype(np.int32)),
                     pa.array(again),
                 ],
-                names=["h1", "h2", "id", "place", "again"],
+                names=["h1", "h2", "id", "t1", "t2", "place", "again"],
             )
 
     return run
 
 
+def row_key(doc_id: Column, text: Column) -> list[Column]:
+    """id (doc_id, null as the last one) and 128 bits of the text's hash, which tell documents apart."""
+    return [
+        F.coalesce(doc_id.cast("long"), F.lit(LAST)).alias("id"),
+        F.xxhash64(text).alias("t1"),
+        F.xxhash64(F.lit(1), text).alias("t2"),
+    ]
+
+
 def spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
-    """h1, h2 (the hash), id (doc_id, null as the last one) and place of every span.
+    """h1, h2 (the hash), the document's ``row_key`` and place of every span.
 
     ``again`` marks spans that the same text has before.
     """
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.col("text").cast("string").alias("text")
-    )
+    text = F.col("text").cast("string")
+    rows = docs.select(*row_key(F.col("doc_id"), text), text.alias("text"))
     return rows.mapInArrow(_hash_spans(span, min_words), SPANS_SCHEMA)
 
 
 def repeated_places(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
-    """id and place of every occurrence of a span but its first."""
+    """``row_key`` and place of every occurrence of a span but its first."""
+    key = F.struct("id", "t1", "t2")
     first = (
         spans(docs, span, min_words)
         .filter("NOT again")
         .groupBy("h1", "h2")
-        .agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
+        .agg(F.min(key).alias("first"), F.count("*").alias("n"))
         .filter("n > 1")
         .drop("n")
     )
     first = written(first, "repeated-spans")
-    later = F.col("again") | F.coalesce(F.col("id") > F.col("first_id"), F.lit(False))
-    return spans(docs, span, min_words).join(first, ["h1", "h2"], "left").filter(later).select("id", "place")
+    later = F.col("again") | F.coalesce(key > F.col("first"), F.lit(False))
+    found = spans(docs, span, min_words).join(first, ["h1", "h2"], "left").filter(later)
+    return found.select("id", "t1", "t2", "place")
 
 
 def _remove(span: int, text_at: int, cut_at: int, names: list[str]):
@@ -215,11 +228,12 @@ def remove_repeated(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORD
     base = docs.select(*[c for c in docs.columns if c not in ("n_sentences", "n_removed")]).withColumn(
         "text", F.col("text").cast("string")
     )
-    places = repeated_places(docs, span, min_words).groupBy("id").agg(F.collect_set("place").alias("places"))
+    places = repeated_places(docs, span, min_words).groupBy("id", "t1", "t2").agg(F.collect_set("place").alias("places"))
     # Positional names keep clear of whatever the input's columns are called.
     inner = base.toDF(*[f"c{i}" for i in range(len(base.columns))])
-    key = inner[f"c{base.columns.index('doc_id')}"].cast("long")
-    joined = inner.join(places, F.coalesce(key, F.lit(LAST)) == F.col("id"), "left").drop("id")
+    doc_id, text = (inner[f"c{base.columns.index(c)}"] for c in ("doc_id", "text"))
+    same = [own == places[c] for own, c in zip(row_key(doc_id, text), ("id", "t1", "t2"), strict=True)]
+    joined = inner.join(places, same, "left").drop("id", "t1", "t2")
     names = [*base.columns, "n_sentences", "n_removed"]
     schema = StructType(
         [*base.schema.fields, StructField("n_sentences", IntegerType()), StructField("n_removed", IntegerType())]

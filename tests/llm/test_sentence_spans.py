@@ -101,3 +101,16 @@ def test_lists_of_short_lines(spark, words):
     docs = spark.createDataFrame([(1, lines), (2, "Here is another beginning.\n" + lines)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in remove_repeated(docs).collect()}
     assert got == {1: lines, 2: "Here is another beginning."}
+
+
+def test_rows_of_one_id_and_other_texts(spark):
+    """Each row loses its own repetitions only, and rows of one id or none repeat each other."""
+    a, b, c, d = (passage(i) for i in range(20, 24))
+    rows = [(2, a), (None, a), (None, b), (None, f"{c} {d}"), (None, f"{d} {c}"), (5, f"{b}\n{c}"), (5, d)]
+    got = remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = sorted((str(r.doc_id), r.text) for r in got)
+    expected = [("2", a), ("5", f"{b}\n{c}"), ("5", d), *[("None", "")] * 4]
+    assert left == sorted(expected)
+    e, f = passage(30), passage(31)
+    got = remove_repeated(spark.createDataFrame([(None, f"{e} {f}"), (None, f), (1, "x")], "doc_id long, text string"))
+    assert sum(r.text.count(f) for r in got.collect()) == 1
