@@ -15,6 +15,7 @@ MODULES = (
     "packing",
     "token_files",
     "token_counts",
+    "periodic_runs",
 )
 
 
