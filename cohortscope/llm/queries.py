@@ -16,6 +16,7 @@ MODULES = (
     "token_files",
     "token_counts",
     "periodic_runs",
+    "suffix_dedup",
     "spelling_variants",
 )
 
