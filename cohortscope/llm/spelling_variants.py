@@ -43,11 +43,11 @@ CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BOX_ROWS = 8192
 #: Letters of a box's words, which bounds boxes of very long words.
 BOX_LETTERS = 400_000
-#: Words that the trees are fitted on, those of the smallest hashes.
+#: Words that the trees are fitted on, about; hashes choose them.
 SAMPLE = 50_000
 LEAF = 24
 #: Counts compared at a time.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 #: Greatest count told apart; equal beyond, which only brings words nearer.
 MAX_LETTER = 30_000
 DATA, SAME, LONGER = 0, 1, 2
@@ -235,7 +235,10 @@ def near_words(words: DataFrame, box_rows: int = BOX_ROWS) -> DataFrame:
     """word, n_near and the best near word with its count, for words (word, n; distinct) that have any."""
     size = F.char_length("word").alias("size")
     total = {r["size"]: r["count"] for r in words.groupBy(size).count().collect()}
-    sampled = words.select("word").orderBy(F.xxhash64("word"), "word").limit(SAMPLE).toPandas()["word"].tolist()
+    # About SAMPLE words, whatever their number: those whose hashes fall into a share of all hashes.
+    share = min(1 << 30, (SAMPLE << 30) // max(1, sum(total.values())))
+    chosen = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < share
+    sampled = sorted(r.word for r in words.filter(chosen).select("word").collect())
     by_size: dict[int, list[str]] = {}
     for word in sampled:
         by_size.setdefault(len(word), []).append(word)
