@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from cohortscope.operators.bootstrap import bootstrap_cells, bootstrap_exact, metric_ci
+from cohortscope.operators.bootstrap import bootstrap_exact, metric_ci
 from cohortscope.operators.evaluation import ci_error_bars, pr_curve, roc_curve
+from cohortscope.operators.joint_bootstrap import bootstrap_joint
 from cohortscope.operators.survival import (
     concordance_index,
     survival_metrics,
@@ -27,22 +27,19 @@ def bootstrap_intervals(
     method: str = "cells",
     with_c_index: bool = False,
 ) -> DataFrame:
-    """``year``, ``metric``, mean and 95% interval.
+    """``year``, ``metric``, mean and 95% interval; the C-index, if wanted, has no year.
 
-    ``cells`` draws counts of distinct scores and works at any size; ``exact`` draws rows, costs
-    replicates x rows, and alone can give the interval of the C-index (``year`` NULL).
+    ``cells`` works at any size: tasks work out the draws of the cases they hold. ``exact`` joins draws to rows, which
+    costs a row per replicate and case.
     """
-    if method not in ("cells", "exact") or (with_c_index and method == "cells"):
-        raise ValueError("method is 'cells' or 'exact', and the C-index needs 'exact'")
     if method == "exact":
         values = bootstrap_exact(df, key, scores, time, event, n_replicates, seed, with_c_index)
+    elif method == "cells":
+        values = bootstrap_joint(df, key, scores, time, event, n_replicates, seed)
+        if not with_c_index:
+            values = values.filter("metric <> 'c_index'")
     else:
-        yearly = yearly_cases(df, scores, time, event)
-        years = F.explode(F.sequence(F.lit(1), F.lit(len(scores)))).alias("year")
-        sizes = df.agg(F.count(F.lit(1)).alias("n_rows")).select(years, "n_rows")
-        values = bootstrap_cells(
-            yearly, "score", "label", n_replicates, seed, by=["year"], n_rows=sizes
-        )
+        raise ValueError("method is 'cells' or 'exact'")
     return metric_ci(values)
 
 

@@ -52,12 +52,15 @@ def test_rows_without_a_key_are_neither_drawn_nor_counted(spark):
     assert rows(with_nulls) == rows(without)
 
 
-def test_intervals_of_the_c_index_need_row_draws(spark):
-    got = bootstrap_intervals(cohort(spark), "id", ["s"], "time", "event", 15, method="exact", with_c_index=True)
-    c = got.filter("metric = 'c_index'").first()
-    assert c.year is None and c.lower_bound <= c["mean"] <= c.upper_bound
+def test_intervals_of_the_c_index(spark):
+    for method in ("exact", "cells"):
+        got = bootstrap_intervals(cohort(spark), "id", ["s"], "time", "event", 15, method=method, with_c_index=True)
+        c = got.filter("metric = 'c_index'").first()
+        assert c.year is None and c.lower_bound <= c["mean"] <= c.upper_bound
+        got = bootstrap_intervals(cohort(spark), "id", ["s"], "time", "event", 15, method=method)
+        assert got.filter("metric = 'c_index'").count() == 0 and got.count() == 3
     with pytest.raises(ValueError):
-        bootstrap_intervals(cohort(spark), "id", ["s"], "time", "event", with_c_index=True)
+        bootstrap_intervals(cohort(spark), "id", ["s"], "time", "event", method="other")
 
 
 def test_missing_censoring_weight_is_an_error(spark):

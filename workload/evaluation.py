@@ -21,6 +21,7 @@ from cohortscope.operators.evaluation import (
     roc_curve,
     youden_threshold,
 )
+from cohortscope.operators.joint_bootstrap import LAST_SHIFT, MARGIN, MOST, ROUNDS, bootstrap_joint, mix
 from cohortscope.operators.profiles import positive_rate
 from cohortscope.operators.rank_tests import bonferroni, mann_whitney
 from cohortscope.operators.scoring import score_cases, score_resume, score_with_features, unscored
@@ -304,9 +305,9 @@ def concordance_index_query(spark, sf_dir):
 # --- bootstrap --------------------------------------------------------------------------------
 
 
-# Replicates of the registered bootstraps: enough for 2.5 % percentiles; the last one's statement forms
-# all pairs of every replicate.
-REPLICATES, SURVIVAL_REPLICATES, CELL_REPLICATES, PAIR_REPLICATES = 1000, 200, 200, 40
+# Replicates of the registered bootstraps. ``bootstrap_joint`` draws as many as published evaluations do; those that
+# resample rows draw enough for 2.5 % percentiles, and the last one's statement forms all pairs of every replicate.
+JOINT_REPLICATES, REPLICATES, SURVIVAL_REPLICATES, CELL_REPLICATES, PAIR_REPLICATES = 5000, 1000, 200, 200, 40
 
 
 def resampled_sql(source: str, key: str, replicates: int) -> str:
@@ -429,27 +430,107 @@ def bootstrap_cells_query(spark, sf_dir):
     return metric_ci(values, ["arm", "metric"])
 
 
+def mixed_sql(x: str, name: str) -> str:
+    """Select items, each using the one before, that end in the 32-bit hash ``name`` of ``x``."""
+    steps = [f"({x})::UBIGINT AS {name}_0"]
+    for i, (shift, factor) in enumerate(ROUNDS):
+        steps.append(f"(xor({name}_{i}, {name}_{i} >> {shift}) * {factor}::UBIGINT) & 4294967295::UBIGINT AS {name}_{i + 1}")
+    return ", ".join([*steps, f"xor({name}_{len(ROUNDS)}, {name}_{len(ROUNDS)} >> {LAST_SHIFT}) AS {name}"])
+
+
+def joint_draws_sql(source: str, key: str, replicates: int, seed: int = 42) -> str:
+    """CTEs ``numbered`` and ``weights``: how often each replicate draws each row of ``source``."""
+    start = int(mix(np.array([seed], np.uint32))[0])
+    terms = ["1.0"]
+    for k in range(1, MOST):
+        terms.append(terms[-1] + f" * mean / {k}")
+    limits = ", ".join(f"floor(exp(-mean) * ({' + '.join(terms[: k + 1])}) * 4294967296)::UBIGINT AS t{k}" for k in range(MOST))
+    reached = " + ".join(f"(u >= t{k})::INTEGER" for k in range(MOST))
+    return f"""
+numbered AS (SELECT *, row_number() OVER (ORDER BY {key}) - 1 AS idx FROM {source} WHERE {key} IS NOT NULL),
+size AS (SELECT count(*) AS n, greatest(0.0, 1 - {MARGIN} / sqrt(count(*))) AS mean FROM numbered),
+limits AS (SELECT n, {limits} FROM size),
+replicates AS (SELECT b, {mixed_sql(f"(b + {start}) & 4294967295", "part")} FROM range({replicates}) t(b)),
+places AS (SELECT idx, {mixed_sql("idx", "base")} FROM numbered),
+counted AS (
+  SELECT b, idx, {mixed_sql("(base + part) & 4294967295::UBIGINT", "u")}, {reached} AS drawn
+  FROM places, replicates, limits),
+lacking AS (SELECT b, unnest(range((SELECT n FROM size) - sum(drawn)::BIGINT)) AS j FROM counted GROUP BY b),
+completing AS (
+  SELECT b, ('0x' || substr(md5('{seed}-' || b || '-' || j), 1, 8))::BIGINT % (SELECT n FROM size) AS idx FROM lacking),
+weights AS (
+  SELECT CAST(b AS INTEGER) AS replicate, idx, sum(drawn) AS w FROM (
+    SELECT b, idx, drawn FROM counted WHERE drawn > 0 UNION ALL SELECT b, idx, 1 FROM completing)
+  GROUP BY ALL)"""
+
+
+JOINT_SQL = f"""WITH {YEARLY_SQL}, {CENSORING_SQL.removeprefix(COHORT_SQL + ",").strip()},
+{joint_draws_sql('cohort', 'pid', JOINT_REPLICATES)},
+cells AS (
+  SELECT replicate, year, score AS threshold, coalesce(sum(w) FILTER (label = 1), 0)::DOUBLE AS pos,
+         coalesce(sum(w) FILTER (label = 0), 0)::DOUBLE AS neg
+  FROM weights JOIN numbered USING (idx) JOIN yearly ON numbered.pid = yearly.pid
+  WHERE label IS NOT NULL GROUP BY ALL),
+pts AS (
+  SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM cells
+  WINDOW w AS (PARTITION BY replicate, year ORDER BY threshold DESC)),
+areas AS (
+  SELECT replicate, year, sum(pos) AS n_pos, sum(neg) AS n_neg, sum(neg * (tp - pos / 2)) AS won,
+         sum(pos * tp / (tp + fp)) AS steps,
+         sum(pos * (tp / (tp + fp) + CASE WHEN tp + fp > pos + neg THEN (tp - pos) / (tp + fp - pos - neg) ELSE 1 END) / 2) AS area
+  FROM pts GROUP BY ALL HAVING sum(pos) > 0 AND sum(neg) > 0),
+pairs AS (
+  SELECT replicate, t, score, coalesce(sum(w) FILTER (event = 1 AND time = t), 0)::DOUBLE AS former,
+         coalesce(sum(w) FILTER (time > t), 0)::DOUBLE AS latter
+  FROM weights JOIN (
+    SELECT idx, event, years_to_event AS time, unnest([{', '.join(SCORES)}]) AS score,
+           unnest(range({len(SCORES)})) AS t FROM numbered) USING (idx)
+  WHERE time > t OR event = 1 AND time = t GROUP BY ALL),
+summed AS (SELECT *, sum(former) OVER (PARTITION BY replicate, t ORDER BY score DESC) AS above FROM pairs),
+by_year AS (
+  SELECT replicate, t, sum(latter * (above - former / 2)) AS won, sum(former) * sum(latter) AS n_pairs
+  FROM summed GROUP BY ALL),
+indexes AS (
+  SELECT replicate, sum(won / (g * g)) / sum(n_pairs / (g * g)) AS c
+  FROM by_year JOIN km ON km.time = t WHERE g > 0 GROUP BY 1 HAVING sum(n_pairs) > 0),
+tidy AS (
+  SELECT year, 'auroc' AS metric, won / (n_pos * n_neg) AS value FROM areas
+  UNION ALL SELECT year, 'auprc', area / n_pos FROM areas
+  UNION ALL SELECT year, 'average_precision', steps / n_pos FROM areas
+  UNION ALL SELECT NULL, 'c_index', c FROM indexes)"""
+
+
+@query(
+    "bootstrap_joint",
+    JOINT_SQL + f" SELECT CAST(year AS INTEGER) AS year, metric, {INTERVAL_SQL} FROM tidy GROUP BY 1, 2",
+)
+def bootstrap_joint_query(spark, sf_dir):
+    """Intervals of all yearly metrics and the C-index from one draw of whole cases, by the same hashes on both sides."""
+    values = bootstrap_joint(cohort(spark, sf_dir), "pid", SCORES, "years_to_event", "event", JOINT_REPLICATES)
+    return metric_ci(values).withColumns({c: F.round(c, 9) for c in ("mean", "lower_bound", "upper_bound")})
+
+
+def renamed(sql: str) -> str:
+    """CTEs under other names, to stand beside those of a bootstrap."""
+    for name in ("cells", "pts", "lagged", "areas"):
+        sql = sql.replace(name, f"{name}2")
+    return sql
+
+
 @query(
     "evaluate_cohort",
-    f"""WITH {YEARLY_SQL}, {points_sql('yearly', 'year')}, {areas_sql('year')},
-        {resampled_sql('cohort', 'pid', SURVIVAL_REPLICATES)},
-        once AS (SELECT * FROM {TIDY_SQL}),
-        resampled AS (
-          SELECT replicate, year, score, label FROM drawn
-          JOIN numbered ON pick = idx JOIN yearly ON numbered.pid = yearly.pid),
-        {points_sql('resampled', 'replicate, year').replace('cells', 'cells2').replace('pts', 'pts2')},
-        {areas_sql('replicate, year').replace('areas', 'areas2').replace('pts', 'pts2').replace('lagged', 'lagged2')},
-        tidy AS {TIDY_SQL.replace('areas', 'areas2')},
-        ci AS (SELECT year, metric, {INTERVAL_SQL} FROM tidy GROUP BY 1, 2)
-        SELECT year, metric, round(value, 6) AS value, round(mean, 6) AS mean,
-               round(lower_bound, 6) AS lower_bound, round(upper_bound, 6) AS upper_bound
-        FROM once JOIN ci USING (year, metric)""",
+    JOINT_SQL
+    + f""",
+{renamed(points_sql('yearly', 'year'))}, {renamed(areas_sql('year'))},
+once AS (SELECT * FROM {renamed(TIDY_SQL)}),
+ci AS (SELECT year, metric, {INTERVAL_SQL} FROM tidy GROUP BY 1, 2)
+SELECT year, metric, round(value, 6) AS value, round(mean, 6) AS mean,
+       round(lower_bound, 6) AS lower_bound, round(upper_bound, 6) AS upper_bound
+FROM once JOIN ci USING (year, metric)""",
 )
 def evaluate_cohort_query(spark, sf_dir):
     """The whole evaluation's metrics beside their intervals."""
-    tables = evaluate_cohort(
-        cohort(spark, sf_dir), "pid", SCORES, n_replicates=SURVIVAL_REPLICATES, method="exact"
-    )
+    tables = evaluate_cohort(cohort(spark, sf_dir), "pid", SCORES, n_replicates=JOINT_REPLICATES)
     both = tables["metrics"].join(tables["intervals"], ["year", "metric"])
     numbers = ("value", "mean", "lower_bound", "upper_bound")
     return both.select("year", "metric", *[rounded(c, 6) for c in numbers])
