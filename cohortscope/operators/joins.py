@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from cohortscope.operators.skew import join_aggregated
 
 
+#: Pairs of a key that are tested one by one, and the longest grams of an index of names.
+DIRECT_PAIRS = 4096
+GRAM = 4
+
+
 def join_clinical(cases: DataFrame, clinical: DataFrame, on: str = "pid") -> DataFrame:
     """All cases with the clinical columns of their subject.
 
@@ -86,43 +91,49 @@ def resolve_by_accession(
     return join_aggregated(cases, first, keys, "left")
 
 
-def _substrings(text: str, lengths: str) -> Column:
-    """All distinct substrings of ``text`` having one of ``lengths`` (an array column)."""
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.filter(F.col(lengths), lambda n: n <= F.length(text)),
-                lambda n: F.transform(
-                    F.sequence(F.lit(1), F.length(text) - n + 1),
-                    lambda start: F.substring(F.col(text), start, n),
-                ),
-            )
-        )
-    )
+def _grams(text: str, size: Column) -> Column:
+    """All distinct stretches of ``size`` characters in ``text``: at most as many as it is long, none if it is shorter."""
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    cut = F.transform(starts, lambda i: F.substring(F.col(text), i, size))
+    return F.when(F.length(text) >= size, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
+
+
+def _sided_grams(outer: str, inner: str) -> Column:
+    """(side, gram) of both names, as one array to explode."""
+
+    def sided(name: str, size: str, side: int) -> Column:
+        return F.transform(_grams(name, F.col(size)), lambda g: F.struct(F.lit(side).alias("_side"), g.alias("_gram")))
 
+    return F.concat(sided(outer, "_outer_size", 0), sided(inner, "_inner_size", 1))
 
-def _cut(folders: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Folders that contain a key's fragments, by equi joins on substrings."""
-    lengths = wanted.groupBy("_key").agg(
-        F.collect_set(F.length("_outer")).alias("_outer_lengths"),
-        F.collect_set(F.length("_inner")).alias("_inner_lengths"),
+
+def _look_up(folders: DataFrame, wanted: DataFrame, gram: int) -> DataFrame:
+    """Pairs of wanted fragments and folders that contain them, by an inverted index of the folders' grams.
+
+    Grams of a key are as long as its shortest fragment, ``gram`` at most. Every fragment pair is looked up once, by
+    the rarest of its grams, and what the index gives is tested on the names.
+    """
+    sizes = wanted.groupBy("_key").agg(
+        *[F.least(F.lit(gram), F.min(F.length(f))).alias(f"{f}_size") for f in ("_outer", "_inner")]
     )
-    by_inner = join_aggregated(folders, lengths, ["_key"]).select(
-        "_key",
-        "_outer_name",
-        "_outer_lengths",
-        "_path",
-        F.explode(_substrings("_inner_name", "_inner_lengths")).alias("_inner"),
+    entry = ["_key", "_side", "_gram"]
+    index = join_aggregated(folders, sizes, ["_key"]).select(
+        "_key", "_outer_name", "_inner_name", "_path", F.inline(_sided_grams("_outer_name", "_inner_name"))
     )
-    inner_wanted = wanted.select("_key", "_inner").distinct()
-    kept = join_aggregated(by_inner, inner_wanted, ["_key", "_inner"], "left_semi")
-    by_both = kept.select(
-        "_key",
-        "_inner",
-        "_path",
-        F.explode(_substrings("_outer_name", "_outer_lengths")).alias("_outer"),
+    frequency = index.groupBy(*entry).agg(F.count(F.lit(1)).alias("_n"))
+    asked = join_aggregated(wanted, sizes, ["_key"]).select(
+        "_key", "_outer", "_inner", F.inline(_sided_grams("_outer", "_inner"))
     )
-    return join_aggregated(by_both, wanted, ["_key", "_outer", "_inner"], "left_semi")
+    known = join_aggregated(asked, frequency, entry, "left")
+    rank = F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_side", "_gram")
+    rarest = known.groupBy("_key", "_outer", "_inner").agg(F.min(rank).alias("_best"))
+    rarest = rarest.filter("_best.n > 0").select("_key", "_outer", "_inner", "_best._side", "_best._gram")
+    return _contained(index.join(rarest, entry))
+
+
+def _contained(pairs: DataFrame) -> DataFrame:
+    both = F.contains("_outer_name", "_outer") & F.contains("_inner_name", "_inner")
+    return pairs.filter(both).select("_key", "_outer", "_inner", "_path")
 
 
 def resolve_by_suffix(
@@ -132,6 +143,8 @@ def resolve_by_suffix(
     outer: tuple[str, str],
     inner: tuple[str, str],
     path: str = "path",
+    direct_pairs: int = DIRECT_PAIRS,
+    gram: int = GRAM,
 ) -> DataFrame:
     """Find each case's folder by two fragments of its name.
 
@@ -140,9 +153,9 @@ def resolve_by_suffix(
     Adds ``resolved_path`` (first in path order or NULL), ``n_matches`` and ``match_status``
     (``none``, ``unique`` or ``multiple``).
 
-    Testing each folder against each fragment of its key would grow with the square of the group, so
-    the folder name is cut into its substrings of the wanted lengths and containment becomes an equi
-    join; a name has at most 255 characters, which bounds the cut.
+    Keys of at most ``direct_pairs`` pairs of fragments and folders have every pair tested. Beyond that the pairs
+    would grow with the square of the group, and fragments are looked up in an inverted index of the folder names'
+    grams, which has at most a row for each character of a name.
     """
     (outer_want, outer_name), (inner_want, inner_name) = outer, inner
     wanted = (
@@ -160,7 +173,15 @@ def resolve_by_suffix(
         F.col(inner_name).alias("_inner_name"),
         F.col(path).alias("_path"),
     )
-    hits = _cut(folders, wanted)
+    load = wanted.groupBy("_key").agg(F.count(F.lit(1)).alias("_w")).join(
+        folders.groupBy("_key").agg(F.count(F.lit(1)).alias("_f")), "_key"
+    )
+    load = load.select("_key", (F.col("_w") * F.col("_f") > direct_pairs).alias("_large"))
+    wanted, folders = (join_aggregated(side, load, ["_key"]) for side in (wanted, folders))
+    few, many = ~F.col("_large"), F.col("_large")
+    hits = _contained(folders.filter(few).drop("_large").join(wanted.filter(few), "_key")).unionAll(
+        _look_up(folders.filter(many), wanted.filter(many).drop("_large"), gram)
+    )
     found = hits.groupBy("_key", "_outer", "_inner").agg(
         F.min("_path").alias("resolved_path"), F.count(F.lit(1)).alias("_matches")
     )

@@ -120,7 +120,9 @@ def test_thin_axial(spark):
     assert rows(thin_axial_cases(df), "pid", "SliceThickness") == [("a", "2.0"), ("b", "3.0")]
 
 
-def test_resolve_by_suffix_equals_testing_every_pair(spark):
+@pytest.mark.parametrize("direct_pairs, gram", [(4096, 4), (0, 2), (150, 3)])
+def test_resolve_by_suffix_equals_testing_every_pair(spark, direct_pairs, gram):
+    """All pairs of a key at once, all by the index of grams, and some either way."""
     rng = random.Random(11)
 
     def word(n):
@@ -128,21 +130,42 @@ def test_resolve_by_suffix_equals_testing_every_pair(spark):
 
     folders = [(rng.choice("ppq"), word(7), word(6), f"/f/{i:03d}") for i in range(60)]
     cases = [(i, rng.choice("ppqz"), word(rng.randrange(1, 4)), word(rng.randrange(1, 4))) for i in range(40)]
-    cases.append((99, "p", None, "1"))
+    cases += [(99, "p", None, "1"), (100, "p", "", "1"), (101, "q", "1", ""), (102, "q", "1" * 9, "2")]
+    folders += [("q", "1", "", "/f/short"), ("p", None, "1", "/f/none")]
     got = joins.resolve_by_suffix(
         spark.createDataFrame(cases, "id int, pid string, t string, s string"),
         spark.createDataFrame(folders, "pid string, study string, series string, path string"),
         "pid",
         ("t", "study"),
         ("s", "series"),
+        direct_pairs=direct_pairs,
+        gram=gram,
     )
     expected = []
     for i, pid, t, s in cases:
-        found = [f[3] for f in folders if f[0] == pid and t is not None and t in f[1] and s in f[2]]
+        found = [f[3] for f in folders if f[0] == pid and t is not None and f[1] is not None and t in f[1] and s in f[2]]
         expected.append((i, min(found, default=None), len(found), ["none", "unique", "multiple"][min(len(found), 2)]))
     assert rows(got, "id", "resolved_path", "n_matches", "match_status") == sorted(expected, key=lambda t: [(v is None, str(v)) for v in t])
 
 
+def test_a_hot_key_is_looked_up_in_an_index(spark):
+    """Ten thousand folders and a thousand cases of one subject: rows grow with names and hits, not with the pairs."""
+    folders = spark.range(10_000).select(F.lit("p").alias("pid"), F.format_string("study-%04d", F.col("id") % 2000).alias("study"), F.format_string("series-%05d", "id").alias("series"), F.format_string("/f/%05d", "id").alias("path"))
+    cases = spark.range(1000).select("id", F.lit("p").alias("pid"), F.format_string("%04d", "id").alias("t"), F.format_string("%05d", "id").alias("s"))
+    got = joins.resolve_by_suffix(cases, folders, "pid", ("t", "study"), ("s", "series"))
+    assert got.filter("n_matches = 1 AND resolved_path = concat('/f/', s)").count() == 1000
+    grams = joins._look_up(
+        folders.toDF("_key", "_outer_name", "_inner_name", "_path"), cases.toDF("id", "_key", "_outer", "_inner").drop("id"), 4
+    )
+    rows_made = [
+        m for m in grams._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate inline" in m
+    ]
+    assert rows_made
+    index = folders.select(F.lit(4).alias("_outer_size"), F.lit(4).alias("_inner_size"), F.col("study").alias("o"), F.col("series").alias("i"))
+    index = index.select("o", "i", F.size(joins._sided_grams("o", "i")).alias("n"))
+    assert index.filter("n > length(o) + length(i)").count() == 0
+
+
 def test_resolve_by_accession(spark):
     catalog = spark.createDataFrame([("p", "1", "/b"), ("p", "1", "/a"), ("q", "1", "/c")], "pid string, acc string, path string")
     cases = spark.createDataFrame([("p", "1"), ("p", "2"), ("q", "1")], "pid string, acc string")
