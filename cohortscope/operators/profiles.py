@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortscope.operators.prefix import exact_percentiles, running_totals
+from cohortscope.operators.histogram import box_summary, selected_percentiles
+from cohortscope.operators.prefix import running_totals
 from cohortscope.operators.projection import drop_missing
-from cohortscope.operators.skew import join_aggregated
 
 
 def feature_combinations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -50,7 +50,7 @@ def positive_rate(event: Column) -> Column:
 
 def conditional_median(df: DataFrame, value: str, event: str = "event") -> DataFrame:
     """Median per event class."""
-    return exact_percentiles(df, value, {"median": 0.5}, [event])
+    return selected_percentiles(df, value, {"median": 0.5}, [event]).drop("mean")
 
 
 def mean_ci(
@@ -61,33 +61,13 @@ def mean_ci(
     upper: float = 0.975,
 ) -> DataFrame:
     """Mean and linear-interpolated percentiles per group, for groups of any size."""
-    bounds = exact_percentiles(df, value, {"lower_bound": lower, "upper_bound": upper}, by)
-    means = drop_missing(df, [*by, value]).groupBy(*by).agg(F.avg(value).alias("mean"))
-    if not by:
-        return bounds.withColumn("mean", means.scalar()).select(
-            "mean", "lower_bound", "upper_bound"
-        )
-    return means.join(bounds, list(by)).select(*by, "mean", "lower_bound", "upper_bound")
+    found = selected_percentiles(df, value, {"lower_bound": lower, "upper_bound": upper}, by)
+    return found.select(*by, "mean", "lower_bound", "upper_bound")
 
 
 def five_number_summary(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Box-plot data per group: quartiles, whiskers inside 1.5 IQR and the number of outliers."""
-    by = list(by)
-    present = drop_missing(df, [*by, value])
-    cells = present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_cell"))
-    quartiles = exact_percentiles(present, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
-    reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
-    joined = join_aggregated(cells, quartiles, by)
-    inside = (F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach)
-    return joined.groupBy(*by).agg(
-        F.max("n").alias("n"),
-        F.max("q1").alias("q1"),
-        F.max("median").alias("median"),
-        F.max("q3").alias("q3"),
-        F.min(F.when(inside, F.col(value))).alias("whisker_low"),
-        F.max(F.when(inside, F.col(value))).alias("whisker_high"),
-        F.sum(F.when(inside, 0).otherwise(F.col("n_cell"))).alias("n_outliers"),
-    )
+    return box_summary(df, value, by)
 
 
 def all_hold(condition: Column) -> Column:
