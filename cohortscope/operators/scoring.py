@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortscope.operators.joins import anti_by_key, semi_by_key
+from cohortscope.operators.observed import require_not_null
 from cohortscope.schemas import N_YEARS, score_columns
 from cohortscope.session import scratch_dir
 
@@ -82,9 +83,11 @@ def score_resume(
 
     The remaining cases are taken in ``n_chunks`` hash chunks of their unique key and appended chunk
     by chunk, so an interrupted run loses one chunk at most and the next run, with any number of
-    chunks, carries on from the rows it finds.
+    chunks, carries on from the rows it finds. A row without a key can't be found again, so it fails
+    the first job, before anything is scored.
     """
     spark = todo.sparkSession
+    todo = require_not_null(todo, [key])
     added = [T.StructField(n, T.DoubleType()) for n in score_columns(years)]
     if features:
         added.append(T.StructField("features", T.ArrayType(T.DoubleType())))
