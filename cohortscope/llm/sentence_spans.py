@@ -11,10 +11,11 @@ next sentence if that has at most ``2 * MIN_SENTENCE``, so that a span can't fal
 is below those of ``MIN_SENTENCE`` words on either side, and in what is still too long after the lowest hash in
 reach. So a passage that begins anywhere in a sentence is soon cut alike in any document.
 
-Only hashes and places are shuffled to find repetitions, and the first document of a hash is kept by an
-aggregation that starts before the shuffle, so a span that a third of all documents share is a row per task.
-The second pass hashes again instead of storing the spans, and joins them to the repeated hashes, where a
-hot hash can be split over tasks. Texts move once, to meet the places to remove.
+Texts are cut and hashed once; hashes and places of the spans are a table in the shared folder, with a row for
+each text's number of sentences. Only these are shuffled to find repetitions. The first document of a hash is
+kept by an aggregation that starts before the shuffle, so a span that a third of all documents share is a row per
+task; joining all spans to the repeated hashes, a hot hash can be split over tasks. Texts move once, to meet the places to
+remove, which come as characters, so that nothing is cut again.
 
 Defined results: null and empty texts stay as they are; a null ``doc_id`` comes after all others; rows of
 equal ``doc_id`` and text count as one document and don't repeat each other, those of equal ``doc_id`` (or
@@ -43,7 +44,8 @@ MIN_WORDS = SPAN * MIN_SENTENCE
 MAX_SENTENCE = 16
 END = re.compile(r"[.!?]+\s+|\n\s*")
 WORD = re.compile(r"\S+\s*")
-SPANS_SCHEMA = "h1 long, h2 long, id long, t1 long, t2 long, place int, again boolean"
+#: A row of place -1 has the text's number of sentences as its stop.
+SPANS_SCHEMA = "h1 long, h2 long, id long, t1 long, t2 long, place int, start int, stop int, again boolean"
 #: Odd multipliers that put the hashes of a span's sentences in order.
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 LAST = (1 << 63) - 1
@@ -123,46 +125,49 @@ def _hash_spans(span: int, min_words: int):
 
         digest = xxhash.xxh3_128_digest
         for batch in rebatched(batches, "text", 2_000_000):
-            raw, sizes, counts = [], [], []
+            raw, sizes, lengths, counts = [], [], [], []
             for text in batch.column("text").to_pylist():
                 found, words = sentences(text) if text else ([], [])
                 raw += [digest(" ".join(s.lower().split()).encode("utf-8", "surrogatepass")) for s in found]
+                lengths += map(len, found)
                 sizes += words
                 counts.append(len(found))
+            ids, t1, t2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "t1", "t2"))
+            none = np.full(len(counts), -1, np.int32)
+            yield _rows(t1, ids, ids, t1, t2, none, none, np.array(counts, np.int32), np.zeros(len(counts), bool))
             if len(raw) < span:
                 continue
             hashes = np.frombuffer(b"".join(raw), "<u8").reshape(-1, 2)
             row = np.repeat(np.arange(len(counts)), counts)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            before = np.cumsum(counts) - counts
+            place = np.arange(len(row)) - before[row]
             total = np.cumsum(np.concatenate([[0], sizes]))
+            ends = np.cumsum(np.concatenate([[0], lengths]))
             n = len(row) - span + 1
             kept = (row[:n] == row[span - 1 :]) & (total[span:] - total[:n] >= min_words)
             one, two = hashes[:n, 0].copy(), hashes[:n, 1].copy()
             for i in range(1, span):
                 one = one * MIX[0] + hashes[i : n + i, 0]
                 two = (two ^ (two >> np.uint64(31))) * MIX[1] + hashes[i : n + i, 1]
-            one, two, row, place = one[kept], two[kept], row[:n][kept], place[:n][kept]
-            order = np.lexsort((place, two, one, row))
-            one, two, row, place = one[order], two[order], row[order], place[order]
+            at = np.flatnonzero(kept)
+            at = at[np.lexsort((place[at], two[at], one[at], row[at]))]
+            one, two, row, place = one[at], two[at], row[at], place[at]
+            start = ends[at] - ends[before[row]]
+            stop = ends[at + span] - ends[before[row]]
             again = np.zeros(len(one), bool)
             again[1:] = (row[1:] == row[:-1]) & (one[1:] == one[:-1]) & (two[1:] == two[:-1])
-            ids, t1, t2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "t1", "t2"))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(one.view(np.int64)),
-                    pa.array(two.view(np.int64)),
-                    pa.array(ids[row]),
-                    pa.array(t1[row]),
-                    pa.array(t2[row]),
-                    pa.array(place.astype(np.int32)),
-                    pa.array(again),
-                ],
-                names=["h1", "h2", "id", "t1", "t2", "place", "again"],
-            )
+            yield _rows(one.view(np.int64), two.view(np.int64), ids[row], t1[row], t2[row], place, start, stop, again)
 
     return run
 
 
+def _rows(one, two, ids, t1, t2, place, start, stop, again) -> pa.RecordBatch:
+    numbers = [pa.array(x) for x in (one, two, ids, t1, t2)]
+    places = [pa.array(x.astype(np.int32)) for x in (place, start, stop)]
+    names = ["h1", "h2", "id", "t1", "t2", "place", "start", "stop", "again"]
+    return pa.RecordBatch.from_arrays([*numbers, *places, pa.array(again)], names=names)
+
+
 def row_key(doc_id: Column, text: Column) -> list[Column]:
     """id (doc_id, null as the last one) and 128 bits of the text's hash, which tell documents apart."""
     return [
@@ -173,7 +178,7 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
 
 
 def spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
-    """h1, h2 (the hash), the document's ``row_key`` and place of every span.
+    """h1, h2 (the hash), the document's ``row_key``, place and characters of every span.
 
     ``again`` marks spans that the same text has before.
     """
@@ -183,39 +188,40 @@ def spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> Data
 
 
 def repeated_places(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
-    """``row_key`` and place of every occurrence of a span but its first."""
+    """``row_key``, place and characters of every occurrence of a span but its first, and the rows of place -1."""
     key = F.struct("id", "t1", "t2")
+    every = written(spans(docs, span, min_words), "spans")
     first = (
-        spans(docs, span, min_words)
-        .filter("NOT again")
+        every.filter("place >= 0 AND NOT again")
         .groupBy("h1", "h2")
         .agg(F.min(key).alias("first"), F.count("*").alias("n"))
         .filter("n > 1")
         .drop("n")
     )
     first = written(first, "repeated-spans")
-    later = F.col("again") | F.coalesce(key > F.col("first"), F.lit(False))
-    found = spans(docs, span, min_words).join(first, ["h1", "h2"], "left").filter(later)
-    return found.select("id", "t1", "t2", "place")
+    later = F.col("again") | (F.col("place") < 0) | F.coalesce(key > F.col("first"), F.lit(False))
+    return every.join(first, ["h1", "h2"], "left").filter(later).select("id", "t1", "t2", "place", "start", "stop")
 
 
-def _remove(span: int, text_at: int, cut_at: int, names: list[str]):
+def _remove(span: int, text_at: int, total_at: int, cut_at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, cuts = batch.column(text_at), batch.column(cut_at).to_pylist()
-            new, total, removed = [], [], []
-            for text, places in zip(texts.to_pylist(), cuts, strict=True):
-                found = sentences(text)[0] if text else []
-                gone = np.zeros(len(found), bool)
-                for p in places or ():
-                    gone[p : p + span] = True
-                if gone.any():
-                    text = "".join(s for s, g in zip(found, gone, strict=True) if not g).rstrip()
+            new, removed = [], []
+            for text, cuts in zip(batch.column(text_at).to_pylist(), batch.column(cut_at).to_pylist(), strict=True):
+                gone = set()
+                if cuts:
+                    left, last = [], 0
+                    for cut in sorted(cuts, key=lambda c: c["place"]):
+                        gone.update(range(cut["place"], cut["place"] + span))
+                        if cut["start"] > last:
+                            left.append(text[last : cut["start"]])
+                        last = max(last, cut["stop"])
+                    text = ("".join(left) + text[last:]).rstrip()
                 new.append(text)
-                total.append(len(found))
-                removed.append(int(gone.sum()))
-            columns = [pa.array(new, pa.string()) if i == text_at else c for i, c in enumerate(batch.columns) if i != cut_at]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int32()), pa.array(removed, pa.int32())], names=names)
+                removed.append(len(gone))
+            columns = [pa.array(new, pa.string()) if i == text_at else c for i, c in enumerate(batch.columns) if i < total_at]
+            total = batch.column(total_at).fill_null(0)
+            yield pa.RecordBatch.from_arrays([*columns, total, pa.array(removed, pa.int32())], names=names)
 
     return run
 
@@ -228,7 +234,9 @@ def remove_repeated(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORD
     base = docs.select(*[c for c in docs.columns if c not in ("n_sentences", "n_removed")]).withColumn(
         "text", F.col("text").cast("string")
     )
-    places = repeated_places(docs, span, min_words).groupBy("id", "t1", "t2").agg(F.collect_set("place").alias("places"))
+    cut = F.when(F.col("place") >= 0, F.struct("place", "start", "stop"))
+    total = F.max(F.when(F.col("place") < 0, F.col("stop"))).alias("total")
+    places = repeated_places(docs, span, min_words).groupBy("id", "t1", "t2").agg(total, F.collect_set(cut).alias("places"))
     # Positional names keep clear of whatever the input's columns are called.
     inner = base.toDF(*[f"c{i}" for i in range(len(base.columns))])
     doc_id, text = (inner[f"c{base.columns.index(c)}"] for c in ("doc_id", "text"))
@@ -239,7 +247,7 @@ def remove_repeated(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORD
         [*base.schema.fields, StructField("n_sentences", IntegerType()), StructField("n_removed", IntegerType())]
     )
     at = base.columns.index("text")
-    return joined.mapInArrow(_remove(span, at, len(base.columns), names), schema)
+    return joined.mapInArrow(_remove(span, at, len(base.columns), len(base.columns) + 1, names), schema)
 
 
 @query("op8_sentence_spans")
