@@ -89,6 +89,6 @@ def test_stream_scores_a_case_once(spark, tmp_path):
         some.union(some).write.mode("append").parquet(source)
         assert score_new_files(spark, source, df.schema, done, state, doubler, key="id").awaitTermination(120)
     assert rows(spark.read.parquet(done), "id") == [(i,) for i in range(8)]
-    spark.createDataFrame([(None, 1.0)], df.schema).write.mode("append").parquet(source)
+    spark.createDataFrame([(None, 1.0)], "id long, v double").write.mode("append").parquet(source)
     with pytest.raises(Exception, match="id is never NULL"):
         score_new_files(spark, source, df.schema, done, state, doubler, key="id").awaitTermination(120)
