@@ -45,7 +45,7 @@ MAX_SENTENCE = 16
 END = re.compile(r"[.!?]+\s+|\n\s*")
 WORD = re.compile(r"\S+\s*")
 #: A row of place -1 has the text's number of sentences as its stop.
-SPANS_SCHEMA = "h1 long, h2 long, id long, t1 long, t2 long, place int, start int, stop int, again boolean"
+SPANS_SCHEMA = "h1 long, h2 long, id long, t long, place int, start int, stop int, again boolean"
 #: Odd multipliers that put the hashes of a span's sentences in order.
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 LAST = (1 << 63) - 1
@@ -132,9 +132,9 @@ def _hash_spans(span: int, min_words: int):
                 lengths += map(len, found)
                 sizes += words
                 counts.append(len(found))
-            ids, t1, t2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "t1", "t2"))
+            ids, t = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "t"))
             none = np.full(len(counts), -1, np.int32)
-            yield _rows(t1, ids, ids, t1, t2, none, none, np.array(counts, np.int32), np.zeros(len(counts), bool))
+            yield _rows(t, ids, ids, t, none, none, np.array(counts, np.int32), np.zeros(len(counts), bool))
             if len(raw) < span:
                 continue
             hashes = np.frombuffer(b"".join(raw), "<u8").reshape(-1, 2)
@@ -156,25 +156,21 @@ def _hash_spans(span: int, min_words: int):
             stop = ends[at + span] - ends[before[row]]
             again = np.zeros(len(one), bool)
             again[1:] = (row[1:] == row[:-1]) & (one[1:] == one[:-1]) & (two[1:] == two[:-1])
-            yield _rows(one.view(np.int64), two.view(np.int64), ids[row], t1[row], t2[row], place, start, stop, again)
+            yield _rows(one.view(np.int64), two.view(np.int64), ids[row], t[row], place, start, stop, again)
 
     return run
 
 
-def _rows(one, two, ids, t1, t2, place, start, stop, again) -> pa.RecordBatch:
-    numbers = [pa.array(x) for x in (one, two, ids, t1, t2)]
+def _rows(one, two, ids, t, place, start, stop, again) -> pa.RecordBatch:
+    numbers = [pa.array(x) for x in (one, two, ids, t)]
     places = [pa.array(x.astype(np.int32)) for x in (place, start, stop)]
-    names = ["h1", "h2", "id", "t1", "t2", "place", "start", "stop", "again"]
+    names = ["h1", "h2", "id", "t", "place", "start", "stop", "again"]
     return pa.RecordBatch.from_arrays([*numbers, *places, pa.array(again)], names=names)
 
 
 def row_key(doc_id: Column, text: Column) -> list[Column]:
-    """id (doc_id, null as the last one) and 128 bits of the text's hash, which tell documents apart."""
-    return [
-        F.coalesce(doc_id.cast("long"), F.lit(LAST)).alias("id"),
-        F.xxhash64(text).alias("t1"),
-        F.xxhash64(F.lit(1), text).alias("t2"),
-    ]
+    """id (doc_id, null as the last one) and t, a hash of the text, which tells rows of one id apart."""
+    return [F.coalesce(doc_id.cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("t")]
 
 
 def spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
@@ -189,8 +185,8 @@ def spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> Data
 
 def repeated_places(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
     """``row_key``, place and characters of every occurrence of a span but its first, and the rows of place -1."""
-    key = F.struct("id", "t1", "t2")
-    every = written(spans(docs, span, min_words), "spans")
+    key = F.struct("id", "t")
+    every = written(spans(docs, span, min_words), "spans", compression="zstd")
     first = (
         every.filter("place >= 0 AND NOT again")
         .groupBy("h1", "h2")
@@ -200,7 +196,7 @@ def repeated_places(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORD
     )
     first = written(first, "repeated-spans")
     later = F.col("again") | (F.col("place") < 0) | F.coalesce(key > F.col("first"), F.lit(False))
-    return every.join(first, ["h1", "h2"], "left").filter(later).select("id", "t1", "t2", "place", "start", "stop")
+    return every.join(first, ["h1", "h2"], "left").filter(later).select("id", "t", "place", "start", "stop")
 
 
 def _remove(span: int, text_at: int, total_at: int, cut_at: int, names: list[str]):
@@ -236,12 +232,12 @@ def remove_repeated(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORD
     )
     cut = F.when(F.col("place") >= 0, F.struct("place", "start", "stop"))
     total = F.max(F.when(F.col("place") < 0, F.col("stop"))).alias("total")
-    places = repeated_places(docs, span, min_words).groupBy("id", "t1", "t2").agg(total, F.collect_set(cut).alias("places"))
+    places = repeated_places(docs, span, min_words).groupBy("id", "t").agg(total, F.collect_set(cut).alias("places"))
     # Positional names keep clear of whatever the input's columns are called.
     inner = base.toDF(*[f"c{i}" for i in range(len(base.columns))])
     doc_id, text = (inner[f"c{base.columns.index(c)}"] for c in ("doc_id", "text"))
-    same = [own == places[c] for own, c in zip(row_key(doc_id, text), ("id", "t1", "t2"), strict=True)]
-    joined = inner.join(places, same, "left").drop("id", "t1", "t2")
+    same = [own == places[c] for own, c in zip(row_key(doc_id, text), ("id", "t"), strict=True)]
+    joined = inner.join(places, same, "left").drop("id", "t")
     names = [*base.columns, "n_sentences", "n_removed"]
     schema = StructType(
         [*base.schema.fields, StructField("n_sentences", IntegerType()), StructField("n_removed", IntegerType())]
