@@ -36,6 +36,9 @@ HEADLINE = [
     "bootstrap",
     "bootstrap_survival",
     "bootstrap_cells",
+    "bootstrap_joint",
+    "sql_auroc",
+    "observed_checks",
     "bonferroni",
     "score_cases",
     "score_resume",
