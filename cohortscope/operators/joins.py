@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from cohortscope.operators.skew import join_aggregated
 
 
-#: Pairs of a key that are tested one by one, and the longest grams of an index of names.
-DIRECT_PAIRS = 4096
+#: Fragment pairs of a key that each of its folders is tested against, and the longest grams of an index of names.
+DIRECT = 64
 GRAM = 4
 
 
@@ -143,7 +143,7 @@ def resolve_by_suffix(
     outer: tuple[str, str],
     inner: tuple[str, str],
     path: str = "path",
-    direct_pairs: int = DIRECT_PAIRS,
+    direct: int = DIRECT,
     gram: int = GRAM,
 ) -> DataFrame:
     """Find each case's folder by two fragments of its name.
@@ -153,7 +153,7 @@ def resolve_by_suffix(
     Adds ``resolved_path`` (first in path order or NULL), ``n_matches`` and ``match_status``
     (``none``, ``unique`` or ``multiple``).
 
-    Keys of at most ``direct_pairs`` pairs of fragments and folders have every pair tested. Beyond that the pairs
+    The folders of a key with at most ``direct`` fragment pairs are tested against each of them. Beyond that the tests
     would grow with the square of the group, and fragments are looked up in an inverted index of the folder names'
     grams, which has at most a row for each character of a name.
     """
@@ -173,15 +173,10 @@ def resolve_by_suffix(
         F.col(inner_name).alias("_inner_name"),
         F.col(path).alias("_path"),
     )
-    load = wanted.groupBy("_key").agg(F.count(F.lit(1)).alias("_w")).join(
-        folders.groupBy("_key").agg(F.count(F.lit(1)).alias("_f")), "_key"
-    )
-    load = load.select("_key", (F.col("_w") * F.col("_f") > direct_pairs).alias("_large"))
-    wanted, folders = (join_aggregated(side, load, ["_key"]) for side in (wanted, folders))
-    few, many = ~F.col("_large"), F.col("_large")
-    hits = _contained(folders.filter(few).drop("_large").join(wanted.filter(few), "_key")).unionAll(
-        _look_up(folders.filter(many), wanted.filter(many).drop("_large"), gram)
-    )
+    load = wanted.groupBy("_key").agg((F.count(F.lit(1)) > direct).alias("_large"))
+    sized = join_aggregated(wanted, load, ["_key"])
+    few, many = (sized.filter(c).drop("_large") for c in (~F.col("_large"), F.col("_large")))
+    hits = _contained(folders.join(few, "_key")).unionAll(_look_up(folders, many, gram))
     found = hits.groupBy("_key", "_outer", "_inner").agg(
         F.min("_path").alias("resolved_path"), F.count(F.lit(1)).alias("_matches")
     )
