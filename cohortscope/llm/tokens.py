@@ -1,12 +1,14 @@
 """Token ids of whole texts with a vocabulary file of the tokenizers library.
 
-A text is cut at white space, which this kind of vocabulary drops, and the library encodes each
-distinct piece of a batch once. Words and the marks behind them are encoded apart in any case, and small
-letters are all the vocabulary sees, so plain words are told apart without either.
+With a vocabulary whose rules are ``WORD_RULES``, a text is cut at white space, which those rules drop, and the
+library encodes each distinct piece of a batch once. Words and the marks behind them are encoded apart in any
+case, and small letters are all the vocabulary sees, so plain words are told apart without either. With any
+other vocabulary (one that keeps white space or capitals, say) the library encodes each text whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -25,6 +27,34 @@ SEPARATOR = "<|startoftext|>"
 NOT_SPACE = r"[\x1c-\x1f]"
 #: Words of Latin letters, which never combine with what follows, and the marks behind them.
 PLAIN = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
+#: Characters given to the library at a time where texts are encoded whole.
+WHOLE = 1_000_000
+#: The rules of a vocabulary file under which pieces between white space are independent.
+WORD_RULES = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
 
 _encoders: dict[str, "PieceEncoder"] = {}
 
@@ -37,6 +67,15 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        specials = {added["content"] for added in rules["added_tokens"]}
+        self.by_pieces = (
+            all(rules[k] == v for k, v in WORD_RULES.items())
+            and rules["model"].get("end_of_word_suffix") == "</w>"
+            and not rules["model"].get("dropout")
+            and all(s.startswith("<|") and s.endswith("|>") for s in specials)
+            and not any(added["lstrip"] or added["rstrip"] or added["single_word"] for added in rules["added_tokens"])
+        )
         self.separator = self.tokenizer.token_to_id(SEPARATOR)
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.dtype = np.dtype("<u4" if max(names.values()) >= 1 << 16 else "<u2")
@@ -107,12 +146,27 @@ class PieceEncoder:
         ids, _ = gather(np.concatenate(stores), sizes, np.stack([first, second], axis=1).ravel())
         return ids, sizes[first] + sizes[second]
 
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` without cutting: groups of texts of some ``WHOLE`` characters, one at least."""
+        texts = texts.fill_null("")
+        sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+        group = (np.cumsum(sizes) - sizes) // WHOLE
+        cuts = [*np.flatnonzero(np.diff(group, prepend=-1)), len(texts)]
+        parts = []
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            found = self.tokenizer.encode_batch_fast(texts[int(a) : int(z)].to_pylist(), add_special_tokens=False)
+            parts += [np.array(e.ids, dtype=self.dtype) for e in found]
+        offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(np.int64)
+        return np.concatenate([np.zeros(0, self.dtype), *parts]), offsets
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and where each text's ids begin (and the last ones end).
 
         Each text's ids equal those of encoding it in one piece. A null text has none.
         """
         texts = texts.cast(pa.large_string())
+        if not self.by_pieces:
+            return self._whole(texts)
         odd = pc.match_substring_regex(texts, NOT_SPACE).fill_null(False)
         any_odd = pc.any(odd).as_py()
         split = pc.utf8_split_whitespace((pc.if_else(odd, "", texts) if any_odd else texts).fill_null(""))

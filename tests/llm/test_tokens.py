@@ -46,6 +46,32 @@ def test_any_text_encodes_as_in_one_piece(texts):
     assert pieces(texts) == [whole(t) for t in texts]
 
 
+BYTES = vocabulary("byte_bpe_50k.json")
+ANY_CASE = Tokenizer.from_file(BYTES)
+
+
+@given(st.lists(st.one_of(st.none(), st.text(max_size=40), st.sampled_from([t for t in ODD if t])), max_size=5))
+@settings(max_examples=100, deadline=None)
+def test_a_vocabulary_with_other_rules_encodes_whole_texts(texts):
+    ids, offsets = encoder(BYTES).encode(pa.array(texts, pa.string()))
+    want = [ANY_CASE.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [ids[a:z].tolist() for a, z in zip(offsets[:-1], offsets[1:], strict=True)] == want
+    assert encoder(WORDS).by_pieces and not encoder(BYTES).by_pieces
+
+
+def test_whole_texts_in_groups(spark, tmp_path, monkeypatch):
+    texts = ["Hello world again.", None, "  Two  spaces\n", "", "LONG tail " * 3000]
+    want = [ANY_CASE.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[0] == [15496, 995, 757, 13]
+    monkeypatch.setattr(tokens, "WHOLE", 5)
+    ids, offsets = encoder(BYTES).encode(pa.array(texts, pa.string()))
+    assert [ids[a:z].tolist() for a, z in zip(offsets[:-1], offsets[1:], strict=True)] == want
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    write_token_files(docs, str(tmp_path / "bytes"), BYTES)
+    got = read_token_files(spark, str(tmp_path / "bytes")).orderBy("doc_id").collect()
+    assert [list(r.ids) for r in got] == [[*w, 2] for w in want]
+
+
 ROWS = [(5, "One two."), (2, None), (None, "null id"), (9, ""), (2, "second"), (2, "second"), (7, "w " * 5000)]
 SCHEMA = "doc_id long, text string, part string, start long, content string"
 
