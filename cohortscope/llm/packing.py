@@ -40,6 +40,9 @@ from cohortscope.llm.tokens import SLICE, encoder, vocabulary
 WINDOW = 4096
 CHUNK = 64
 MAX_SOURCES = 100_000
+#: Rounds and queues looked at together, which bounds a task's memory for any number of sources.
+ROUNDS = 1024
+QUEUES = 1024
 TOKENS_SCHEMA = "doc_id long, source string, part int, before long, doc_tokens long, ids binary"
 PIECES_SCHEMA = (
     "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, "
@@ -59,9 +62,14 @@ class Schedule:
     def __post_init__(self) -> None:
         self.tokens = int(self.totals.sum())
         self.rounds = -(-self.tokens // self.window)
-        times = np.concatenate([[0.0], np.unique(self.totals / self.weights)])
-        self.times = times
-        self.earned = np.minimum(self.totals[:, None], self.weights[:, None] * times).sum(axis=0)
+        # What all have earned: the totals of the queues that ran out, and the weights of the others.
+        order = np.argsort(self.totals / self.weights, kind="stable")
+        ends = (self.totals / self.weights)[order]
+        self.times = np.concatenate([[0.0], np.unique(ends)])
+        out = np.searchsorted(ends, self.times, side="right")
+        held = np.concatenate([[0], np.cumsum(self.totals[order])])[out]
+        left = np.concatenate([np.cumsum(self.weights[order][::-1])[::-1], [0.0]])[out]
+        self.earned = np.maximum.accumulate(held + left * self.times)
         # Queues start at different points of a chunk, so that they aren't all served in the same rounds.
         self.phase = (np.arange(1, len(self.totals) + 1) * 0.6180339887498949) % 1.0
 
@@ -88,13 +96,13 @@ class Schedule:
         """The position in the packed stream of tokens that begin a chunk or lie in it."""
         at = self.round_of(queue, token)
         different, back = np.unique(at, return_inverse=True)
-        everyone = np.arange(len(self.totals))[:, None]
         begin = np.zeros(len(different), np.int64)
-        for a in range(0, len(different), 4096):
-            piece = different[a : a + 4096][None, :]
-            before = self.served(everyone, piece)
-            first = self.served(everyone[:queue], piece + 1) - before[:queue]
-            begin[a : a + 4096] = before.sum(axis=0) + first.sum(axis=0)
+        for a in range(0, len(different), ROUNDS):
+            piece = different[a : a + ROUNDS][None, :]
+            for b in range(0, len(self.totals), QUEUES):
+                some = np.arange(b, min(b + QUEUES, len(self.totals)))[:, None]
+                # Queues before this one are served in the round first, the others after it.
+                begin[a : a + ROUNDS] += self.served(some, piece + (some < queue)).sum(axis=0)
         return begin[back] + token - self.served(queue, at)
 
 

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -39,6 +40,36 @@ def test_windows_hold_the_target_mixture():
     assert (np.abs(np.cumsum(share[:, :-1], axis=1) - wanted) <= 4 * 64).all()
 
 
+def test_many_sources_with_their_own_targets_in_bounded_memory():
+    rng = np.random.default_rng(1)
+    totals, weights = rng.integers(1, 60, 20_000), rng.random(20_000) + 0.01
+    totals[77] = 9_000
+    tracemalloc.start()
+    schedule = Schedule(totals, weights)
+    placed = {q: cut(schedule, q, np.array([0]), totals[[q]]) for q in (0, 77, 19_999)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    # A plain statement of the same rounds: what each queue has been served after every round.
+    rounds = np.arange(schedule.rounds + 1)
+    served = np.stack([schedule.served(np.arange(20_000), np.full(20_000, r)) for r in rounds])
+    assert (np.diff(served, axis=0) >= 0).all() and (served[-1] == totals).all()
+    for q, (_, start, length, at) in placed.items():
+        assert length.sum() == totals[q]
+        for a, n, place in zip(start, length, at, strict=True):
+            r = np.searchsorted(served[:, q], a, side="right") - 1
+            before = served[r].sum() + (served[r + 1, :q] - served[r, :q]).sum()
+            assert place == before + a - served[r, q] and n <= 4096
+
+
+def test_earned_tokens_are_the_sum_over_queues():
+    rng = np.random.default_rng(2)
+    totals, weights = rng.integers(1, 500, 300), rng.random(300) + 0.01
+    schedule = Schedule(totals, weights)
+    plain = np.minimum(totals[:, None], weights[:, None] * schedule.times).sum(axis=0)
+    assert np.allclose(schedule.earned, plain, rtol=1e-12) and schedule.earned[-1] == totals.sum()
+
+
 def check(rows, docs):
     tokenizer = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
     ids = {d: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for d, t in docs}
