@@ -23,7 +23,7 @@ def duck():
 def test_contract(spark):
     assert set(ORACLES) <= set(QUERIES) == set(OWN)
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(QUERIES) - set(ORACLES) == {"bootstrap_cells", "project_2d"}
+    assert set(QUERIES) - set(ORACLES) == {"bootstrap_cells"}
     assert contract.entry(spark).count() == 18
 
 

@@ -4,7 +4,17 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sources_and_projections", "joins_and_sets", "groups_and_profiles", "labels", "evaluation", "sql_surface", "observed", "workflows")
+MODULES = (
+    "sources_and_projections",
+    "joins_and_sets",
+    "groups_and_profiles",
+    "labels",
+    "evaluation",
+    "sql_surface",
+    "observed",
+    "workflows",
+    "maps_and_changes",
+)
 
 
 def all_queries() -> tuple[dict, dict]:

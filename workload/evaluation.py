@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from cohortscope.functions.survival import year_labels
 from cohortscope.operators.bootstrap import bootstrap_cells, bootstrap_exact, metric_ci
-from cohortscope.operators.embedding import project_2d
 from cohortscope.operators.evaluation import (
     auprc,
     auroc,
@@ -668,10 +667,3 @@ def unscored_query(spark, sf_dir):
         F.when(F.col("label") < 4, F.get("embedding", F.lit(0)).cast("double")).alias("pred_risk_year_0"),
     )
     return unscored(partly).drop("pred_risk_year_0")
-
-
-@query("project_2d")
-def project_2d_query(spark, sf_dir):
-    """Principal components have no fixed sign, so no statement is given."""
-    plane = project_2d(table(spark, sf_dir, "embeddings"), "embedding")
-    return plane.select("vec_id", "label", "dim_1", "dim_2")
