@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,7 @@ from cohortscope.operators.groups import dedupe_keep_first, first_per_group
 from cohortscope.operators.joins import join_clinical
 from cohortscope.operators.projection import drop_sentinels, max_bound, to_numeric
 from cohortscope.operators.selection import acquisition_tiers, with_tiers
+from cohortscope.sources.bucketed import co_located
 from cohortscope.sources.tables import SENTINELS
 
 LABELLED_COLUMNS = [
@@ -94,9 +95,13 @@ def label_survival(
     max_followup: int = 1,
     days_per_year: int = DAYS_PER_YEAR,
     n_timepoints: int = 3,
+    by_bucket: bool = False,
 ) -> DataFrame:
-    """Join the clinical table and derive event and time to event, in years from the scan."""
-    joined = join_clinical(scans, clinical)
+    """Join the clinical table and derive event and time to event, in years from the scan.
+
+    ``by_bucket`` says that both lie by subject in buckets of bounded size, see ``sources.bucketed``.
+    """
+    joined = scans.join(clinical, "pid", "left") if by_bucket else join_clinical(scans, clinical)
     days = [F.col(f"scr_days{i}") for i in range(n_timepoints)]
     return (
         joined.withColumn(
@@ -141,14 +146,26 @@ def labelled_cohort(
     tiers: Sequence[tuple[int, Column]] | None = None,
     days_per_year: int = DAYS_PER_YEAR,
     n_timepoints: int = 3,
+    by_bucket: bool = False,
 ) -> DataFrame:
     """Selection and labelling in one lazy plan, with the columns later stages use."""
     scans = select_scans(headers, timepoint, tiers, include)
     scans = scans.withColumn("pid", F.col("pid").cast("long"))
-    labelled = label_survival(scans, clinical, max_followup, days_per_year, n_timepoints)
+    labelled = label_survival(scans, clinical, max_followup, days_per_year, n_timepoints, by_bucket)
     return labelled.select(*LABELLED_COLUMNS)
 
 
+def labelled_cohort_of_tables(spark: SparkSession, headers: str, clinical: str, **options) -> DataFrame:
+    """``labelled_cohort`` of two stored tables, bucket by bucket where they lie so.
+
+    With headers bucketed by ``Patient_ID`` and the clinical table by ``pid``, both whole numbers in as many
+    buckets, choosing the scans, finding the first year and joining shuffle nothing. Tables that aren't bucketed
+    alike, or hold a subject too large for a task, take the ordinary way and give the same rows.
+    """
+    by_bucket = co_located(spark, headers, "Patient_ID", clinical, "pid")
+    return labelled_cohort(spark.table(headers), spark.table(clinical), by_bucket=by_bucket, **options)
+
+
 def thin_axial_cases(cases: DataFrame, max_thickness: float = 3.0) -> DataFrame:
     """Axial scans of known kernel up to ``max_thickness``, the thinnest per subject and timepoint."""
     kept = drop_sentinels(cases, ["SliceThickness", "ConvolutionKernel"], SENTINELS)

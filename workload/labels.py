@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from cohortscope.functions.dates import parse_date_any
@@ -31,7 +33,14 @@ from cohortscope.functions.survival import (
 from cohortscope.functions.vectors import ct_orientation, parse_vector
 from cohortscope.operators.joins import join_clinical
 from cohortscope.operators.skew import join_aggregated
-from cohortscope.plans.cohort import baseline_cases, labelled_cohort, thin_axial_cases
+from cohortscope.plans.cohort import (
+    baseline_cases,
+    labelled_cohort,
+    labelled_cohort_of_tables,
+    thin_axial_cases,
+)
+from cohortscope.session import scratch_dir
+from cohortscope.sources.bucketed import write_bucketed
 from workload.base import (
     CLINICAL_SQL,
     COHORT_SQL,
@@ -426,6 +435,16 @@ def labelled_baseline_query(spark, sf_dir):
     )
 
 
+@query("labelled_cohort_bucketed", LABELLED_SQL.format(order=""))
+def labelled_bucketed_query(spark, sf_dir):
+    """The same from two tables stored by subject, with no shuffle after they are written."""
+    names = [f"{kind}_{uuid4().hex}" for kind in ("headers", "clinical")]
+    whole = headers(spark, sf_dir).withColumn("Patient_ID", F.col("Patient_ID").cast("long"))
+    write_bucketed(whole, names[0], "Patient_ID", 16, scratch_dir(spark, "headers"))
+    write_bucketed(clinical(spark, sf_dir), names[1], "pid", 16, scratch_dir(spark, "clinical"))
+    return labelled_cohort_of_tables(spark, *names, timepoint="baseline", max_followup=6)
+
+
 @query("labelled_cohort_latest", LABELLED_SQL.format(order="DESC"))
 def labelled_latest_query(spark, sf_dir):
     """The same with the last scan per subject."""
