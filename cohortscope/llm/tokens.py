@@ -51,14 +51,27 @@ WORD_RULES = {
             {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
         ],
     },
-    "post_processor": None,
-    "truncation": None,
-    "padding": None,
 }
 
 _encoders: dict[str, "PieceEncoder"] = {}
 
 
+def _cuts_at_space(tokenizer) -> bool:
+    """Whether texts may be cut at white space: the rules are ``WORD_RULES`` and nothing else acts on a text."""
+    model, parts = tokenizer.model, {name: getattr(tokenizer, name) for name in WORD_RULES}
+    return (
+        all(part is not None and json.loads(part.__getstate__()) == WORD_RULES[name] for name, part in parts.items())
+        and getattr(model, "end_of_word_suffix", None) == "</w>"
+        and not model.dropout
+        and tokenizer.post_processor is tokenizer.truncation is tokenizer.padding is None
+        and all(
+            added.content.startswith("<|") and added.content.endswith("|>")
+            and not (added.lstrip or added.rstrip or added.single_word or added.normalized)
+            for added in tokenizer.get_added_tokens_decoder().values()
+        )
+    )
+
+
 class PieceEncoder:
     """Encodes texts with one vocabulary file; a worker keeps one instance per file."""
 
@@ -67,15 +80,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        rules = json.loads(self.tokenizer.to_str())
-        specials = {added["content"] for added in rules["added_tokens"]}
-        self.by_pieces = (
-            all(rules[k] == v for k, v in WORD_RULES.items())
-            and rules["model"].get("end_of_word_suffix") == "</w>"
-            and not rules["model"].get("dropout")
-            and all(s.startswith("<|") and s.endswith("|>") for s in specials)
-            and not any(added["lstrip"] or added["rstrip"] or added["single_word"] for added in rules["added_tokens"])
-        )
+        self.by_pieces = _cuts_at_space(self.tokenizer)
         self.separator = self.tokenizer.token_to_id(SEPARATOR)
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.dtype = np.dtype("<u4" if max(names.values()) >= 1 << 16 else "<u2")
