@@ -15,7 +15,7 @@ of at most ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` texts, those whose ids have t
 scoring is a sparse dot product in each task.
 
 Defined results: null, empty and white-space texts have no feature and get the score of the bias;
-without a confirmed toxic text every score is 0; repeated labels of an id count as one, the largest; a
+without a confirmed toxic text (no label, or no row that it belongs to) every score is 0; repeated labels of an id count as one, the largest; a
 null ``doc_id`` is in no held-out fold and is never trained on; repeated rows are scored each; an empty
 table gives no rows. ``score_toxicity`` passes all other columns through and replaces one named
 ``score``.
@@ -153,6 +153,8 @@ def fit(
         return packed(hashed.dropDuplicates(["h"]), featurise, "h", counted=False)
 
     positive = sample(known.filter("toxic = 1").select("doc_id"), max_positive)
+    if not positive:
+        return lambda x: np.zeros(x.n)
     ids = texts.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     unlabelled = sample(ids.distinct(), max_unlabelled)
     weights, bias = train(positive, unlabelled, min(0.99, toxic / total))

@@ -84,6 +84,14 @@ def test_without_labels(spark):
     assert score_toxicity(docs, none).first().score == 0.0
 
 
+@pytest.mark.filterwarnings("error::RuntimeWarning")
+def test_toxic_labels_without_texts(spark):
+    ids = [i for i in range(20) if not is_held_out(i)]
+    docs = spark.createDataFrame([(i, f"words {i}", "s", 1) for i in ids[2:]], SCHEMA)
+    labels = spark.createDataFrame([(i, int(i in ids[:2])) for i in ids], "doc_id long, toxic int")
+    assert {r.score for r in score_toxicity(docs, labels).collect()} == {0.0}
+
+
 def test_held_out_labels_change_nothing(spark):
     docs = spark.createDataFrame([(i, f"text {'good' if i % 2 else 'bad'} {i}", "s", i) for i in range(60)], SCHEMA)
     rows = [(i, i % 2) for i in range(60)]
