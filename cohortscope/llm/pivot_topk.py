@@ -8,16 +8,21 @@ the triangle inequality gives ``|q - x| >= g``, so no vector in the cell scores
 which give it a k-th score, then those whose bound still reaches that score. The cells that remain can't
 hold a better vector, nor an equal one that wins the tie. The same bound skips single blocks in a cell.
 
-Pivots come from a sample of at most ``SAMPLE`` vectors by the smallest hashes of their ids, spread out
-greedily. They decide what is skipped, never what is found, so the answer is exact for any pivots.
+There are a quarter of the square root of the number of vectors as pivots, ``MIN_PIVOTS`` at least and
+``MAX_PIVOTS`` at most, so cells stay small as a table grows. They come from a sample of ``SAMPLE`` vectors a
+pivot by the smallest hashes of their ids, spread out greedily. They decide what is skipped, never what is
+found, so the answer is exact for any pivots. How much is skipped depends on the vectors: where they lie in
+clusters most cells are, where all are about as far from each other none can be, and the search is a
+blocked product of all queries with all vectors.
 
 Each cell is dealt into blocks of about ``BLOCK`` vectors, so a hot cell is many rows. Of equal vectors only
-the ``k + 1`` with the smallest ids can matter to any query, and the rest is cut before the shuffle; an id's
+the ``k + 1`` with the smallest ids can matter to any query, and the rest is cut before the shuffle; a query's
 own row is then still left out. Queries travel in packs to the cells they visit, and tasks multiply blocks with
 packs.
 
 Defined results: a vector that is null or holds a null or non-finite component takes no part, nor does a row
-without an id; of rows that share an id the smallest vector counts; a shorter vector continues with zeros;
+without an id; rows that share an id are rows of their own, each a candidate of the others and, if the id is
+asked, a query with ranks of its own; a shorter vector continues with zeros;
 ties go to smaller ids; a query with fewer candidates than k gets them all; no queries or no candidates, or an
 empty table, give no rows; other columns are not read. Components are whole numbers, and a sum of
 squares of 2**52 and more raises an error, since scores must be exact.
@@ -25,6 +30,7 @@ squares of 2**52 and more raises an error, since scores must be exact.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,21 +41,23 @@ from pyspark.sql import functions as F
 
 from cohortscope.llm.base import query, table, written
 
-PIVOTS = 32
+MIN_PIVOTS = 32
+MAX_PIVOTS = 2048
 RINGS = 8
-SAMPLE = 1024
+SAMPLE = 16
 BLOCK = 2048
 PACK = 256
 FIRST_CELLS = 4
+BOUNDS = 4_000_000
 EXACT = 2.0**52
-BLOCKS_SCHEMA = "cell int, near double, far double, norm double, ids binary, vectors binary"
-PACKS_SCHEMA = "cell int, ids binary, vectors binary, least binary"
-FOUND_SCHEMA = "query_id long, vec_id long, score long"
+BLOCKS_SCHEMA = "cell int, near double, far double, norm double, ids binary, numbers binary, vectors binary"
+PACKS_SCHEMA = "cell int, numbers binary, vectors binary, least binary"
+FOUND_SCHEMA = "query long, vec_id long, score long"
 
 
 @dataclass
 class Index:
-    """What every task knows: the pivots and the cells' edges, at most PIVOTS * RINGS rows."""
+    """What every task knows: the pivots and the cells' edges, at most MAX_PIVOTS * RINGS rows."""
 
     pivots: np.ndarray
     near: np.ndarray
@@ -67,6 +75,10 @@ class Index:
         d = np.repeat(self.distances(x), RINGS, axis=1)
         return np.where(self.count > 0, score_bound((x**2).sum(axis=1)[:, None], d, self.near, self.far, self.norm), -np.inf)
 
+    def visited(self, x: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """The share of all vectors in the cells that a search for each row must look into if its k-th score is known."""
+        return (self.bounds(x) >= least[:, None]) @ self.count / self.count.sum()
+
 
 def score_bound(square: np.ndarray, distance: np.ndarray, near, far, norm) -> np.ndarray:
     """No vector between ``near`` and ``far`` of a pivot scores above it; rounding is allowed for."""
@@ -111,22 +123,23 @@ def _placed(pivots: np.ndarray):
             rows = np.ascontiguousarray(x, "<f8")
             yield pa.RecordBatch.from_arrays(
                 [
+                    batch.column("number"),
                     batch.column("vec_id"),
                     pa.array(nearest.astype(np.int32)),
                     pa.array(d[np.arange(len(x)), nearest]),
                     pa.array((x**2).sum(axis=1)),
                     pa.array([r.tobytes() for r in rows], pa.binary()),
                 ],
-                names=["vec_id", "pivot", "distance", "norm", "vector"],
+                names=["number", "vec_id", "pivot", "distance", "norm", "vector"],
             )
 
     return run
 
 
 def _as_block(key: tuple, group: pa.Table) -> pa.Table:
-    group = group.combine_chunks().sort_by([("distance", "ascending"), ("vec_id", "ascending")])
+    group = group.combine_chunks().sort_by([("distance", "ascending"), ("number", "ascending")])
     d, norm = group.column("distance").to_numpy(), group.column("norm").to_numpy()
-    ids = group.column("vec_id").to_numpy().astype("<i8").tobytes()
+    ids, numbers = (group.column(c).to_numpy().astype("<i8").tobytes() for c in ("vec_id", "number"))
     return pa.table(
         {
             "cell": pa.array([key[0].as_py()], pa.int32()),
@@ -134,39 +147,48 @@ def _as_block(key: tuple, group: pa.Table) -> pa.Table:
             "far": [float(d[-1])],
             "norm": [float(norm.max())],
             "ids": pa.array([ids], pa.binary()),
+            "numbers": pa.array([numbers], pa.binary()),
             "vectors": pa.array([b"".join(group.column("vector").to_pylist())], pa.binary()),
         }
     )
 
 
+def n_pivots(n: int) -> int:
+    return min(MAX_PIVOTS, max(MIN_PIVOTS, math.isqrt(n) // 4))
+
+
 def build_index(vectors: DataFrame, k: int) -> tuple[Index, DataFrame] | None:
-    """The index of ``vectors`` (vec_id, vector), every one of them, and its blocks."""
-    equal = Window.partitionBy(F.xxhash64("vector"), "vector").orderBy("vec_id")
+    """The index of ``vectors`` (number, vec_id, vector), every one of them, and its blocks."""
+    spark = vectors.sparkSession
+    equal = Window.partitionBy(F.xxhash64("vector"), "vector").orderBy("vec_id", "number")
     kept = written(vectors.withColumn("n", F.row_number().over(equal)).filter(F.col("n") <= k + 1).drop("n"), "vectors")
     square = F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v)
-    width, largest = vectors.agg(F.max(F.size("vector")), F.max(square)).first()
+    width, largest, n = kept.agg(F.max(F.size("vector")), F.max(square), F.count("*")).first()
     if width is None:
         return None
     if largest >= EXACT:
         raise ValueError("components too large for exact scores")
-    sample = kept.select("vec_id", "vector").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
-    pivots = _spread(_matrix(sample.column("vector").combine_chunks(), width), PIVOTS)
+    wanted = n_pivots(n)
+    few = kept.select("vec_id", "vector").orderBy(F.xxhash64("vec_id"), "vec_id", "number").limit(SAMPLE * wanted)
+    pivots = _spread(_matrix(few.select("vector").toArrow().column("vector").combine_chunks(), width), wanted)
     placed = written(
-        kept.mapInArrow(_placed(pivots), "vec_id long, pivot int, distance double, norm double, vector binary"), "placed"
+        kept.mapInArrow(_placed(pivots), "number long, vec_id long, pivot int, distance double, norm double, vector binary"),
+        "placed",
     )
     inner = [i / RINGS for i in range(1, RINGS)]
-    edges = [[0.0] * (RINGS - 1) for _ in pivots]
-    for r in placed.groupBy("pivot").agg(F.percentile_approx("distance", inner, 1000).alias("edges")).collect():
-        edges[r.pivot] = list(r.edges)
-    ring = F.size(F.filter(F.get(F.lit(edges), F.col("pivot")), lambda e: e < F.col("distance")))
-    celled = placed.withColumn("cell", F.col("pivot") * RINGS + ring)
+    # One row a pivot, and below one row a cell: the joins broadcast at most MAX_PIVOTS * RINGS short rows.
+    edges = placed.groupBy("pivot").agg(F.percentile_approx("distance", inner, 1000).alias("edges"))
+    edges = spark.createDataFrame(edges.collect(), "pivot int, edges array<double>")
+    ring = F.size(F.filter("edges", lambda e: e < F.col("distance")))
+    celled = placed.join(F.broadcast(edges), "pivot").withColumn("cell", F.col("pivot") * RINGS + ring).drop("edges")
     cells = len(pivots) * RINGS
     near, far, norm, count = (np.zeros(cells) for _ in range(4))
     for r in celled.groupBy("cell").agg(F.min("distance"), F.max("distance"), F.max("norm"), F.count("*")).collect():
         near[r[0]], far[r[0]], norm[r[0]], count[r[0]] = r[1:]
-    dealt = F.get(F.lit([int(-(-c // BLOCK)) or 1 for c in count]), F.col("cell"))
+    dealt = [(cell, -(-int(c) // BLOCK)) for cell, c in enumerate(count.tolist()) if c]
     blocks = (
-        celled.withColumn("deal", F.pmod(F.xxhash64("vec_id"), dealt))
+        celled.join(F.broadcast(spark.createDataFrame(dealt, "cell int, deals int")), "cell")
+        .withColumn("deal", F.pmod(F.xxhash64("number"), "deals"))
         .groupBy("cell", "deal")
         .applyInArrow(_as_block, BLOCKS_SCHEMA)
     )
@@ -176,13 +198,14 @@ def build_index(vectors: DataFrame, k: int) -> tuple[Index, DataFrame] | None:
 def _visits(index: Index, first: bool):
     """Queries in packs under each cell they go to: the best cells, or the others that may still matter."""
     width = index.pivots.shape[1]
+    step = max(1, BOUNDS // len(index.count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                part = batch.slice(start, 2048)
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
                 x = _matrix(part.column("vector"), width)
-                ids = part.column("vec_id").to_numpy().astype("<i8")
+                numbers = part.column("number").to_numpy().astype("<i8")
                 least = part.column("least").to_numpy(zero_copy_only=False).astype("<f8")
                 bound = index.bounds(x)
                 order = np.argsort(-bound, axis=1, kind="stable")
@@ -195,12 +218,12 @@ def _visits(index: Index, first: bool):
                     for a in range(0, len(own), PACK):
                         rows = own[a : a + PACK]
                         for column, value in zip(
-                            out, (cell, ids[rows].tobytes(), x[rows].tobytes(), least[rows].tobytes()), strict=True
+                            out, (cell, numbers[rows].tobytes(), x[rows].tobytes(), least[rows].tobytes()), strict=True
                         ):
                             column.append(value)
                 kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["cell", "ids", "vectors", "least"]
+                    [pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["cell", "numbers", "vectors", "least"]
                 )
 
     return run
@@ -214,17 +237,17 @@ def _scored(index: Index, k: int):
         for batch in batches:
             found = [[np.zeros(0, np.int64)] for _ in range(3)]
             for row in range(batch.num_rows):
-                cell, near, far, norm, ids, vectors, q_ids, q_vectors, least = (
+                cell, near, far, norm, ids, numbers, vectors, q_numbers, q_vectors, least = (
                     batch.column(c)[row].as_py() for c in range(batch.num_columns)
                 )
                 q = np.frombuffer(q_vectors).reshape(-1, width)
-                q_ids, least = np.frombuffer(q_ids, "<i8"), np.frombuffer(least)
+                asked, least = np.frombuffer(q_numbers, "<i8"), np.frombuffer(least)
                 distance = np.sqrt(((q - index.pivots[cell // RINGS]) ** 2).sum(axis=1))
                 may = score_bound((q**2).sum(axis=1), distance, near, far, norm) >= least
-                q, q_ids = q[may], q_ids[may]
+                q, asked = q[may], asked[may]
                 x, ids = np.frombuffer(vectors).reshape(-1, width), np.frombuffer(ids, "<i8")
                 score = q @ x.T
-                score[q_ids[:, None] == ids] = -np.inf
+                score[asked[:, None] == np.frombuffer(numbers, "<i8")] = -np.inf
                 n = min(k, len(ids))
                 # Everything from the k-th score up, so that ties are settled by id and not by place.
                 edge = np.partition(score, len(ids) - n, axis=1)[:, len(ids) - n] if len(q) else np.zeros(0)
@@ -234,62 +257,77 @@ def _scored(index: Index, k: int):
                 at, column, value = at[order], column[order], value[order]
                 rank = np.arange(len(at)) - np.searchsorted(at, at)
                 kept = rank < k
-                for c, v in zip(found, (q_ids[at[kept]], ids[column[kept]], value[kept]), strict=True):
+                for c, v in zip(found, (asked[at[kept]], ids[column[kept]], value[kept]), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(c)) for c in found], names=["query_id", "vec_id", "score"]
+                [pa.array(np.concatenate(c)) for c in found], names=["query", "vec_id", "score"]
             )
 
     return run
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id and score of the ``k`` largest inner products of each query.
+def numbered(vectors: DataFrame, k: int) -> DataFrame:
+    """number, vec_id, vector, copy and n: usable rows, of ``n`` equal ones the first ``k + 1``.
 
-    ``vectors`` has vec_id and vector, whole numbers as doubles; the rows where ``is_query`` holds are the
-    queries, and all rows but a query's own are its candidates.
+    The stored numbers tell rows apart and nothing else.
     """
     usable = F.col("vector").isNotNull() & F.col("vec_id").isNotNull() & F.forall("vector", lambda v: v.isNotNull())
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<double>").alias("vector"))
-    rows = written(rows.filter(usable).groupBy("vec_id").agg(F.min("vector").alias("vector")), "usable-vectors")
-    built = build_index(rows, k)
+    counted = rows.filter(usable).groupBy("vec_id", "vector").agg(F.count("*").alias("n"))
+    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k + 1)))))
+    return written(copies.withColumn("number", F.monotonically_increasing_id()), "usable-vectors")
+
+
+def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
+    """query_id, rank, vec_id and score of the ``k`` largest inner products of each query.
+
+    ``vectors`` has vec_id and vector, whole numbers as doubles; the rows where ``is_query``, a condition on
+    vec_id, holds are the queries, and all rows but a query's own are its candidates.
+    """
+    rows = numbered(vectors, k)
+    built = build_index(rows.select("number", "vec_id", "vector"), k)
     if built is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     index, blocks = built
-    queries = rows.filter(is_query)
+    queries = rows.filter(is_query & (F.col("copy") == 1)).select("number", "vector")
 
     def search(asked: DataFrame, first: bool) -> DataFrame:
-        packs = asked.select("vec_id", "vector", "least").mapInArrow(_visits(index, first), PACKS_SCHEMA)
-        packs = packs.select("cell", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), "least")
-        met = blocks.join(packs, "cell").select(*blocks.columns, "q_ids", "q_vectors", "least")
+        packs = asked.select("number", "vector", "least").mapInArrow(_visits(index, first), PACKS_SCHEMA)
+        packs = packs.select("cell", F.col("numbers").alias("q_numbers"), F.col("vectors").alias("q_vectors"), "least")
+        met = blocks.join(packs, "cell").select(*blocks.columns, "q_numbers", "q_vectors", "least")
         return met.mapInArrow(_scored(index, k), FOUND_SCHEMA)
 
     nothing = F.lit(float("-inf"))
     near = written(_best(search(queries.withColumn("least", nothing), True), k), "best-of-first-cells")
-    kth = near.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("least"))
-    rest = queries.join(kth, "vec_id", "left").withColumn("least", F.coalesce("least", nothing))
-    found = near.select("query_id", "vec_id", "score").union(search(rest, False))
-    return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    kth = near.filter(F.col("rank") == k).select(F.col("query").alias("number"), F.col("score").cast("double").alias("least"))
+    rest = queries.join(kth, "number", "left").withColumn("least", F.coalesce("least", nothing))
+    found = _best(near.select("query", "vec_id", "score").union(search(rest, False)), k)
+    # Equal rows ask the same and get the same.
+    asked = rows.filter(is_query & (F.col("copy") == 1)).select(
+        F.col("number").alias("query"), F.col("vec_id").alias("query_id"), F.sequence(F.lit(1), "n").alias("copies")
+    )
+    answers = found.join(asked, "query").withColumn("copies", F.explode("copies"))
+    return answers.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vector
+  SELECT vec_id, row_number() OVER () AS number, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vector
   FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.number, q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(list_inner_product(q.vector, c.vector) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.number <> q.number
 )
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM scored
+  SELECT *, row_number() OVER (PARTITION BY number ORDER BY score DESC, vec_id) AS n FROM scored
 ) WHERE n <= 5
 """
 
