@@ -15,11 +15,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cohortscope.llm.base import held_out, rebatched
+from cohortscope.llm.base import held_out, rebatched, written
 
 #: Odd multipliers that mix the numbers of an n-gram's words.
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -30,6 +30,8 @@ _SHAPE = bytes(
 )
 #: Characters of texts held as features at a time.
 SLICE = 2_000_000
+#: Bytes of all texts of one training sample. The features of a text take at most about five times its bytes.
+MAX_BYTES = 48 << 20
 
 
 @dataclass
@@ -96,7 +98,27 @@ def extract(
     return Sparse(len(texts), (found >> np.uint64(bits)).astype(np.int64), (found & mask).astype(np.int64), counts)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
+def sampled(docs: DataFrame, chosen: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The texts of ``chosen`` (doc_id and more, a bounded number of rows) that a model is fitted on.
+
+    One text per id, the one of smallest hash; in the order of the ids' hashes as many as have
+    ``max_bytes`` together. Texts above a hundredth of that come after all others, so that a few very long ones
+    don't take the place of the rest, and a text above ``max_bytes`` is never part of a sample. Returns the
+    columns of ``chosen`` with text and its hash ``h``.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(chosen, "doc_id").withColumn("h", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    found = written(texts.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0))), "sample")
+    # No more rows than ``chosen`` has, and no text: one task orders them.
+    sizes = found.groupBy("doc_id").agg(F.min(F.struct("h", "bytes")).alias("first")).select("doc_id", "first.*")
+    order = Window.orderBy(F.col("bytes") > max_bytes // 100, F.xxhash64("doc_id"), "doc_id")
+    fits = sizes.withColumn("total", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    fits = fits.filter(F.col("total") <= max_bytes).select("doc_id", "h")
+    kept = found.join(fits, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
+    return kept.select(*texts.columns)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int = MAX_BYTES) -> DataFrame:
     """At most ``max_rows`` training texts with their label, the ones of smallest hash of the id.
 
     Rows of the held-out fold and rows without a label are left out before. The sample is the same on
@@ -110,8 +132,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> D
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(known, "doc_id")
+    return sampled(docs, known, max_bytes)
 
 
 def packed(df: DataFrame, featurise: Callable[[pa.Array], Sparse], *kept: str, counted: bool = True) -> list[tuple]:

@@ -3,12 +3,12 @@
 Features are words, word pairs, word outlines and pairs of outlines, hashed into ``2**BITS`` weights;
 a text is the unit vector of the logarithms of their counts. Follow-the-regularised-leader keeps two
 numbers per weight and leaves most weights at exactly zero. Training sees at most ``MAX_ROWS`` labelled
-texts of the learning folds, the ones whose ids have the smallest hashes, and runs on the driver over
-their feature indices; scoring is a sparse dot product in each task, with the weights sent along once
+texts of the learning folds, the ones whose ids have the smallest hashes, of ``MAX_BYTES`` together, and runs on
+the driver over their feature indices; scoring is a sparse dot product in each task, with the weights sent along once
 (``8 * 2**BITS`` bytes at most).
 
 Defined results: null, empty and white-space texts have no feature and get the score of the bias;
-without any labelled row every score is 0.5, and with one label only the scores lean to it; repeated
+without any labelled row, or a text of it of at most ``MAX_BYTES``, every score is 0.5, and with one label only the scores lean to it; repeated
 labels of an id count as one, the largest; a null ``doc_id`` is in no held-out fold; repeated rows are
 scored each; an empty table gives no rows. ``score_quality`` passes all other columns through and
 replaces one named ``score``.
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from cohortscope.llm.base import query, table
 from cohortscope.llm.features import (
+    MAX_BYTES,
     Sparse,
     extract,
     fold_columns,
@@ -92,9 +93,11 @@ def train(parts: list[tuple], epochs: int = 2, seed: int = 0) -> tuple[np.ndarra
     return w[:size], float(w[size])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Callable[[Sparse], np.ndarray]:
+def fit(
+    docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES
+) -> Callable[[Sparse], np.ndarray]:
     """A score function learnt from ``labels`` (doc_id, quality) outside the held-out fold."""
-    sample = labelled(docs, labels, "quality", max_rows).withColumn("h", F.xxhash64("text"))
+    sample = labelled(docs, labels, "quality", max_rows, max_bytes)
     weights, bias = train(packed(sample, featurise, "h", "label"))
     used = np.flatnonzero(weights)
     held = weights[used].astype(np.float32)

@@ -11,11 +11,12 @@ Features say which words, and which first five letters of words, a text has, has
 buckets. Only buckets that confirmed toxic texts have clearly more often than unlabelled ones
 (by ``MIN_Z`` standard deviations), and whose texts are toxic in a share of at least ``MIN_SHARE`` by the prior,
 get a weight. Copies of a text count once. Training is a numpy job on the driver over feature indices
-of at most ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` texts, those whose ids have the smallest hashes;
+of at most ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` texts, those whose ids have the smallest hashes, each sample of at
+most ``MAX_BYTES``;
 scoring is a sparse dot product in each task.
 
 Defined results: null, empty and white-space texts have no feature and get the score of the bias;
-without a confirmed toxic text (no label, or no row that it belongs to) every score is 0; repeated labels of an id count as one, the largest; a
+without a confirmed toxic text (no label, or no row of at most ``MAX_BYTES`` that it belongs to) every score is 0; repeated labels of an id count as one, the largest; a
 null ``doc_id`` is in no held-out fold and is never trained on; repeated rows are scored each; an empty
 table gives no rows. ``score_toxicity`` passes all other columns through and replaces one named
 ``score``.
@@ -32,12 +33,14 @@ from pyspark.sql import functions as F
 
 from cohortscope.llm.base import held_out, query, table
 from cohortscope.llm.features import (
+    MAX_BYTES,
     Sparse,
     beginning_number,
     extract,
     fold_columns,
     packed,
     plain_number,
+    sampled,
     scored,
 )
 
@@ -133,8 +136,9 @@ def train(positive: list[tuple], unlabelled: list[tuple], prior: float) -> tuple
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED
-) -> Callable[[Sparse], np.ndarray]:
+    docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED,
+    max_bytes: int = MAX_BYTES,
+) -> Callable[[Sparse], np.ndarray]:
     """A score function learnt from confirmed toxic rows of ``labels`` (doc_id, toxic) and from ``docs``."""
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -145,17 +149,16 @@ def fit(
     total, toxic = known.agg(F.count("*"), F.sum("toxic")).first()
     if not toxic:
         return lambda x: np.zeros(x.n)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def sample(ids: DataFrame, rows: int) -> list[tuple]:
         chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-        hashed = texts.join(chosen, "doc_id").withColumn("h", F.xxhash64("text"))
-        return packed(hashed.dropDuplicates(["h"]), featurise, "h", counted=False)
+        texts = sampled(docs, chosen, max_bytes)
+        return packed(texts.dropDuplicates(["h"]), featurise, "h", counted=False)
 
     positive = sample(known.filter("toxic = 1").select("doc_id"), max_positive)
     if not positive:
         return lambda x: np.zeros(x.n)
-    ids = texts.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     unlabelled = sample(ids.distinct(), max_unlabelled)
     weights, bias = train(positive, unlabelled, min(0.99, toxic / total))
     weights = weights.astype(np.float32)
