@@ -10,7 +10,8 @@ exactly: a license is reported where a window holds at least ``MIN_CONTAINMENT``
 
 A window that holds ``MIN_CONTAINMENT`` of a template's shingles holds one of its key words: long words that
 so many of the shingles contain that the rest are too few. Only windows with a key word are looked at, and
-texts without one are left after a single pass. This loses nothing.
+texts without one are left after a single pass. This loses nothing. The key words that a text has are found by
+hashing first, and its words compared with those few, so time doesn't grow with words times templates.
 
 Nothing but matches is shuffled. One scan takes up to ``MAX_TEMPLATES`` templates of ``MAX_BROADCAST`` bytes of
 shingles together, and an error says so beyond: their bands, as numbers, and their shingles are broadcast,
@@ -35,20 +36,65 @@ BANDS = 32
 MIN_CONTAINMENT = 0.8
 MAX_TEMPLATES = 10_000
 MAX_BROADCAST = 32 << 20
-#: Notices as their licenses word them.
+#: Notices, titles, and parts of file headers and grants as their licenses word them, long enough to
+#: know a license and its version, and short enough that a sibling's wording isn't taken for it.
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "You may not use this file except in compliance with the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    (
+        "Apache-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is "
+        'distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    ),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    (
+        "BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission.",
+    ),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3"),
+    (
+        "GPL-3.0",
+        "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 "
+        "of the License",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3"),
+    (
+        "LGPL-3.0",
+        "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either "
+        "version 3 of the License",
+    ),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        'documentation files (the "Software"), to deal in the Software without restriction, including without '
+        "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+        "Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+    ),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    (
+        "Unlicense",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code "
+        "form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
@@ -143,10 +189,11 @@ def scan_licenses(docs: DataFrame, templates: DataFrame) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = computed(texts, "words", split_words(F.col("text"))).filter(F.arrays_overlap("words", keys))
-    at = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(keys, w), i)), lambda i: i.isNotNull())
+    texts = computed(texts, "own", F.array_intersect("words", keys))
+    at = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("own", w), i)), lambda i: i.isNotNull())
     # Windows start at multiples of a quarter of their width; these are the ones that a key word lies in.
     starts = F.concat(*[_window_starts(F.col("at"), w) for w in widths])
-    windows = computed(texts.select("doc_id", "words"), "at", at).select(
+    windows = computed(texts.select("doc_id", "words", "own"), "at", at).select(
         "doc_id", "words", F.explode(starts).alias("window")
     )
     windows = computed(windows, "seen", F.slice("words", F.col("window.start") + 1, F.col("window.width"))).select(
@@ -185,7 +232,8 @@ WITH t AS (
   SELECT license_id, {_WORDS} AS words FROM (VALUES {_TEMPLATES}) AS v(license_id, text)
 ), templates AS (
   SELECT license_id, {_SHINGLES.format(w="words", k=SHINGLE)} AS parts,
-         CASE WHEN len(words) <= 7 THEN 8 WHEN len(words) <= 13 THEN 16 ELSE 32 END AS width
+         CASE WHEN len(words) <= 7 THEN 8 WHEN len(words) <= 13 THEN 16 WHEN len(words) <= 25 THEN 32
+              WHEN len(words) <= 49 THEN 64 ELSE 128 END AS width
   FROM t WHERE len(words) >= {SHINGLE}
 ), d AS (SELECT doc_id, {_WORDS} AS words FROM documents
 ), starts AS (

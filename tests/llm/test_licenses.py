@@ -41,6 +41,34 @@ def test_against_brute_force_with_odd_rows(spark):
     assert {(r.doc_id, r.license_id): r.containment for r in got.collect()} == brute(texts, [t for t in templates if t[1]])
 
 
+def test_grants_and_headers_in_a_very_long_text(spark):
+    grant = max((t for i, t in NOTICES if i == "MIT"), key=len)
+    header = max((t for i, t in NOTICES if i == "LGPL-3.0"), key=len)
+    filler = " ".join(f"w{i % 1009}" for i in range(40_000))
+    cut = " ".join(grant.split()[:40])
+    texts = [(1, f"{filler} {grant} {filler} {header}"), (2, f"{filler} {cut}"), (3, filler)]
+    got = scan_licenses(spark.createDataFrame([(d, t, "x", 1) for d, t in texts], SCHEMA), notices(spark)).collect()
+    found = {(r.doc_id, r.license_id): r.containment for r in got}
+    # The first words of the grant are a template of their own.
+    assert found == {(1, "MIT"): 1.0, (1, "LGPL-3.0"): 1.0, (2, "MIT"): 1.0}
+
+
+def test_no_license_is_taken_for_another(spark):
+    texts = [text for _, text in NOTICES]
+    header = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {}General " \
+        "Public License as published by the Free Software Foundation, either version {} of the License, or (at your " \
+        "option) any later version."
+    texts += [header.format("program", "", 3), header.format("library", "Lesser ", 3), header.format("program", "", 2),
+              header.format("library", "Lesser ", 2), "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+              "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "Mozilla Public License Version 1.1"]
+    want = [{i} for i, _ in NOTICES] + [{"GPL-3.0"}, {"LGPL-3.0"}, set(), set(), {"GPL-3.0"}, {"LGPL-3.0"}, set()]
+    docs = spark.createDataFrame([(i, f"some words {t} more words", "x", 1) for i, t in enumerate(texts)], SCHEMA)
+    got = [set() for _ in texts]
+    for r in scan_licenses(docs, notices(spark)).collect():
+        got[r.doc_id].add(r.license_id)
+    assert got == want
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, NOTICES[0][1], "x", 1)], SCHEMA)
     assert scan_licenses(docs.limit(0), notices(spark)).count() == 0
