@@ -1,7 +1,7 @@
 """Bootstrap confidence intervals of ranking metrics.
 
 ``bootstrap_exact`` resamples rows by index; its draws come from a hash, so any engine can repeat
-them. It handles replicates x rows records and suits cohorts up to millions of rows.
+them. It moves a number per draw and a byte per replicate, row and year.
 
 ``bootstrap_cells`` draws how often each distinct (score, label) cell is chosen, which has the same
 distribution. It costs replicates x cells, never replicates x rows, and is the form for large data.
@@ -19,18 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cohortscope.operators.evaluation import cumulative_cells, score_cells, summarise_cells
+from cohortscope.operators.draws import drawn_rows
+from cohortscope.operators.evaluation import score_cells
+from cohortscope.operators.joint_bootstrap import bootstrap_counted
 from cohortscope.operators.prefix import (
     RANGE_COLUMN,
     place_in_ranges,
     with_row_index,
 )
-from cohortscope.operators.survival import (
-    concordance_index,
-    censoring_distribution,
-    tidy_metrics,
-    yearly_cases,
-)
+from cohortscope.operators.survival import tidy_metrics
 
 # Cells x replicates drawn at a time: bounds the memory of a task and keeps arrays in cache.
 DRAWS_PER_BLOCK = 200_000
@@ -39,13 +36,6 @@ DRAWS_PER_BLOCK = 200_000
 CELL_RANGES = 64
 
 
-def draw_index(seed: int, replicate, position, n_rows):
-    """Row index of draw ``position`` in ``replicate``: 32 hash bits modulo the number of rows."""
-    text = F.concat_ws("-", F.lit(str(seed)), replicate.cast("string"), position.cast("string"))
-    bits = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
-    return bits % n_rows
-
-
 def resample_rows(df: DataFrame, key: str, n_replicates: int, seed: int) -> DataFrame:
     """``n_replicates`` resamples of the table, n of n with replacement, tagged ``replicate``.
 
@@ -54,11 +44,7 @@ def resample_rows(df: DataFrame, key: str, n_replicates: int, seed: int) -> Data
     their row by an equi join on the index.
     """
     indexed = with_row_index(df, key)
-    replicates = F.explode(F.sequence(F.lit(0), F.lit(n_replicates - 1)))
-    draws = indexed.select("row_index", "n_rows", replicates.alias("replicate")).select(
-        "replicate",
-        draw_index(seed, F.col("replicate"), F.col("row_index"), F.col("n_rows")).alias("drawn"),
-    )
+    draws = drawn_rows(indexed, n_replicates, seed)
     rows = indexed.withColumnRenamed("row_index", "drawn").drop("n_rows")
     return draws.join(rows, "drawn").drop("drawn")
 
@@ -75,29 +61,12 @@ def bootstrap_exact(
 ) -> DataFrame:
     """``replicate``, ``year``, ``metric``, ``value``; replicates lacking a class in a year are left out.
 
-    ``with_c_index`` adds the
+    The draws are those of ``resample_rows``, but rows stay where they are: each takes along how often every replicate
+    draws it, and is walked once per year. ``with_c_index`` adds the
     concordance of each replicate (``year`` NULL), weighted by the censoring distribution of the
     whole cohort.
     """
-    needed = df.select(*dict.fromkeys([key, *scores, time, event]))
-    samples = resample_rows(needed, key, n_replicates, seed)
-    keys = ["replicate", "year"]
-    yearly = yearly_cases(samples, scores, time, event, keep=["replicate"])
-    points = cumulative_cells(score_cells(yearly, "score", "label", keys), keys)
-    values = tidy_metrics(summarise_cells(points, keys), keys)
-    if with_c_index:
-        c = concordance_index(
-            samples, scores, time, event, censoring_distribution(df, time, event), by=["replicate"]
-        )
-        values = values.unionByName(
-            c.select(
-                "replicate",
-                F.lit(None).cast("int").alias("year"),
-                F.lit("c_index").alias("metric"),
-                F.col("c_index").alias("value"),
-            )
-        )
-    return values.filter(F.col("value").isNotNull())
+    return bootstrap_counted(df, key, scores, time, event, n_replicates, seed, with_c_index)
 
 
 def _draw_ranges(rng, plan: list, n_rows: int, n_replicates: int) -> tuple:

@@ -23,17 +23,20 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortscope.operators.bootstrap import draw_index
+from cohortscope.operators.draws import counts_of, draw_counts, draw_index
 from cohortscope.operators.prefix import RANGE_COLUMN, default_ranges, range_of, range_splits, with_row_index
 from cohortscope.operators.projection import drop_missing
 from cohortscope.operators.skew import join_aggregated
 from cohortscope.operators.survival import censoring_distribution, tidy_metrics
 from cohortscope.session import scratch_dir
 
-DRAWS_PER_BLOCK = 2_000_000
+# Draws worked on at a time, and hashed at a time: both keep arrays in cache.
+DRAWS_PER_BLOCK = 200_000
+HASHED_AT_ONCE = 80_000
 #: Replicates whose totals travel as one row.
 BLOCK = 500
 #: Cases of one score and year that are summed up in parts.
@@ -46,14 +49,23 @@ LAST_SHIFT = 16
 APART = 0x9E3779B9
 #: More draws of one case than this have a probability under 2**-32.
 MOST = 13
+#: Counts that are tested for in every hash.
+COMMON = 4
 POS, NEG, FORMER, LATTER = 1, 2, 4, 8
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 32-bit hash of 32-bit integers."""
+    x = x.copy()
+    _mix_in_place(x, np.empty_like(x))
+    return x
+
+
+def _mix_in_place(x: np.ndarray, spare: np.ndarray) -> None:
     for shift, factor in ROUNDS:
-        x = (x ^ (x >> np.uint32(shift))) * np.uint32(factor)
-    return x ^ (x >> np.uint32(LAST_SHIFT))
+        np.bitwise_xor(x, np.right_shift(x, np.uint32(shift), out=spare), out=x)
+        np.multiply(x, np.uint32(factor), out=x)
+    np.bitwise_xor(x, np.right_shift(x, np.uint32(LAST_SHIFT), out=spare), out=x)
 
 
 def poisson_mean(n: int) -> float:
@@ -82,11 +94,23 @@ def replicate_keys(seed: int, attempts: np.ndarray) -> np.ndarray:
 def hashed_draws(index: np.ndarray, keys: np.ndarray, limits: np.ndarray) -> np.ndarray:
     """Poisson counts, a row per case and a column per replicate."""
     low, high = (index & 0xFFFFFFFF).astype(np.uint32), (index >> 32).astype(np.uint32)
-    u = mix((low ^ mix(high)))[:, None] + keys[None, :]
-    u = mix(u)
-    counts = np.zeros(u.shape, np.uint8)
-    for limit in limits:
-        counts += u >= limit
+    base = mix(low ^ mix(high))
+    counts = np.zeros((len(index), len(keys)), np.uint8)
+    step = max(1, HASHED_AT_ONCE // len(keys))
+    hashes, spare = (np.empty((step, len(keys)), np.uint32) for _ in range(2))
+    reached = np.empty(hashes.size, bool)
+    for first in range(0, len(index), step):
+        part = counts[first : first + step]
+        u = np.add(base[first : first + step, None], keys[None, :], out=hashes[: len(part)])
+        _mix_in_place(u, spare[: len(part)])
+        part, u = part.reshape(-1), u.reshape(-1)
+        hit = reached[: len(u)]
+        for limit in limits[:COMMON]:
+            part += np.greater_equal(u, limit, out=hit).view(np.uint8)
+        if len(limits) > COMMON:
+            # Few hashes reach a higher limit.
+            rare = np.flatnonzero(np.greater_equal(u, limits[COMMON], out=hit))
+            part[rare] += np.searchsorted(limits[COMMON:], u[rare], side="right").astype(np.uint8)
     return counts
 
 
@@ -145,28 +169,35 @@ def _units(cases: DataFrame, scores: Sequence[str], time: str, event: str) -> Da
         entries.append(
             F.struct(F.lit(i + 1).alias("year"), F.col(score).cast("double").alias("score"), (label + pair).alias("role"))
         )
-    units = cases.select("row_index", "extra", F.inline(F.array(*entries)))
+    units = cases.select("row_index", "extra", "counts", F.inline(F.array(*entries)))
     return drop_missing(units.filter("role > 0"), ["score"])
 
 
 class _Draws:
-    """Draws of rows, whether they come as a case or as counts."""
+    """Draws of rows, whether they come as a case, as a case with its counts or as counts of many cases."""
 
-    def __init__(self, keys: np.ndarray, limits: np.ndarray):
-        self.keys, self.limits = keys, limits
-        self.step = max(1, DRAWS_PER_BLOCK // len(keys))
+    def __init__(self, n_replicates: int, keys: np.ndarray | None = None, limits: np.ndarray | None = None):
+        self.width, self.keys, self.limits = n_replicates, keys, limits
+        self.step = max(1, DRAWS_PER_BLOCK // n_replicates)
 
     def of(self, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
         """Blocks of rows as (first row, draws)."""
         for low in range(0, batch.num_rows, self.step):
             part = batch.slice(low, self.step)
+            counts = part.column("counts")
+            if counts.null_count == 0:
+                yield low, counts_of(counts, self.width)
+                continue
             index = part.column("row_index").fill_null(0).to_numpy(zero_copy_only=False)
-            drawn = hashed_draws(index, self.keys, self.limits).astype(np.int64)
-            for i, extra in enumerate(part.column("extra")):
-                if extra.is_valid:
-                    np.add.at(drawn[i], extra.values.to_numpy(zero_copy_only=False), 1)
-            for i in np.flatnonzero(part.column("counts").is_valid().to_numpy(zero_copy_only=False)):
-                drawn[i] = np.frombuffer(part.column("counts")[int(i)].as_py(), "<i8")
+            drawn = hashed_draws(index, self.keys, self.limits)
+            extra = part.column("extra")
+            replicates = extra.flatten().to_numpy(zero_copy_only=False)
+            if len(replicates):
+                np.add.at(drawn, (pc.list_parent_indices(extra).to_numpy(zero_copy_only=False), replicates), np.uint8(1))
+            summed = np.flatnonzero(counts.is_valid().to_numpy(zero_copy_only=False))
+            if len(summed):
+                drawn = drawn.astype(np.int64)
+                drawn[summed] = counts_of(counts.take(pa.array(summed)), self.width)
             yield low, drawn
 
 
@@ -176,7 +207,6 @@ UNIT = ("year", "score", "role", "row_index", "extra", "counts")
 def _condense(units: DataFrame, draws: _Draws, tied: int) -> DataFrame:
     """``units`` with all rows of a year, role and score that ``tied`` rows share replaced by one row of counts."""
     cell = ["year", "score", "role"]
-    units = units.withColumn("counts", F.lit(None).cast("binary"))
     hot = _stored(units.groupBy(*cell).agg(F.count("*").alias("n")).filter(F.col("n") > tied), "tied-scores")
     if hot.isEmpty():
         return units.select(*UNIT)
@@ -203,7 +233,7 @@ def _condense(units: DataFrame, draws: _Draws, tied: int) -> DataFrame:
                         if open_ is not None:
                             yield closed()
                         open_, total = names[low + begin], np.zeros(drawn.shape[1], np.int64)
-                    total = total + drawn[begin:i].sum(axis=0)
+                    total = total + drawn[begin:i].sum(axis=0, dtype=np.int64)
                     begin = i
         if open_ is not None:
             yield closed()
@@ -211,7 +241,7 @@ def _condense(units: DataFrame, draws: _Draws, tied: int) -> DataFrame:
     ordered = parts.select(*UNIT, "part").repartition(*cell, "part").sortWithinPartitions(*cell, "part")
     counted = ordered.mapInArrow(summed, "year int, score double, role int, replicate int, count long")
     counted = counted.groupBy(*cell, "replicate").agg(F.sum("count").alias("count"))
-    width = len(draws.keys)
+    width = draws.width
 
     def packed(rows: pa.Table) -> pa.Table:
         counts = np.zeros(width, np.int64)
@@ -237,6 +267,10 @@ TOTALS = f"year int, {RANGE_COLUMN} int, block int, pos binary, neg binary, form
 ROLES = (POS, NEG, FORMER, LATTER)
 
 
+def _role_sums(role: np.ndarray, drawn: np.ndarray, roles: Sequence[int]) -> np.ndarray:
+    return np.stack([drawn[role & k > 0].sum(axis=0, dtype=np.int64) for k in roles])
+
+
 def _range_totals(draws: _Draws):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches come by year and range; one row per range and block of replicates."""
@@ -253,12 +287,10 @@ def _range_totals(draws: _Draws):
                 if group != open_:
                     if open_ is not None:
                         yield closed()
-                    open_, total = group, np.zeros((3, len(draws.keys)), np.int64)
+                    open_, total = group, np.zeros((3, draws.width), np.int64)
                 role = rows.column("role").to_numpy()
                 for low, drawn in draws.of(rows):
-                    part = role[low : low + len(drawn)]
-                    for k in range(3):
-                        total[k] += drawn[part & ROLES[k] > 0].sum(axis=0)
+                    total += _role_sums(role[low : low + len(drawn)], drawn, ROLES[:3])
         if open_ is not None:
             yield closed()
 
@@ -293,9 +325,11 @@ class _Walk:
             self.above[:, x["block"] : x["block"] + counts.shape[1]] = counts
 
     def add(self, score: np.ndarray, role: np.ndarray, drawn: np.ndarray) -> None:
-        """Rows in falling order; what has the last score stays open for more of it."""
-        cells = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]]))
-        counts = np.stack([np.add.reduceat(drawn * (role & k > 0)[:, None], cells, axis=0) for k in ROLES])
+        """Rows in falling order, those of a score by role; what has the last score stays open for more of it."""
+        if score[0] == score[-1]:
+            counts = _role_sums(role, drawn, ROLES)[:, None].astype(float)
+        else:
+            counts = self._cells(score, role, drawn)
         if self.open is not None:
             if self.open[0] == score[0]:
                 counts[:, 0] += self.open[1]
@@ -304,22 +338,44 @@ class _Walk:
         self.open = (score[-1], counts[:, -1].copy())
         self._close(counts[:, :-1])
 
+    @staticmethod
+    def _cells(score: np.ndarray, role: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+        """Counts by bit of the roles, score and replicate."""
+        new = np.concatenate([[True], score[1:] != score[:-1]])
+        starts = np.flatnonzero(new | np.concatenate([[True], role[1:] != role[:-1]]))
+        if len(starts) < len(score):
+            drawn = np.add.reduceat(drawn, starts, axis=0, dtype=np.int32 if drawn.dtype == np.uint8 else np.int64)
+        role, cells = role[starts], np.flatnonzero(new[starts])
+        counts = np.zeros((4, len(cells), drawn.shape[1]))
+        place = np.cumsum(new[starts]) - 1
+        for i, k in enumerate(ROLES):
+            # Several roles of a score may hold the same bit.
+            mine = np.flatnonzero(role & k)
+            first = np.concatenate([[True], place[mine[1:]] != place[mine[:-1]]])[: len(mine)]
+            counts[i, place[mine[first]]] = drawn[mine[first]]
+            for j in mine[~first]:
+                counts[i, place[j]] += drawn[j]
+        return counts
+
     def _close(self, counts: np.ndarray) -> None:
         if not counts.shape[1]:
             return
         pos, neg, former, latter = counts
         tp, fp, before = (self.above[k] + np.cumsum(counts[k], axis=0) for k in range(3))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            after = np.where(tp + fp > 0, tp / (tp + fp), 1.0)
-            prior = np.where(tp - pos + fp - neg > 0, (tp - pos) / (tp - pos + fp - neg), 1.0)
         s = self.sums
         s["won"] += (neg * (tp - pos / 2)).sum(axis=0)
-        s["areas"] += (pos * (after + prior) / 2).sum(axis=0)
-        s["steps"] += (pos * after).sum(axis=0)
         s["pairs_won"] += (latter * (before - former / 2)).sum(axis=0)
         for name, x in zip(("n_pos", "n_neg", "n_former", "n_latter"), counts, strict=True):
             s[name] += x.sum(axis=0)
         self.above = np.stack([tp[-1], fp[-1], before[-1]])
+        # Precision counts where there are positives.
+        some = np.flatnonzero(pos.any(axis=1))
+        pos, neg, tp, fp = (x[some] for x in (pos, neg, tp, fp))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            after = np.where(tp + fp > 0, tp / (tp + fp), 1.0)
+            prior = np.where(tp - pos + fp - neg > 0, (tp - pos) / (tp - pos + fp - neg), 1.0)
+        s["areas"] += (pos * (after + prior) / 2).sum(axis=0)
+        s["steps"] += (pos * after).sum(axis=0)
 
     def rows(self) -> pa.RecordBatch:
         if self.open is not None:
@@ -338,7 +394,7 @@ def _walk_ranges(draws: _Draws):
                 if walk is None or walk.group != group:
                     if walk is not None:
                         yield walk.rows()
-                    walk = _Walk(group, len(draws.keys))
+                    walk = _Walk(group, draws.width)
                 head = rows.column("heads")
                 if head[0].is_valid:
                     walk.start(head[0].as_py())
@@ -369,14 +425,52 @@ def bootstrap_joint(
     Rows without a ``key``, which is unique, are neither drawn nor counted. The C-index takes its weights from
     ``censoring`` (time, g), by default the distribution of all cases. Results depend on the data and ``seed`` alone.
     """
-    ranges = ranges or default_ranges(df)
-    years = len(scores)
-    needed = df.select(*dict.fromkeys([key, *scores, time, event]))
-    cases = _stored(with_row_index(needed, key).drop(key) if key not in (*scores, time, event) else with_row_index(needed, key), "cases")
-    n = (cases.agg(F.max("n_rows")).first()[0]) or 0
+    cases, n = numbered_cases(df, key, scores, time, event)
     attempts, total = draw_totals(cases, n, n_replicates, seed)
-    draws = _Draws(replicate_keys(seed, attempts), thresholds(n))
-    cases = _stored(with_completing_draws(cases, total, n, seed), "drawn-cases")
+    draws = _Draws(n_replicates, replicate_keys(seed, attempts), thresholds(n))
+    drawn = with_completing_draws(cases, total, n, seed).withColumn("counts", F.lit(None).cast("binary"))
+    sums = _replicate_sums(_stored(drawn, "drawn-cases"), draws, scores, time, event, ranges or default_ranges(df), tied)
+    if censoring is None:
+        censoring = censoring_distribution(df, time, event)
+    return _yearly_values(sums).unionByName(_c_index_values(sums, censoring))
+
+
+def bootstrap_counted(
+    df: DataFrame,
+    key: str,
+    scores: Sequence[str],
+    time: str,
+    event: str,
+    n_replicates: int,
+    seed: int = 42,
+    with_c_index: bool = False,
+    ranges: int | None = None,
+    tied: int = TIED,
+) -> DataFrame:
+    """The same columns from the draws of ``draw_counts``: a case carries a byte per replicate through the walk."""
+    cases, n = numbered_cases(df, key, scores, time, event)
+    drawn = cases.join(draw_counts(cases, n, n_replicates, seed), "row_index")
+    drawn = _stored(drawn.withColumn("extra", F.lit(None).cast("array<int>")), "drawn-cases")
+    sums = _replicate_sums(drawn, _Draws(n_replicates), scores, time, event, ranges or default_ranges(df), tied)
+    values = _yearly_values(sums)
+    if with_c_index:
+        values = values.unionByName(_c_index_values(sums, censoring_distribution(df, time, event)))
+    return values
+
+
+def numbered_cases(df: DataFrame, key: str, scores: Sequence[str], time: str, event: str) -> tuple[DataFrame, int]:
+    """The cases with a key, numbered along it and stored, and how many they are."""
+    needed = df.select(*dict.fromkeys([key, *scores, time, event]))
+    numbered = with_row_index(needed, key)
+    cases = _stored(numbered if key in (*scores, time, event) else numbered.drop(key), "cases")
+    return cases, cases.agg(F.max("n_rows")).first()[0] or 0
+
+
+def _replicate_sums(
+    cases: DataFrame, draws: _Draws, scores: Sequence[str], time: str, event: str, ranges: int, tied: int
+) -> DataFrame:
+    """``replicate``, ``year`` and ``SUMS`` of cases with what gives their draws."""
+    years = len(scores)
     units = _condense(_units(cases, scores, time, event), draws, tied)
     cells = units.groupBy("year", "score").agg(F.count("*").alias("n"))
     split = units.withColumn("_splits", range_splits(cells, "score", ["year"], ranges))
@@ -387,7 +481,7 @@ def bootstrap_joint(
     home = (F.col("year") - 1) * ranges + F.col(RANGE_COLUMN)
 
     def in_order(rows: DataFrame, *first) -> DataFrame:
-        return rows.repartitionById(years * ranges, home).sortWithinPartitions("year", RANGE_COLUMN, *first, F.col("score").desc())
+        return rows.repartitionById(years * ranges, home).sortWithinPartitions("year", RANGE_COLUMN, *first, F.col("score").desc(), "role")
 
     totals = in_order(placed).mapInArrow(_range_totals(draws), TOTALS)
     heads = totals.groupBy("year", "block").applyInArrow(_above, TOTALS).groupBy("year", RANGE_COLUMN)
@@ -396,7 +490,10 @@ def bootstrap_joint(
     walked = in_order(both, F.col("heads").isNull()).mapInArrow(
         _walk_ranges(draws), "replicate int, year int, " + ", ".join(f"{s} double" for s in SUMS)
     )
-    sums = _stored(walked.groupBy("replicate", "year").agg(*[F.sum(s).alias(s) for s in SUMS]), "replicate-sums")
+    return _stored(walked.groupBy("replicate", "year").agg(*[F.sum(s).alias(s) for s in SUMS]), "replicate-sums")
+
+
+def _yearly_values(sums: DataFrame) -> DataFrame:
     wide = sums.filter("n_pos > 0 AND n_neg > 0").select(
         "replicate",
         "year",
@@ -404,19 +501,19 @@ def bootstrap_joint(
         (F.col("areas") / F.col("n_pos")).alias("auprc"),
         (F.col("steps") / F.col("n_pos")).alias("average_precision"),
     )
-    if censoring is None:
-        censoring = censoring_distribution(df, time, event)
+    return tidy_metrics(wide, ["replicate", "year"])
+
+
+def _c_index_values(sums: DataFrame, censoring: DataFrame) -> DataFrame:
     weights = censoring.select((F.col("time").cast("int") + 1).alias("year"), "g")
     pairs = F.col("n_former") * F.col("n_latter")
     known = F.coalesce("g", F.when(pairs > 0, F.raise_error(F.lit("an event year has no censoring weight"))))
     w = F.when(known > 0, F.lit(1.0) / (known * known)).otherwise(0.0)
     index = sums.join(weights, "year", "left").groupBy("replicate")
     index = index.agg(F.sum(w * F.col("pairs_won")).alias("won"), F.sum(w * pairs).alias("pairs")).filter("pairs > 0")
-    return tidy_metrics(wide, ["replicate", "year"]).unionByName(
-        index.select(
-            "replicate",
-            F.lit(None).cast("int").alias("year"),
-            F.lit("c_index").alias("metric"),
-            (F.col("won") / F.col("pairs")).alias("value"),
-        )
+    return index.select(
+        "replicate",
+        F.lit(None).cast("int").alias("year"),
+        F.lit("c_index").alias("metric"),
+        (F.col("won") / F.col("pairs")).alias("value"),
     )

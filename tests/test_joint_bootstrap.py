@@ -1,11 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cohortscope.operators import joint_bootstrap
-from cohortscope.operators.bootstrap import bootstrap_exact, metric_ci
+from cohortscope.operators import bootstrap, draws, joint_bootstrap
+from cohortscope.operators.bootstrap import bootstrap_exact, metric_ci, resample_rows
 from cohortscope.operators.joint_bootstrap import (
     bootstrap_joint,
     draw_totals,
@@ -135,3 +136,53 @@ def test_seed_alone_fixes_the_result_and_agrees_with_row_draws(spark):
 
 def test_no_cases(spark):
     assert bootstrap_joint(spark.createDataFrame([], SCHEMA), "id", SCORES, "time", "event", 5).count() == 0
+
+
+def resampled(spark, df, n, replicates):
+    """Draws of every case and replicate as ``resample_rows`` makes them."""
+    w = np.zeros((n, replicates), int)
+    for r in resample_rows(df, "id", replicates, 42).groupBy("id", "replicate").count().collect():
+        w[r.id, r.replicate] = r["count"]
+    return w
+
+
+@pytest.mark.parametrize("n, per_task", [(1, 8_000_000), (90, 8_000_000), (90, 400)])
+def test_counts_of_draws_equal_the_rows_drawn(spark, monkeypatch, n, per_task):
+    monkeypatch.setattr(draws, "COUNTS_PER_TASK", per_task)
+    monkeypatch.setattr(draws, "COUNTS_PER_BATCH", 100)
+    df = spark.range(n)
+    w = np.zeros((n, 300), int)
+    for r in draws.draw_counts(numbered(spark, n), n, 300, 42).collect():
+        w[r.row_index] = draws.counts_of(pa.array([bytes(r.counts)]), 300)[0]
+    assert (w == resampled(spark, df, n, 300)).all() and (w.sum(axis=0) == n).all()
+
+
+def test_counts_beyond_a_byte():
+    counts = [np.array([0, 255, 1]), np.array([0, 256, 70_000])]
+    packed = pa.array([draws.count_bytes(c) for c in counts])
+    assert (draws.counts_of(packed, 3) == counts).all() and (draws.counts_of(packed[:1], 3) == counts[:1]).all()
+
+
+@pytest.mark.parametrize("n, tied, block", [(60, 20_000, 200_000), (90, 7, 300)])
+def test_row_bootstrap_equals_brute_force_and_joins_no_draws_to_rows(spark, monkeypatch, n, tied, block):
+    data = cases(n, n)
+    df = spark.createDataFrame(data + [(None, 1, 1, 0.5, 0.5, 0.5)] * 3, SCHEMA).repartition(4)
+    g = {int(r.time): r.g for r in censoring_distribution(df, "time", "event").collect()}
+    expected = brute(data, resampled(spark, df, n, 20), g)
+    monkeypatch.setattr(joint_bootstrap, "DRAWS_PER_BLOCK", block)
+    monkeypatch.setattr(bootstrap, "resample_rows", None)
+    assert bootstrap.bootstrap_exact(df, "id", SCORES, "time", "event", 2).count() > 0
+    got = joint_bootstrap.bootstrap_counted(df, "id", SCORES, "time", "event", 20, with_c_index=True, ranges=3, tied=tied)
+    got = {(r.replicate, r.year, r.metric): r.value for r in got.collect()}
+    assert set(got) == set(expected)
+    for k, v in expected.items():
+        assert got[k] == pytest.approx(v, abs=1e-9), k
+
+
+@pytest.mark.parametrize("n_limits", [0, 3, 5, 13])
+def test_hashed_draws_count_the_limits_reached(n_limits):
+    keys, index = joint_bootstrap.replicate_keys(7, np.zeros(50, int)), np.array([0, 5, 2**33 + 1, 77])
+    limits = np.sort(np.random.default_rng(1).integers(0, 2**32, n_limits, dtype=np.uint32))
+    low, high = (index & 0xFFFFFFFF).astype(np.uint32), (index >> 32).astype(np.uint32)
+    u = joint_bootstrap.mix(joint_bootstrap.mix(low ^ joint_bootstrap.mix(high))[:, None] + keys[None, :])
+    assert (hashed_draws(index, keys, limits) == (u[:, :, None] >= limits).sum(axis=2)).all()
