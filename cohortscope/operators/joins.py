@@ -155,7 +155,7 @@ def resolve_by_suffix(
 
     The folders of a key with at most ``direct`` fragment pairs are tested against each of them. Beyond that the tests
     would grow with the square of the group, and fragments are looked up in an inverted index of the folder names'
-    grams, which has at most a row for each character of a name.
+    grams, which has at most a row for each character of a name. Which keys there are is found out at once.
     """
     (outer_want, outer_name), (inner_want, inner_name) = outer, inner
     wanted = (
@@ -172,11 +172,17 @@ def resolve_by_suffix(
         F.col(outer_name).alias("_outer_name"),
         F.col(inner_name).alias("_inner_name"),
         F.col(path).alias("_path"),
-    )
-    load = wanted.groupBy("_key").agg((F.count(F.lit(1)) > direct).alias("_large"))
-    sized = join_aggregated(wanted, load, ["_key"])
-    few, many = (sized.filter(c).drop("_large") for c in (~F.col("_large"), F.col("_large")))
-    hits = _contained(folders.join(few, "_key")).unionAll(_look_up(folders, many, gram))
+    ).dropna(subset=["_key", "_outer_name", "_inner_name"])
+    # Each way to search shuffles the folders anew, so a way that no key needs is left out. A key with few rows has few
+    # pairs, and counting rows costs less than counting pairs.
+    often = cases.groupBy(key).count().filter(F.col(key).isNotNull() & (F.col("count") > direct))
+    if often.isEmpty():
+        hits = _contained(folders.join(wanted, "_key"))
+    else:
+        load = wanted.groupBy("_key").agg((F.count(F.lit(1)) > direct).alias("_large"))
+        sized = join_aggregated(wanted, load, ["_key"])
+        few, many = (sized.filter(c).drop("_large") for c in (~F.col("_large"), F.col("_large")))
+        hits = _contained(folders.join(few, "_key")).unionAll(_look_up(folders, many, gram))
     found = hits.groupBy("_key", "_outer", "_inner").agg(
         F.min("_path").alias("resolved_path"), F.count(F.lit(1)).alias("_matches")
     )

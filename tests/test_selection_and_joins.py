@@ -15,6 +15,7 @@ from cohortscope.operators.quality import (
 from cohortscope.operators.selection import ACQUISITION_TIERS, acquisition_tiers, priority_tiers, stack_datasets
 from cohortscope.plans.cohort import LABELLED_COLUMNS, labelled_cohort, select_scans, thin_axial_cases
 from tests.conftest import rows
+from workload import base
 
 AXIAL, SAGITTAL = "[1, 0, 0, 0, 1, 0]", "[0, 1, 0, 0, 0, -1]"
 HEADER_COLUMNS = "AccessionNumber string, SliceThickness string, ConvolutionKernel string, ImageOrientationPatient string, Patient_ID string, Directory string"
@@ -219,3 +220,40 @@ def test_funnel(spark):
     steps = [("x", F.col("x") <= 3), ("y", F.col("y") == 1)]
     got = selection_funnel(df, "pid", steps).orderBy("step").collect()
     assert [tuple(r) for r in got] == [(0, "input", 5, 3), (1, "x", 3, 3), (2, "y", 1, 1)]
+
+
+def exchanges(df):
+    """Shuffles in the plan of a frame that was not run yet."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_folders_are_shuffled_once_where_no_key_has_many_cases(spark):
+    folders = spark.createDataFrame([("p", "st-1", "se-1", "/f/1"), ("p", "st-1", "se-12", None)], "pid string, study string, series string, path string")
+    cases = spark.createDataFrame([(i, "p", "1", str(i)) for i in range(4)] + [(9, None, "1", "1")] * 3, "id int, pid string, t string, s string")
+    few, many = (joins.resolve_by_suffix(cases, folders, "pid", ("t", "study"), ("s", "series"), direct=d) for d in (4, 3))
+    assert rows(few) == rows(many)
+    assert rows(few, "id", "n_matches")[:3] == [(0, 0), (1, 2), (2, 1)]
+    scanned = [p._jdf.queryExecution().optimizedPlan().toString().count("_outer_name") for p in (few, many)]
+    assert scanned[0] < scanned[1] / 2
+
+
+def test_folders_hold_their_scans_once_without_another_shuffle(spark, tmp_path):
+    """Beside the two sides of the join by order there is no shuffle, and the rows are those of a plain distinct."""
+    lines = [(o, n, 10 * n, 3, p) for o in range(20) for n in (1, 2) for p in (1.5, 1.5, 2.5, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double").withColumns(
+        {"l_quantity": F.lit(1.0), "l_returnflag": F.lit("A"), "l_linestatus": F.lit("O")}
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = "SELECT id AS o_orderkey, id % 7 AS o_custkey, TIMESTAMP_NTZ '1996-03-04 00:00:00' AS o_orderdate FROM range(20)"
+    spark.sql(orders).write.parquet(f"{tmp_path}/orders.parquet")
+    parts = F.split("path", "/")
+    plain = base.scans(spark, str(tmp_path)).select(
+        "pid", F.get(parts, F.lit(3)).alias("study"), F.get(parts, F.lit(4)).alias("series"), F.regexp_replace("path", "/[^/]*$", "").alias("path")
+    )
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = base.folders(spark, str(tmp_path))
+        assert exchanges(got) == 2 < exchanges(plain.distinct())
+        assert rows(got) == rows(plain.filter("path IS NOT NULL").distinct()) and got.count() == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

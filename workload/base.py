@@ -101,6 +101,18 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pid``, ``study``, ``series`` and ``path`` of each folder that holds a scan.
+
+    A folder names its order, so copies are found where the scans were joined by it, without another shuffle. A scan
+    that lacks a path is in no folder.
+    """
+    held = scans(spark, sf_dir).filter(F.col("path").isNotNull())
+    found = held.select("pid", "scan", F.substring_index("path", "/", 5).alias("path")).distinct()
+    study, series = (F.substring_index(F.substring_index("path", "/", i), "/", -1) for i in (4, 5))
+    return found.select("pid", study.alias("study"), series.alias("series"), "path")
+
+
 # --- clinical: days of the first order of 1996, 1997, 1998, first failed order, last order -------
 
 CLINICAL_SQL = """

@@ -18,7 +18,7 @@ from cohortscope.operators.joins import (
     semi_by_key,
 )
 from cohortscope.operators.selection import priority_tiers, stack_datasets
-from workload.base import CLINICAL_SQL, SCANS_SQL, clinical, query, scans, table
+from workload.base import CLINICAL_SQL, SCANS_SQL, clinical, folders, query, scans, table
 
 
 @query(
@@ -165,17 +165,6 @@ GROUP BY ALL"""
 @query("resolve_by_suffix", RESOLVE_SQL)
 def resolve_by_suffix_query(spark, sf_dir):
     """Folders of the same subject whose study and series names contain two fragments."""
-    parts = F.split("path", "/")
-    catalog = (
-        scans(spark, sf_dir)
-        .select(
-            "pid",
-            F.get(parts, F.lit(3)).alias("study"),
-            F.get(parts, F.lit(4)).alias("series"),
-            F.regexp_replace("path", "/[^/]*$", "").alias("path"),
-        )
-        .distinct()
-    )
     cases = table(spark, sf_dir, "orders").select(
         "o_orderkey",
         F.col("o_custkey").alias("pid"),
@@ -183,7 +172,7 @@ def resolve_by_suffix_query(spark, sf_dir):
         (F.col("o_orderkey") % 90).cast("string").alias("series_suffix"),
     )
     return resolve_by_suffix(
-        cases, catalog, "pid", ("time_suffix", "study"), ("series_suffix", "series")
+        cases, folders(spark, sf_dir), "pid", ("time_suffix", "study"), ("series_suffix", "series")
     )
 
 

@@ -12,7 +12,7 @@ from cohortscope.plans.labels import (
     corrected_paths,
     nodule_slices,
 )
-from workload.base import SCANS_SQL, query, scans, table
+from workload.base import SCANS_SQL, folders, query, scans, table
 from workload.evaluation import MANN_WHITNEY_SQL
 
 
@@ -131,17 +131,6 @@ def cases_without_diagnosis_query(spark, sf_dir):
 )
 def corrected_paths_query(spark, sf_dir):
     """Odd orders carry outdated folders whose last tokens are still right."""
-    parts = F.split("path", "/")
-    catalog = (
-        scans(spark, sf_dir)
-        .select(
-            "pid",
-            F.get(parts, F.lit(3)).alias("study"),
-            F.get(parts, F.lit(4)).alias("series"),
-            F.regexp_replace("path", "/[^/]*$", "").alias("path"),
-        )
-        .distinct()
-    )
     orders = table(spark, sf_dir, "orders")
     old = F.concat(
         F.lit("/old/01-01-1999-B-"), "o_orderkey", F.lit("/9.0-X-"), F.col("o_orderkey") % 90
@@ -151,7 +140,7 @@ def corrected_paths_query(spark, sf_dir):
     correct = orders.filter("o_orderkey % 2 = 0").select(
         *columns, F.concat(F.lit("/ok/"), "o_orderkey").alias("Directory")
     )
-    return corrected_paths(incorrect, correct, catalog)
+    return corrected_paths(incorrect, correct, folders(spark, sf_dir))
 
 
 @query(
