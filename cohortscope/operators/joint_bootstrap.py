@@ -51,6 +51,8 @@ APART = 0x9E3779B9
 MOST = 13
 #: Counts that are tested for in every hash.
 COMMON = 4
+#: Scores in a block up to which each is summed by itself.
+FEW_CELLS = 4
 POS, NEG, FORMER, LATTER = 1, 2, 4, 8
 
 
@@ -193,7 +195,8 @@ class _Draws:
             extra = part.column("extra")
             replicates = extra.flatten().to_numpy(zero_copy_only=False)
             if len(replicates):
-                np.add.at(drawn, (pc.list_parent_indices(extra).to_numpy(zero_copy_only=False), replicates), np.uint8(1))
+                row = pc.list_parent_indices(extra).to_numpy(zero_copy_only=False)
+                np.add.at(drawn.reshape(-1), row * self.width + replicates, np.uint8(1))
             summed = np.flatnonzero(counts.is_valid().to_numpy(zero_copy_only=False))
             if len(summed):
                 drawn = drawn.astype(np.int64)
@@ -326,8 +329,10 @@ class _Walk:
 
     def add(self, score: np.ndarray, role: np.ndarray, drawn: np.ndarray) -> None:
         """Rows in falling order, those of a score by role; what has the last score stays open for more of it."""
-        if score[0] == score[-1]:
-            counts = _role_sums(role, drawn, ROLES)[:, None].astype(float)
+        cuts = np.flatnonzero(score[1:] != score[:-1]) + 1
+        if len(cuts) < FEW_CELLS:
+            parts = zip([0, *cuts], [*cuts, len(score)], strict=True)
+            counts = np.stack([_role_sums(role[a:b], drawn[a:b], ROLES) for a, b in parts], axis=1).astype(float)
         else:
             counts = self._cells(score, role, drawn)
         if self.open is not None:
